@@ -21,9 +21,10 @@ from .common import bounded_arrow
 
 #: About so many labelled documents are used to fit the model.
 LABELLED = 8000
-BUCKETS = 1 << 18
-#: Buckets that fewer sampled documents show carry no weight.
-LEAST_DOCS = 6
+BUCKETS = 1 << 22
+#: Evidence is a bucket that such a part of the sampled documents shows, whose documents' grades differ from all (chi-square) and
+#: which the lower grades show so many times as often as the best one; other buckets carry no weight.
+LEAST_PART, LEAST_CHI, LEAST_LIFT = 1 / 400, 40.0, 20.0
 #: A document is selected if the probability of the best grade is at least this.
 SELECT = 0.5
 GRADES = 3
@@ -36,14 +37,24 @@ def buckets_of(token: str) -> tuple[int, int]:
     return zlib.crc32(token.encode()) % BUCKETS, zlib.crc32(b"^" + token[:4].encode()) % BUCKETS
 
 
+def tokens_of(text: str) -> set[str]:
+    """Distinct tokens, and a mark for the share of tokens that repeat the one before, in tenths."""
+    found = TOKEN.findall(text.lower())
+    tokens = set(found)
+    share = sum(map(str.__eq__, found, found[1:])) * 10 // max(len(found), 1)
+    if share:
+        tokens.add(f"repeated {share}")
+    return tokens
+
+
 def features(text: str) -> np.ndarray:
-    """Buckets of the distinct tokens, each token giving two."""
-    return np.array([b for t in sorted(set(TOKEN.findall(text.lower()))) for b in buckets_of(t)], np.int32)
+    """The distinct buckets of the tokens."""
+    return np.unique(np.array([b for t in tokens_of(text) for b in buckets_of(t)], np.int32))
 
 
 @dataclass
 class OrdinalModel:
-    weights: np.ndarray
+    weights: np.ndarray  # nan: no evidence
     thresholds: np.ndarray  # ascending; P(grade <= j) = sigmoid(thresholds[j] - score)
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
@@ -51,16 +62,18 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - np.asarray(scores)[:, None], -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 250, rate: float = 0.03, ridge: float = 2e-4) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 2000, rate: float = 0.1, ridge: float = 1e-7) -> OrdinalModel:
     """Full-batch Adam on the mean negative log-likelihood; the gap between thresholds stays positive by its logarithm."""
-    weights = np.zeros(BUCKETS)
     if not rows:
-        return OrdinalModel(weights, np.arange(GRADES - 1.0))
+        return OrdinalModel(np.full(BUCKETS, np.nan), np.arange(GRADES - 1.0))
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     bucket = np.concatenate(rows)
-    shown = np.bincount(np.unique(owner.astype(np.int64) * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
-    least = LEAST_DOCS if len(rows) > 50 * LEAST_DOCS else 2
-    fine = shown[bucket] >= least
+    shown = np.stack([np.bincount(bucket[grades[owner] == j], minlength=BUCKETS) for j in range(GRADES)])
+    sizes = np.bincount(grades, minlength=GRADES)[:, None]
+    expected = sizes / len(rows) * shown.sum(0)
+    chi = ((shown - expected) ** 2 / np.maximum(expected, 1e-9)).sum(0)
+    lift = (shown[:-1] / np.maximum(sizes[:-1], 1)).max(0) / ((shown[-1] + 0.5) / max(sizes[-1, 0], 1))
+    fine = ((shown.sum(0) >= max(2, LEAST_PART * len(rows))) & (chi >= min(LEAST_CHI, len(rows) / 20)) & (lift >= LEAST_LIFT))[bucket]
     owner, bucket = owner[fine], bucket[fine]
     used, bucket = np.unique(bucket, return_inverse=True)
     part = np.bincount(grades, minlength=GRADES) + 1.0
@@ -69,46 +82,47 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 250, rate: floa
     at = np.concatenate([np.zeros(len(used)), [start[0]], np.log(np.maximum(np.diff(start), 0.1))])
     first, second = np.zeros_like(at), np.zeros_like(at)
     n, k = len(rows), len(used)
-    weight = 1.0 / part[grades]  # grades count alike
-    weight /= weight.sum()
+    value = 1 / np.bincount(owner, minlength=n)[owner]  # a document scores the mean of its evidence, whatever its length
+    weight = 1.0 / n
     for step in range(1, steps + 1):
         cuts = np.concatenate([[-np.inf], at[k] + np.concatenate([[0.0], np.cumsum(np.exp(at[k + 1 :]))]), [np.inf]])
-        score = np.bincount(owner, at[:k][bucket], n)
+        score = np.bincount(owner, at[:k][bucket] * value, n)
         sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
         hi, lo = sig(cuts[grades + 1] - score), sig(cuts[grades] - score)
         hi, lo = np.where(grades == GRADES - 1, 1.0, hi), np.where(grades == 0, 0.0, lo)
         prob = np.maximum(hi - lo, 1e-12)
         d_hi, d_lo = hi * (1 - hi) / prob * weight, lo * (1 - lo) / prob * weight
         grad = np.zeros_like(at)
-        grad[:k] = np.bincount(bucket, (d_hi - d_lo)[owner], k) + ridge * at[:k]
+        grad[:k] = np.bincount(bucket, (d_hi - d_lo)[owner] * value, k) + ridge * at[:k]
         cut = np.array([-d_hi[grades == j].sum() + d_lo[grades == j + 1].sum() for j in range(GRADES - 1)])
         grad[k] = cut.sum()
         grad[k + 1 :] = np.cumsum(cut[::-1])[::-1][1:] * np.exp(at[k + 1 :])
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         at -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    weights = np.full(BUCKETS, np.nan)
     weights[used] = at[:k]
     return OrdinalModel(weights, at[k] + np.concatenate([[0.0], np.cumsum(np.exp(at[k + 1 :]))]))
 
 
 class Scorer:
     def __init__(self, model: OrdinalModel):
+        self.evidence = {b: w for b, w in enumerate(model.weights.tolist()) if w == w}
         self.model = model
-        self.known: dict[str, float] = {}
-
-    def value(self, token: str) -> float:
-        a, b = buckets_of(token)
-        return float(self.model.weights[a] + self.model.weights[b])
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def score(self, text: str) -> float | None:
-        tokens = set(TOKEN.findall(text.lower()))
+        """Mean weight of the evidence, 0 without any; None without any token."""
+        tokens = tokens_of(text)
         if not tokens:
             return None
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        for t in tokens - known.keys():
-            known[t] = self.value(t)
-        return math.fsum(map(known.__getitem__, tokens))
+        for t in tokens:
+            if t not in known:
+                known[t] = tuple(b for b in buckets_of(t) if b in self.evidence)
+        found = set().union(*filter(None, map(known.__getitem__, tokens)))
+        return math.fsum(map(self.evidence.__getitem__, found)) / max(1, len(found))
 
     def grade(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade and probability of the best grade; 0 and 0 without any token."""
