@@ -38,10 +38,10 @@ def buckets_of(token: str) -> tuple[int, int]:
 
 
 def tokens_of(text: str) -> set[str]:
-    """Distinct tokens, and a mark for the share of tokens that repeat the one before, in tenths."""
+    """Distinct tokens, and a mark for the share of tokens that repeat the two before, in tenths."""
     found = TOKEN.findall(text.lower())
     tokens = set(found)
-    share = sum(map(str.__eq__, found, found[1:])) * 10 // max(len(found), 1)
+    share = sum(a == b == c for a, b, c in zip(found, found[1:], found[2:])) * 10 // max(len(found), 1)
     if share:
         tokens.add(f"repeated {share}")
     return tokens
