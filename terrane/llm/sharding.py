@@ -16,8 +16,8 @@ from .common import saved, text_key
 SPLIT = 4
 #: Priority buckets in which quotas are cut: eight size classes, large ones first, times sub-buckets.
 CLASSES, SUB = 8, 512
-#: Rows that one window of the slot numbering sorts.
-SLOT_ROWS = 4000
+#: Rows that one window of the slot numbering sorts where shards have equal rows, and least windows of a shard.
+SLOT_ROWS, SLOT_PARTS = 1000, 64
 
 
 def _members(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -112,7 +112,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 3, ident: s
     for _ in range(rounds - 1):
         nodes = saved(_under_quota(_sibling_votes(nodes), shards, total), "nodes")
     nodes = saved(_under_quota(nodes, shards, total), "nodes")
-    parts = max(4, -(-rows // (shards * SLOT_ROWS)))
+    parts = max(SLOT_PARTS, -(-rows // (shards * SLOT_ROWS)))
     placed = members.join(nodes.select("node", F.col("label").alias("shard")), "node").withColumn("part", F.pmod(F.col("h"), F.lit(parts)))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
