@@ -54,7 +54,8 @@ def features(text: str) -> np.ndarray:
 
 @dataclass
 class OrdinalModel:
-    weights: np.ndarray  # nan: no evidence
+    buckets: np.ndarray  # those that are evidence
+    weights: np.ndarray
     thresholds: np.ndarray  # ascending; P(grade <= j) = sigmoid(thresholds[j] - score)
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
@@ -65,17 +66,19 @@ class OrdinalModel:
 def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 2000, rate: float = 0.1, ridge: float = 1e-7) -> OrdinalModel:
     """Full-batch Adam on the mean negative log-likelihood; the gap between thresholds stays positive by its logarithm."""
     if not rows:
-        return OrdinalModel(np.full(BUCKETS, np.nan), np.arange(GRADES - 1.0))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        return OrdinalModel(np.zeros(0, np.int32), np.zeros(0), np.arange(GRADES - 1.0))
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     bucket = np.concatenate(rows)
-    shown = np.stack([np.bincount(bucket[grades[owner] == j], minlength=BUCKETS) for j in range(GRADES)])
+    fine = (np.bincount(bucket) >= max(2, LEAST_PART * len(rows)))[bucket]
+    owner, (used, bucket) = owner[fine], np.unique(bucket[fine], return_inverse=True)
+    shown = np.stack([np.bincount(bucket[grades[owner] == j], minlength=len(used)) for j in range(GRADES)])
     sizes = np.bincount(grades, minlength=GRADES)[:, None]
     expected = sizes / len(rows) * shown.sum(0)
     chi = ((shown - expected) ** 2 / np.maximum(expected, 1e-9)).sum(0)
     lift = (shown[:-1] / np.maximum(sizes[:-1], 1)).max(0) / ((shown[-1] + 0.5) / max(sizes[-1, 0], 1))
-    fine = ((shown.sum(0) >= max(2, LEAST_PART * len(rows))) & (chi >= min(LEAST_CHI, len(rows) / 20)) & (lift >= LEAST_LIFT))[bucket]
-    owner, bucket = owner[fine], bucket[fine]
-    used, bucket = np.unique(bucket, return_inverse=True)
+    fine = ((chi >= min(LEAST_CHI, len(rows) / 20)) & (lift >= LEAST_LIFT))[bucket]
+    owner, (kept, bucket) = owner[fine], np.unique(bucket[fine], return_inverse=True)
+    used = used[kept]
     part = np.bincount(grades, minlength=GRADES) + 1.0
     below = np.cumsum(part)[:-1] / part.sum()
     start = np.log(below / (1 - below))
@@ -99,14 +102,12 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 2000, rate: flo
         grad[k + 1 :] = np.cumsum(cut[::-1])[::-1][1:] * np.exp(at[k + 1 :])
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         at -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    weights = np.full(BUCKETS, np.nan)
-    weights[used] = at[:k]
-    return OrdinalModel(weights, at[k] + np.concatenate([[0.0], np.cumsum(np.exp(at[k + 1 :]))]))
+    return OrdinalModel(used, at[:k], at[k] + np.concatenate([[0.0], np.cumsum(np.exp(at[k + 1 :]))]))
 
 
 class Scorer:
     def __init__(self, model: OrdinalModel):
-        self.evidence = {b: w for b, w in enumerate(model.weights.tolist()) if w == w}
+        self.evidence = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
         self.model = model
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -151,9 +152,10 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, ident: s
     drawn = grades.where(F.shiftrightunsigned(F.xxhash64(F.lit("quality"), "doc_id"), 11) * F.lit(2.0**-53) < rate)
     rows = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")
     found = rows.select(F.col("grade").cast("int").alias("grade"), "text").mapInArrow(_features, "grade int, buckets binary").toArrow()
-    order = np.argsort([hash_ for hash_ in (zlib.crc32(b.as_py()) for b in found["buckets"])], kind="stable")
-    rows_ = [np.frombuffer(b, np.int32) for b in found["buckets"].to_pylist()]
-    return fit([rows_[i] for i in order], found["grade"].to_numpy().astype(np.int64)[order])
+    grades_, rows_ = found["grade"].to_numpy().astype(np.int64), [np.frombuffer(b, np.int32) for b in found["buckets"].to_pylist()]
+    del found
+    order = sorted(range(len(rows_)), key=lambda i: (grades_[i], rows_[i].tobytes()))  # rows come in any order
+    return fit([rows_[i] for i in order], grades_[order])
 
 
 def _grade(model: OrdinalModel) -> Callable:
