@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import human, py_tokens, slug, tokens
+from ..functions.text import human, slug, tokens
 from .index import Index
 
 # Least similarity within a cluster, words kept for an area, least overlap that carries an identity over.
@@ -84,7 +83,7 @@ def greedy_clusters(rows: pd.DataFrame) -> pd.DataFrame:
 
 def cluster_documents(vectors: DataFrame) -> DataFrame:
     """(doc, cluster) of loose documents. Each decision needs all earlier ones, so this is one task; only documents outside any folder come here."""
-    return vectors.groupBy(F.lit(1)).applyInPandas(greedy_clusters, "doc string, cluster int")
+    return vectors.groupBy(F.lit("loose").alias("all")).applyInPandas(greedy_clusters, "doc string, cluster int")
 
 
 def carried_over(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -147,7 +146,3 @@ def merge_overrides(areas: DataFrame, overrides: DataFrame) -> DataFrame:
 def area_summary(areas: DataFrame) -> DataFrame:
     """What a listing of areas shows; at most twelve words and twelve phrases."""
     return areas.select("id", "label", "description", "authority", "watch_url", F.size("docs").alias("documents"), F.slice("aliases", 1, 12).alias("aliases"), F.slice("signals", 1, 12).alias("signals"))
-
-
-def phrase_tokens(phrases: Iterable[str]) -> list[set[str]]:
-    return [set(py_tokens(p)) for p in phrases]

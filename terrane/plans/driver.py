@@ -16,6 +16,7 @@ from ..operators import index as I
 from ..operators import resolve as R
 from ..operators import watch as W
 from ..sources import documents as D
+from ..sources.storage import stored
 
 SIGNALS = [("src0", 0, "elle tion"), ("src0", 1, "thre"), ("src1", 0, "der ein und"), ("src1", 1, "hein"), ("src2", 0, "ment eau par"), ("src2", 1, "thon rest"), ("src3", 0, "sich"), ("src3", 1, "tre elle ment")]
 AUTHORITY = [("src1", "training"), ("src2", "ask"), ("src3", "watch")]
@@ -26,27 +27,66 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(f):
+    """Results that several operators share are written once for each application and input folder."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        key = spark.sparkContext.applicationId, d, f.__name__
+        if key not in _written:
+            _written[key] = stored(f(spark, d), f.__name__.strip("_"))
+        return _written[key]
+
+    run.__name__ = f.__name__
+    return run
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "documents").where("trim(text) <> ''")
     return rows.select(F.col("doc_id").alias("chunk_id"), F.concat_ws("", "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("doc"), F.col("doc_id").cast("string").alias("title"), F.col("source").alias("folder"), F.lit("").alias("section"), "text")
 
 
+@once
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    return I.term_frequencies(chunks(spark, d))
+
+
+@once
+def lengths(spark: SparkSession, d: str) -> DataFrame:
+    return I.chunk_lengths(chunks(spark, d), postings(spark, d))
+
+
+@once
+def term_stats(spark: SparkSession, d: str) -> DataFrame:
+    return I.term_statistics(postings(spark, d), I.corpus_statistics(lengths(spark, d)))
+
+
 def index(spark: SparkSession, d: str) -> I.Index:
-    return I.build_index(chunks(spark, d))
+    return I.Index(chunks(spark, d), postings(spark, d), lengths(spark, d), term_stats(spark, d), I.corpus_statistics(lengths(spark, d)))
+
+
+@once
+def surfaces(spark: SparkSession, d: str) -> DataFrame:
+    return I.surface_forms(chunks(spark, d))
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("turn"), "text")
 
 
+@once
 def questions(spark: SparkSession, d: str) -> DataFrame:
     return I.query_terms(turns(spark, d))
 
 
+@once
 def members(spark: SparkSession, d: str) -> DataFrame:
     return A.folder_areas(chunks(spark, d)).withColumnRenamed("area_id", "id").join(chunks(spark, d).select("doc", "chunk_id"), "doc").select("id", "chunk_id", "doc")
 
 
+@once
 def areas(spark: SparkSession, d: str) -> DataFrame:
     phrases = spark.createDataFrame(SIGNALS, "id string, nth int, phrase string").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "phrase"))), lambda x: x["phrase"]).alias("signals"))
     modes = spark.createDataFrame(AUTHORITY, "id string, authority string")
@@ -56,6 +96,7 @@ def areas(spark: SparkSession, d: str) -> DataFrame:
     return base.select("ord", "id", T.human(F.col("folder")).alias("label"), F.coalesce("authority", F.lit("project")).alias("authority"), F.coalesce("signals", F.array().cast("array<string>")).alias("signals"), "documents")
 
 
+@once
 def aliases(spark: SparkSession, d: str) -> DataFrame:
     """(id, term, weight): distinctive terms, and the words of the area's name at the heaviest weight."""
     m = A.folder_areas(chunks(spark, d))
@@ -69,23 +110,33 @@ def _phrases(spark, d):
     return R.signal_phrases(areas(spark, d))
 
 
+@once
 def _sig(spark, d):
     return R.signal_scores(R.signal_hits(questions(spark, d), _phrases(spark, d)))
 
 
-def _plain(spark, d, k=K):
-    return I.search(questions(spark, d), index(spark, d), k)
+@once
+def _scores(spark, d):
+    return I.score_chunks(questions(spark, d), index(spark, d))
+
+
+@once
+def _plain(spark, d):
+    return I.ranked(_scores(spark, d), k=K)
 
 
+@once
 def _scored(spark, d):
-    q, i, m = questions(spark, d), index(spark, d), members(spark, d)
-    return R.area_scores(q, areas(spark, d), _sig(spark, d), R.alias_scores(q, aliases(spark, d)), R.relevance(I.score_chunks(q, i), m))
+    q, m = questions(spark, d), members(spark, d)
+    return R.area_scores(q, areas(spark, d), _sig(spark, d), R.alias_scores(q, aliases(spark, d)), R.relevance(_scores(spark, d), m))
 
 
+@once
 def _active(spark, d):
-    return R.with_reasons(R.activated(_scored(spark, d)), I.surface_forms(chunks(spark, d)))
+    return R.with_reasons(R.activated(_scored(spark, d)), surfaces(spark, d))
 
 
+@once
 def _focused(spark, d):
     return R.focused_hits(R.focused_terms(questions(spark, d), _active(spark, d), _phrases(spark, d)), index(spark, d), members(spark, d))
 
@@ -135,7 +186,7 @@ def q_tokenize_filter(s, d):
 
 def q_baseline_search(s, d):
     c = chunks(s, d)
-    return _r6(I.search(questions(s, d), index(s, d), 6).join(c.select("chunk_id", "doc", "section", "text"), "chunk_id"), "score").select("query_id", F.col("rank").alias("n"), "doc", "section", "text", "score")
+    return _r6(I.ranked(_scores(s, d), k=6).join(c.select("chunk_id", "doc", "section", "text"), "chunk_id"), "score").select("query_id", F.col("rank").alias("n"), "doc", "section", "text", "score")
 
 
 def q_query_weights(s, d):
@@ -164,7 +215,7 @@ def q_area_ids(s, d):
 
 def _auto_areas(s, d):
     a = areas(s, d)
-    shown = A.distinctive_terms(index(s, d), A.folder_areas(chunks(s, d))).join(I.surface_forms(chunks(s, d)), "term")
+    shown = A.distinctive_terms(index(s, d), A.folder_areas(chunks(s, d))).join(surfaces(s, d), "term")
     ordered = F.array_sort(F.collect_list(F.struct("nth", "surface", "term", F.round("weight", 6).alias("w"))))
     lists = shown.groupBy(F.col("area_id").alias("id")).agg(ordered.alias("o")).select("id", F.col("o.surface").alias("aliases"), F.map_from_arrays("o.term", "o.w").alias("alias_stems"))
     docs = members(s, d).groupBy("id").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
@@ -191,7 +242,7 @@ def _loose(s, d):
 def q_cluster_label(s, d):
     m = A.cluster_documents(_loose(s, d)).select(F.col("cluster").cast("string").alias("area_id"), "doc")
     titles = m.join(chunks(s, d).select("doc", "title"), "doc").select("area_id", "title")
-    return A.cluster_labels(A.distinctive_terms(index(s, d), m), titles, I.surface_forms(chunks(s, d)))
+    return A.cluster_labels(A.distinctive_terms(index(s, d), m), titles, surfaces(s, d))
 
 
 def q_cluster_carryover(s, d):
@@ -299,18 +350,18 @@ def q_extract_json(s, d):
 
 QUERIES = {
     "tokenize": q_tokenize, "stem": q_stem, "tokenize_filter": q_tokenize_filter,
-    "term_freq": lambda s, d: index(s, d).postings, "chunk_len": lambda s, d: index(s, d).lengths,
+    "term_freq": postings, "chunk_len": lengths,
     "doc_freq": lambda s, d: index(s, d).terms.select("term", "df"), "corpus_stats": lambda s, d: _r6(index(s, d).corpus, "avgdl"),
     "term_idf": lambda s, d: _r6(index(s, d).terms, "idf").select("term", "idf"), "query_weights": q_query_weights,
     "bm25_search": lambda s, d: _r6(_plain(s, d), "score"), "baseline_search": q_baseline_search,
-    "folder_areas": lambda s, d: A.folder_areas(chunks(s, d)).select("area_id", "doc"), "surface_form": lambda s, d: I.surface_forms(chunks(s, d)),
+    "folder_areas": lambda s, d: A.folder_areas(chunks(s, d)).select("area_id", "doc"), "surface_form": surfaces,
     "doc_tfidf": lambda s, d: _r6(A.document_vectors(index(s, d)), "x"), "doc_cosine": q_doc_cosine,
     "distinctive_terms": lambda s, d: _r6(A.distinctive_terms(index(s, d), A.folder_areas(chunks(s, d))), "weight"),
     "slugify": q_slugify, "humanize": q_humanize, "area_ids": q_area_ids, "merge_domains": q_merge_domains, "area_summary": q_area_summary,
     "chunk_domain": lambda s, d: members(s, d).select("chunk_id", "id"),
     "signal_score": lambda s, d: _r6(_sig(s, d), "sig").select("query_id", "id", "sig", F.array_join("phrases", "|").alias("phrases")),
     "alias_score": lambda s, d: _r6(R.alias_scores(questions(s, d), aliases(s, d)), "ali").select("query_id", "id", "ali"),
-    "area_relevance": lambda s, d: _r6(R.relevance(I.score_chunks(questions(s, d), index(s, d)), members(s, d)), "rel"),
+    "area_relevance": lambda s, d: _r6(R.relevance(_scores(s, d), members(s, d)), "rel"),
     "area_score": lambda s, d: _r6(_scored(s, d), "score").select("query_id", "id", "score"),
     "activate_areas": lambda s, d: _r6(R.activated(_scored(s, d)), "score").select("query_id", "id", "state", "nth", "score"),
     "activation_reasons": q_activation_reasons, "ask_areas": q_ask_areas, "plain_head": q_plain_head,
