@@ -41,15 +41,15 @@ def _pieces(members: DataFrame, shards: int, total: int, rows: int) -> DataFrame
     # at most 2 * SPLIT * shards groups can pass the quota, so this side is bounded whatever the input
     large = F.broadcast(large.select("grp", "pieces"))
     piece = F.pmod(F.col("h"), F.coalesce(F.col("pieces"), F.lit(1)))
-    return members.join(large, "grp", "left").select("doc_id", "size", "text_crc32", "grp", "h", F.xxhash64("grp", piece).alias("node"), (F.coalesce(F.col("pieces"), F.lit(1)) > 1).alias("split"))
+    return members.join(large, "grp", "left").select("doc_id", "size", "text_crc32", "grp", "h", F.xxhash64("grp", piece).alias("node"), piece.cast("int").alias("piece"), (F.coalesce(F.col("pieces"), F.lit(1)) > 1).alias("split"))
 
 
 def _first_votes(members: DataFrame, shards: int) -> DataFrame:
     """One row per node: its bytes, and the shard where most of its documents lie after a scattered start."""
     start = F.pmod(F.col("h"), F.lit(shards)).cast("int")
-    by_label = members.groupBy("node", start.alias("label")).agg(F.sum("size").alias("b"), F.first("grp").alias("grp"), F.max("split").alias("split"))
+    by_label = members.groupBy("node", start.alias("label")).agg(F.sum("size").alias("b"), F.first("grp").alias("grp"), F.max("split").alias("split"), F.max("piece").alias("piece"))
     return by_label.groupBy("node").agg(
-        F.first("grp").alias("grp"), F.max("split").alias("split"), F.sum("b").alias("bytes"), (-F.max(F.struct("b", -F.col("label")))["col2"]).alias("label")
+        F.first("grp").alias("grp"), F.max("split").alias("split"), F.max("piece").alias("piece"), F.sum("b").alias("bytes"), (-F.max(F.struct("b", -F.col("label")))["col2"]).alias("label")
     )
 
 
@@ -70,7 +70,9 @@ def _under_quota(nodes: DataFrame, shards: int, total: int) -> DataFrame:
     """
     cap = total / shards
     level = F.least(F.lit(CLASSES - 1), F.floor(F.greatest(F.lit(0.0), F.log2(F.lit(max(cap, 1.0)) / F.greatest(F.col("bytes"), F.lit(1)) / 4) / 1.5)))
-    nodes = nodes.withColumn("bucket", (level * SUB + F.pmod(F.xxhash64("grp"), F.lit(SUB))).cast("int"))
+    sub = F.pmod(F.xxhash64("grp"), F.lit(SUB))
+    side = F.pmod(F.xxhash64("grp"), F.lit(8)) * (SUB // 8) + F.pmod("piece", F.lit(SUB // 8))  # siblings lie side by side
+    nodes = nodes.withColumn("bucket", F.when(F.col("split"), side).otherwise(level * SUB + sub).cast("int"))
     histogram = nodes.groupBy("label", "bucket").agg(F.sum("bytes").alias("b"))
     running = F.sum("b").over(Window.partitionBy("label").orderBy("bucket"))
     kept = histogram.withColumn("upto", running).groupBy("label").agg(
