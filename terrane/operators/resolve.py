@@ -170,7 +170,8 @@ def pack_passages(plain: DataFrame, focused: DataFrame, fallback: DataFrame, act
     rows = rows.join(members.select("chunk_id", F.col("id").alias("own_domain")), "chunk_id", "left").join(parked, ["query_id", "own_domain"], "left")
     rows = rows.join(index.chunks.select("chunk_id", F.length(passage_text(F.col("text"))).alias("chars")), "chunk_id", "left")
     rows = rows.withColumns({"parked": F.coalesce("parked", F.lit(False)), "own_domain": F.coalesce("own_domain", F.lit("")), "chars": F.coalesce("chars", F.lit(0)), "chunk_id": F.col("chunk_id").cast("long")})
-    found = rows.groupBy("query_id").applyInPandas(assemble(k, budget), "query_id long, n int, chunk_id long, domain_id string, via string")
+    kind = rows.schema["query_id"].dataType.simpleString()
+    found = rows.groupBy("query_id").applyInPandas(assemble(k, budget), f"query_id {kind}, n int, chunk_id long, domain_id string, via string")
     return found.join(index.chunks.select("chunk_id", "doc", "section", passage_text(F.col("text")).alias("text")), "chunk_id").select("query_id", "n", "doc", "section", "text", "domain_id", "via")
 
 
