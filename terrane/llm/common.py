@@ -2,35 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from ..sources.storage import shared_dir
+
 #: Rows of whole texts that one Arrow batch may hold; bounds a Python worker's memory by batch, not by partition.
 ARROW_ROWS = 512
 
-_own_dir: str | None = None
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none (single-machine tests)."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    _own_dir = _own_dir or f"file://{tempfile.mkdtemp(prefix='terrane-')}"
-    return _own_dir
-
-
 def saved(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
