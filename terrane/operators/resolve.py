@@ -17,6 +17,13 @@ FULL, SINGLE, PARTLY, OVERLAP, PARTLY_WORDS = 1.0, 0.75, 0.6, 0.6, 3
 SATURATION, ALIAS_PART, TEXT_PART, STRONG = 1.5, 0.8, 0.7, 0.5
 SIGNAL_BOOST, PHRASE_BOOST, SPARE, FILL = 1.0, 0.3, 4, 0.35
 
+#: How the reader must treat an area: by its authority, or `parked`.
+RULES = {
+    "ask": "HIGH-STAKES AREA. Ask which of the documents and general knowledge to use before relying on either.",
+    "parked": "general knowledge was chosen over the documents here; the documents of this area were left out on purpose.",
+    "project": "the documents are the authority. Where an answer would contradict them, state both sides and let the user decide.",
+}
+
 
 def signal_phrases(areas: DataFrame) -> DataFrame:
     """(id, nth, phrase, toks) of the phrases with any word that counts; areas: (id, signals)."""
@@ -177,10 +184,7 @@ def pack_passages(plain: DataFrame, focused: DataFrame, fallback: DataFrame, act
 
 def authority_rules(active: DataFrame) -> DataFrame:
     """(query_id, rules): how the reader must treat each area, active areas first."""
-    line = (
-        F.when(F.col("state") == "parked", F.concat(F.lit("- "), "label", F.lit(": general knowledge was chosen over the documents here; the documents of this area were left out on purpose.")))
-        .when(F.col("authority") == "ask", F.concat(F.lit("- "), "label", F.lit(": HIGH-STAKES AREA. Ask which of the documents and general knowledge to use before relying on either.")))
-        .otherwise(F.concat(F.lit("- "), "label", F.lit(": the documents are the authority. Where an answer would contradict them, state both sides and let the user decide.")))
-    )
+    rule = F.when(F.col("state") == "parked", RULES["parked"]).when(F.col("authority") == "ask", RULES["ask"]).otherwise(RULES["project"])
+    line = F.concat(F.lit("- "), "label", F.lit(": "), rule)
     ordered = F.array_sort(F.collect_list(F.struct("state", "nth", line.alias("line"))))
     return active.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("rules"))

@@ -4,11 +4,41 @@ from __future__ import annotations
 
 import difflib
 import json
+import urllib.request
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.documents import html_to_text
+
+# The most that is read of a source, and how long an answer may take.
+FETCH_BYTES, FETCH_SECONDS = 10 << 20, 60
+
+
+def fetch_text(url: str) -> str:
+    """The text of a published source; HTML by its content type or its beginning."""
+    request = urllib.request.Request(url, headers={"user-agent": "terrane-watch/1"})
+    with urllib.request.urlopen(request, timeout=FETCH_SECONDS) as answer:
+        kind, raw = answer.headers.get("content-type", ""), answer.read(FETCH_BYTES).decode("utf-8", "ignore")
+    return html_to_text(raw) if "html" in kind or "<html" in raw[:500].lower() else raw
+
+
+def fetch_sources(watched: DataFrame, fetch=fetch_text) -> DataFrame:
+    """(id, url, text, error) of watched (id, url); executors fetch, and a source that fails gives its error."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for key, url in zip(frame["id"], frame["url"], strict=True):
+                try:
+                    rows.append((key, url, fetch(url), None))
+                except Exception as e:  # whatever a source does wrong must not stop the others
+                    rows.append((key, url, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["id", "url", "text", "error"])
+
+    return watched.select("id", "url").mapInPandas(run, "id string, url string, text string, error string")
+
 
 def watch_status(state: DataFrame, fetched: DataFrame) -> DataFrame:
     """(id, status, sha256) per fetched source: error, new, changed, awaiting review or unchanged.
