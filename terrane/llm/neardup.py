@@ -2,7 +2,8 @@
 
 Documents are weighted sets of five-word shingles. Hashed darts fall on each shingle's region (its weight times the
 rank axis), each dart belongs to a random coordinate, and the earliest dart of every coordinate is the signature.
-Bands of coordinates give candidates; a pair is a link if its weighted Jaccard similarity is at least 0.8, judged from
+Bands of coordinates give candidates: most copies are first gathered around pivots, then all pairs of different classes in
+each wide bucket are compared. A pair is a link if its weighted Jaccard similarity is at least 0.8, judged from
 the signatures where they leave no doubt and from the shingles themselves elsewhere. Classes are connected components.
 """
 
@@ -28,6 +29,8 @@ LEVELS = ((4, 16), (16, 16), (40, 6))
 SURELY, HARDLY = 0.92, 0.68
 #: Sets to be compared exactly are found by a broadcast of at most this many keys; beyond it by a shuffle.
 BROADCAST_NODES = 500_000
+#: Members of a bucket that are compared with as many others at a time; bounds a task's memory, not what is compared.
+BLOCK = 512
 
 U = np.uint64
 
@@ -135,16 +138,22 @@ def sign_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text") -
     return saved(rows.mapInArrow(_sign, "doc_id long, node long, cells long, sig binary"), "signatures")
 
 
+def _keys(nodes: DataFrame, bands: int, width: int, labels: DataFrame | None) -> DataFrame:
+    """(node, label, band, bucket): the buckets of every node."""
+    label = F.col("node")
+    if labels is not None:
+        nodes, label = nodes.join(labels, "node", "left"), F.coalesce("label", "node")
+    return nodes.select("node", label.alias("label"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * width) + 1, F.lit(2 * width))))).alias("band", "bucket"))
+
+
 def _candidates(nodes: DataFrame, bands: int, width: int, labels: DataFrame | None) -> DataFrame:
     """Pairs (a, b): every member of a bucket with the bucket's hash-drawn pivots, one at first and then two, unless of one class.
 
     Pivots are minima, so they are found by partial aggregation, and a bucket yields twice its members at most; each
-    band draws its own. Nothing collects a bucket, and buckets of one class yield nothing.
+    band draws its own. Nothing collects a bucket, and buckets of one class yield nothing. Pairs that this passes over
+    are left to _all_pairs.
     """
-    label = F.col("node")
-    if labels is not None:
-        nodes, label = nodes.join(labels, "node", "left"), F.coalesce("label", "node")
-    keys = nodes.select("node", label.alias("label"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * width) + 1, F.lit(2 * width))))).alias("band", "bucket"))
+    keys = _keys(nodes, bands, width, labels)
     drawn = F.struct(F.xxhash64("bucket", "node").alias("draw"), "node", "label")
     pivots = keys.groupBy("bucket").agg(F.min(drawn).alias("p"), F.max(drawn).alias("q"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     ends = F.array("p") if labels is None else F.array("p", "q")  # one pivot is enough to gather the first classes
@@ -162,6 +171,70 @@ def _agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(agree, pa.float64())], ["a", "b", "agree"])
 
 
+def _compared(bands: int, width: int):
+    """Pairs of a block pair's rows that may be links; rows come sorted by (bucket, i, j), and k is the row's own block."""
+
+    def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        i, j, k, band, node, label, cells = (rows.column(c).to_numpy() for c in ("i", "j", "k", "band", "node", "label", "cells"))
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(len(k), -1)
+        one = i[0] == j[0]
+        right = np.arange(len(k)) if one else np.flatnonzero(k == j[0])
+        right = right[np.argsort(node[right], kind="stable")]
+        for x in right if one else np.flatnonzero(k == i[0]):
+            near = right[(label[right] != label[x]) & (np.minimum(cells[right], cells[x]) >= SIMILAR * np.maximum(cells[right], cells[x]))]
+            if one:
+                near = near[node[near] > node[x]]
+            same = sig[near] == sig[x]
+            agree = np.count_nonzero(same, 1) / sig.shape[1]
+            fine = agree >= HARDLY
+            # only the first bucket that two texts share yields the pair
+            fine[fine] = same[fine, : bands * width].reshape(-1, bands, width).all(2).argmax(1) == band[x]
+            if fine.any():
+                b = node[near[fine]]
+                yield pa.record_batch([pa.array(np.minimum(node[x], b)), pa.array(np.maximum(node[x], b)), pa.array(agree[fine])], ["a", "b", "agree"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for at, stop in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(key[at]) != last:
+                    yield from pairs(held)
+                    held = []
+                last = tuple(key[at])
+                held.append(batch.slice(at, stop - at))
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def _all_pairs(nodes: DataFrame, bands: int, width: int, labels: DataFrame) -> DataFrame:
+    """(a, b, agree) of all pairs of different classes that share a bucket, but those whose signatures leave no doubt.
+
+    A bucket is dealt into blocks of about BLOCK members, and each two blocks are compared by one group of rows, except
+    two blocks of the bucket's commonest class. So no task takes a whole bucket; the pairs compared grow with the square
+    of a bucket's members outside that class, which is what telling them all apart takes.
+    """
+    keys = _keys(nodes, bands, width, labels)
+    shared = keys.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    members = saved(keys.join(shared, "bucket"), "members")
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"))
+    blocks = sizes.select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("own"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("rest"))
+    common, drawn = F.col("label") == F.col("top"), F.xxhash64("bucket", "node")
+    k = F.when(common, F.pmod(drawn, F.col("own"))).otherwise(F.col("own") + F.pmod(drawn, F.col("rest"))).cast("int")
+    others = F.sequence(F.when(common, F.col("own")).otherwise(0), F.col("own") + F.col("rest") - 1)
+    dealt = members.join(blocks, "bucket").select("bucket", "band", "node", "label", k.alias("k"), F.explode(others).alias("o"))
+    dealt = dealt.select("bucket", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "band", "node", "label")
+    rows = dealt.join(nodes, "node").select("bucket", "i", "j", "k", "band", "node", "label", "cells", "sig")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return rows.mapInArrow(_compared(bands, width), "a long, b long, agree double")
+
+
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.record_batch([batch.column(0), pa.array([cells(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], ["node", "cells"])
@@ -179,11 +252,16 @@ def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
-    """The pairs that are links."""
+def _judged(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, agree) of the pairs, but those whose signatures leave no doubt."""
     sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("cells").alias(f"n_{x}"))
     joined = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b")
-    judged = saved(joined.mapInArrow(_agree, "a long, b long, agree double").where(f"agree >= {HARDLY}"), "agreement")
+    return joined.mapInArrow(_agree, "a long, b long, agree double").where(f"agree >= {HARDLY}")
+
+
+def _links(docs: DataFrame, judged: DataFrame, text: str) -> DataFrame:
+    """The judged pairs that are links."""
+    judged = saved(judged, "agreement")
     sure, unsure = judged.where(f"agree >= {SURELY}").select("a", "b"), judged.where(f"agree < {SURELY}").select("a", "b")
     wanted = saved(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "unsure")
     n = wanted.count()
@@ -231,9 +309,12 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> tuple
     signed = sign_documents(docs, ident, text)
     nodes = saved(signed.where("sig is not null").groupBy("node").agg(F.min(F.struct("cells", "sig")).alias("s")).select("node", "s.cells", "s.sig"), "nodes")
     labels = None
-    for bands, width in LEVELS:
-        pairs = saved(_candidates(nodes, bands, width, labels), "pairs")
-        links = _links(docs, nodes, pairs, text)
+    for bands, width in (*LEVELS, (0, 0)):
+        if bands:
+            judged = _judged(nodes, saved(_candidates(nodes, bands, width, labels), "pairs"))
+        else:  # most copies are of one class now; all pairs that still are not
+            judged = _all_pairs(nodes, *LEVELS[-1], labels)
+        links = _links(docs, judged, text)
         if labels is None:
             labels = components(links)
             continue

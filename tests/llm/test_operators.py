@@ -247,6 +247,25 @@ def test_near_duplicates(spark, docs, none):
     assert neardup.near_duplicates(none).count() == 0 and neardup.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_that_share_only_one_large_bucket(spark, monkeypatch):
+    """60 pairs of near copies, whose signatures all lie in one bucket of the first band and share no other."""
+    rng, rows = np.random.default_rng(4), []
+    for i in range(60):
+        words = [f"w{i}x{k}" for k in range(60)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "changed"]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes, signs = {r[0]: r[1] for r in table.selectExpr("doc_id", "xxhash64(text)").collect()}, []
+    apart = (np.arange(256) % 6 == 0) & (np.arange(256) > 0)
+    for i in range(60):
+        sig = rng.integers(0, 1 << 16, 256).astype(np.uint16)
+        sig[:6] = 7
+        signs += [(2 * i, nodes[2 * i], 56, sig.tobytes()), (2 * i + 1, nodes[2 * i + 1], 56, np.where(apart, ~sig, sig).tobytes())]
+    signed = spark.createDataFrame(signs, "doc_id long, node long, cells long, sig binary")
+    monkeypatch.setattr(neardup, "sign_documents", lambda *_: signed)
+    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(table).collect()} == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     for share in (0.2, 0.5, 0.8):
