@@ -1,8 +1,8 @@
 """Balanced label propagation over documents that share a text, with DataFrame functions only.
 
-Documents vote for the shard of their group; groups move to the shard with most of their bytes, and pieces of groups
-too large for one shard move towards the shards of their sibling pieces, each round under capacity quotas. What a
-full shard turns away goes to shards with room, so sizes stay even.
+Documents vote for the shard of their group, and groups move to the shard with most of their bytes under capacity
+quotas. Large groups, whose number is bounded, are placed first and whole; only a group that no shard has room for is
+split, over as few shards as hold its pieces. What a full shard turns away goes to shards with room, so sizes stay even.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import saved, text_key
 
-#: A group above this part of a shard's capacity is split; so at most SPLIT * shards groups, by bytes and by rows, are.
-SPLIT = 4
+#: A group above 1 / LARGE of a shard's capacity is placed first; so at most LARGE * shards groups, by bytes and by rows, are.
+#: It consists of up to PIECES pieces for each shard's capacity: none of its own is a task's whole work in a join.
+LARGE, PIECES = 4, 16
 #: Priority buckets in which quotas are cut: eight size classes, large ones first, times sub-buckets.
 CLASSES, SUB = 8, 512
 #: Rows that one window of the slot numbering sorts where shards have equal rows, and least windows of a shard.
@@ -34,57 +35,76 @@ def _members(docs: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def _pieces(members: DataFrame, shards: int, total: int, rows: int) -> DataFrame:
-    """Adds node: the group, or a hash-drawn piece of a group too large to move whole."""
-    whole = F.greatest(F.ceil(F.sum("size") * F.lit(SPLIT * shards / max(total, 1))), F.ceil(F.count("*") * F.lit(SPLIT * shards / max(rows, 1))))
-    floor = F.count("*") >= 2 * SPLIT
-    large = members.groupBy("grp").agg(F.when(floor, whole).otherwise(1).alias("pieces"), F.sum("size").alias("b")).where("pieces > 1")
-    # at most 2 * SPLIT * shards groups can pass the quota, so this side is bounded whatever the input
-    large = F.broadcast(large.select("grp", "pieces"))
+    """Adds node: the group, or a hash-drawn piece of a large group."""
+    share = F.greatest(F.sum("size") * F.lit(shards / max(total, 1)), F.count("*") * F.lit(shards / max(rows, 1)))
+    large = members.groupBy("grp").agg(share.alias("share"), F.count("*").alias("n")).where(f"n > 1 and share > 1 / {LARGE}")
+    # at most 2 * LARGE * shards groups can pass, so this side is bounded whatever the input
+    large = F.broadcast(large.select("grp", F.least("n", F.ceil(F.col("share") * PIECES)).alias("pieces")))
     piece = F.pmod(F.col("h"), F.coalesce(F.col("pieces"), F.lit(1)))
-    return members.join(large, "grp", "left").select("doc_id", "size", "text_crc32", "grp", "h", F.xxhash64("grp", piece).alias("node"), piece.cast("int").alias("piece"), (F.coalesce(F.col("pieces"), F.lit(1)) > 1).alias("split"))
+    return members.join(large, "grp", "left").select("doc_id", "size", "text_crc32", "grp", "h", F.xxhash64("grp", piece).alias("node"), F.col("pieces").isNotNull().alias("large"))
 
 
 def _first_votes(members: DataFrame, shards: int) -> DataFrame:
     """One row per node: its bytes, and the shard where most of its documents lie after a scattered start."""
     start = F.pmod(F.col("h"), F.lit(shards)).cast("int")
-    by_label = members.groupBy("node", start.alias("label")).agg(F.sum("size").alias("b"), F.first("grp").alias("grp"), F.max("split").alias("split"), F.max("piece").alias("piece"))
-    return by_label.groupBy("node").agg(
-        F.first("grp").alias("grp"), F.max("split").alias("split"), F.max("piece").alias("piece"), F.sum("b").alias("bytes"), (-F.max(F.struct("b", -F.col("label")))["col2"]).alias("label")
-    )
-
+    by_label = members.groupBy("node", start.alias("label")).agg(F.sum("size").alias("b"), F.first("grp").alias("grp"), F.max("large").alias("large"))
+    return by_label.groupBy("node").agg(F.first("grp").alias("grp"), F.max("large").alias("large"), F.sum("b").alias("bytes"), (-F.max(F.struct("b", -F.col("label")))["col2"]).alias("label"))
 
-def _sibling_votes(nodes: DataFrame) -> DataFrame:
-    """Pieces of split groups want the shard with most bytes of their siblings; all others want to stay."""
-    pieces = nodes.where("split")
-    votes = pieces.groupBy("grp", "label").agg(F.sum("bytes").alias("vote")).withColumnRenamed("label", "there")
-    gain = F.col("vote") - F.when(F.col("there") == F.col("label"), F.col("bytes")).otherwise(0)
-    want = pieces.join(votes, "grp").groupBy("node").agg((-F.max(F.struct(gain, -F.col("there")))["col2"]).alias("want"))
-    return nodes.join(want, "node", "left").withColumn("label", F.coalesce("want", "label")).drop("want")
 
+def place_large(pieces: list[tuple[int, int, int]], shards: int, cap: float) -> tuple[dict[int, int], list[float]]:
+    """The shard of every piece (node, grp, bytes), and the room that is left of each shard's capacity.
 
-def _under_quota(nodes: DataFrame, shards: int, total: int) -> DataFrame:
-    """Keep each shard's nodes up to its capacity, large ones first; deal the rest to the shards with room.
+    Groups by falling bytes: each goes whole to the fullest shard that has room for it; where none has, its pieces fill
+    the emptiest shards one after the other.
+    """
+    room, where = [float(cap)] * shards, {}
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for node, grp, size in pieces:
+        groups.setdefault(grp, []).append((size, node))
+    for grp in sorted(groups, key=lambda g: (-sum(b for b, _ in groups[g]), g)):
+        left, size = sorted(groups[grp], reverse=True), sum(b for b, _ in groups[grp])
+        fits = [s for s in range(shards) if room[s] >= size]
+        at = min(fits, key=lambda s: (room[s], s)) if fits else -1
+        while left:
+            if not fits:
+                at = max(range(shards), key=lambda s: (room[s], -s))
+            taken = left if fits else []
+            if not fits:
+                space = room[at]
+                for piece in left:
+                    if piece[0] <= space:
+                        taken.append(piece)
+                        space -= piece[0]
+                taken = taken or left[:1]  # no shard has room for a piece: the emptiest takes it
+            where.update((node, at) for _, node in taken)
+            room[at] -= sum(b for b, _ in taken)
+            out = {node for _, node in taken}
+            left = [x for x in left if x[1] not in out]
+    return where, room
+
+
+def _under_quota(nodes: DataFrame, shards: int, caps: list[float], whole: float) -> DataFrame:
+    """Keep each shard's nodes up to its capacity of caps, large ones first; deal the rest to the shards with room.
 
     Only the histogram over (shard, bucket) is ordered: at most shards * CLASSES * SUB rows whatever the input, and
     of it one row per shard reaches the driver.
     """
-    cap = total / shards
-    level = F.least(F.lit(CLASSES - 1), F.floor(F.greatest(F.lit(0.0), F.log2(F.lit(max(cap, 1.0)) / F.greatest(F.col("bytes"), F.lit(1)) / 4) / 1.5)))
+    level = F.least(F.lit(CLASSES - 1), F.floor(F.greatest(F.lit(0.0), F.log2(F.lit(max(whole, 1.0)) / F.greatest(F.col("bytes"), F.lit(1)) / 4) / 1.5)))
     sub = F.pmod(F.xxhash64("grp"), F.lit(SUB))
-    side = F.pmod(F.xxhash64("grp"), F.lit(8)) * (SUB // 8) + F.pmod("piece", F.lit(SUB // 8))  # siblings lie side by side
-    nodes = nodes.withColumn("bucket", F.when(F.col("split"), side).otherwise(level * SUB + sub).cast("int"))
+    nodes = nodes.withColumn("bucket", (level * SUB + sub).cast("int"))
     histogram = nodes.groupBy("label", "bucket").agg(F.sum("bytes").alias("b"))
+    cap = F.element_at(F.array(*map(F.lit, caps)), F.col("label") + 1)
     running = F.sum("b").over(Window.partitionBy("label").orderBy("bucket"))
-    kept = histogram.withColumn("upto", running).groupBy("label").agg(
-        F.coalesce(F.min(F.when(F.col("upto") > cap, F.col("bucket"))), F.lit(CLASSES * SUB)).alias("cut"),
-        F.coalesce(F.max(F.when(F.col("upto") <= cap, F.col("upto"))), F.lit(0)).alias("used"),
+    kept = histogram.withColumn("upto", running).withColumn("cap", cap).groupBy("label").agg(
+        F.coalesce(F.min(F.when(F.col("upto") > F.col("cap"), F.col("bucket"))), F.lit(CLASSES * SUB)).alias("cut"),
+        F.coalesce(F.max(F.when(F.col("upto") <= F.col("cap"), F.col("upto"))), F.lit(0)).alias("used"),
     )
     state = {r["label"]: (r["cut"], r["used"]) for r in kept.collect()}  # one row per shard
     cuts = F.array(*(F.lit(state.get(s, (CLASSES * SUB, 0))[0]) for s in range(shards)))
     moved = nodes.withColumn("out", F.col("bucket") >= F.element_at(cuts, F.col("label") + 1))
     room, ends = 0.0, []
     for s in range(shards):
-        room += max(0.0, cap - state.get(s, (0, 0))[1])
+        room += max(0.0, caps[s] - state.get(s, (0, 0))[1])
         ends.append(room)
     pool = moved.where("out").groupBy("bucket").agg(F.sum("bytes").alias("b"))
     middle = F.sum("b").over(Window.orderBy("bucket")) - F.col("b") / 2
@@ -102,18 +122,23 @@ def _under_quota(nodes: DataFrame, shards: int, total: int) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 3, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row, under the law "bytes".
 
-    size is the text's UTF-8 bytes plus 1. Rows of equal texts share a shard unless their group exceeds a SPLIT-th of
-    a shard, whose pieces then keep together where quotas allow. A null text counts no bytes, has crc 0 and is linked
+    size is the text's UTF-8 bytes plus 1. Rows of equal texts share a shard unless no shard has room for their group
+    beside larger ones; it is then split over as few shards as its pieces fill. A null text counts no bytes, has crc 0 and is linked
     to nothing; an empty text is a text. Null ids and repeated rows keep a slot each. An empty table gives no rows.
     """
     narrow = saved(_members(docs, ident, text), "members")
     got = narrow.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     total, rows = got["b"] or 0, got["n"]
     members = saved(_pieces(narrow, shards, total, rows), "pieces")
-    nodes = saved(_under_quota(_first_votes(members, shards), shards, total), "nodes")
-    for _ in range(rounds - 1):
-        nodes = saved(_under_quota(_sibling_votes(nodes), shards, total), "nodes")
-    nodes = saved(_under_quota(nodes, shards, total), "nodes")
+    cap = total / shards
+    voted = saved(_first_votes(members, shards), "nodes")
+    pieces = voted.where("large").select("node", "grp", "bytes").collect()  # at most 2 * (LARGE + PIECES) * shards rows
+    where, room = place_large([tuple(r) for r in pieces], shards, cap)
+    placed = docs.sparkSession.createDataFrame([(n, s) for n, s in where.items()], "node long, label int")
+    nodes, caps = voted.where("not large"), [max(0.0, r) for r in room]
+    for _ in range(rounds + 1):
+        nodes = saved(_under_quota(nodes, shards, caps, cap), "nodes")
+    nodes = nodes.select("node", "label").unionByName(placed)
     parts = max(SLOT_PARTS, -(-rows // (shards * SLOT_ROWS)))
     placed = members.join(nodes.select("node", F.col("label").alias("shard")), "node").withColumn("part", F.pmod(F.col("h"), F.lit(parts)))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))

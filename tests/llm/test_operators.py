@@ -149,6 +149,22 @@ def test_shards_are_even_and_split_only_large_groups(spark):
     assert all(len(s) == 1 for t, s in where.items() if not t.startswith("hot")) and len(where["hot " * 40]) < 16
 
 
+def test_shards_keep_groups_whole_that_a_shard_can_hold(spark):
+    for seed in range(2):
+        rng, rows = random.Random(seed), []
+        for g, share in enumerate((0.9, 0.7, 0.5, 0.4, 0.3, 0.3)):
+            rows += [f"group {g} " + "x" * 91] * int(share * 250)
+        rows += ["s"] * 150  # many rows, few bytes
+        rows += [f"{rng.random()} " + "y" * 80 for _ in range(4000 - len(rows))]
+        got = sharding.shard_documents(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")).collect()
+        sums, where = Counter(), defaultdict(set)
+        for r in got:
+            sums[r.shard] += r.size
+            where[rows[r.doc_id]].add(r.shard)
+        assert all(len(x) == 1 for x in where.values())
+        assert len(sums) == 16 and max(sums.values()) < 1.05 * min(sums.values())
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
