@@ -24,7 +24,7 @@ CAPACITY, END = 4096, 1
 GROUP = 16_384
 #: A bin with at most this much room is emitted before the last level.
 NEARLY = 32
-#: Levels of merging after the local one.
+#: Levels of merging after the local one that are always gone through; more follow while they lower the number of bins.
 LEVELS = 4
 #: Known words that one worker remembers before it starts anew.
 MEMORY = 1_000_000
@@ -142,7 +142,7 @@ def _fit(level: int, capacity: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("id")
         bins, offsets, fills = best_fit(group.column("length").to_pylist(), capacity)
-        first = (level << 58) + (group.column("g")[0].as_py() << 24)
+        first = (level << 52) + (group.column("g")[0].as_py() << 24)
         return pa.table({"id": group.column("id"), "bin": pa.array([first + b for b in bins], pa.int64()), "offset": pa.array(offsets, pa.int64()), "fill": pa.array([fills[b] for b in bins], pa.int64())})
 
     return run
@@ -159,8 +159,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, gr
     pieces = saved(rows.mapInArrow(_tokenise(tokenizer, capacity), PIECES), "tokens")
     items = pieces.where(F.col("length") < capacity).select(F.col("item").alias("id"), "length")
     placed = None
-    for level in range(levels + 1):
-        groups = max(1, -(-items.count() // group))
+    level, before = 0, None
+    while True:
+        left = items.count()
+        groups = max(1, -(-left // group))
         dealt = items.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)))
         fitted = saved(dealt.groupBy("g").applyInArrow(_fit(level, capacity), BINS), f"level{level}")
         if placed is None:
@@ -169,8 +171,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, gr
             upper = fitted.select(F.col("id").alias("bin"), F.col("bin").alias("to"), F.col("offset").alias("shift"))
             placed = placed.join(upper, "bin", "left").select("id", F.coalesce("to", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
         items = fitted.where(F.col("fill") < capacity - NEARLY).groupBy(F.col("bin").alias("id")).agg(F.first("fill").alias("length"))
-        if groups == 1:
-            break
+        if groups == 1 or (level >= levels and before is not None and left >= before):
+            break  # all underfull bins met, or, past the usual levels, the last one merged none
+        level, before = level + 1, left
     found = pieces.join(placed.withColumnRenamed("id", "item"), "item", "left")
     full = F.lit(15 << 58 >> 1) + F.col("item")  # pieces of full length are sequences of their own
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("bin", full).alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))

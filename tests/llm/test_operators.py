@@ -343,6 +343,16 @@ def test_packing(docs, none):
     assert len(small) == len({(r.doc_id, r.piece) for r in rows})
 
 
+def test_packing_merges_until_the_bins_are_few(spark):
+    path = tokenizer_path()
+    table = spark.createDataFrame([(i, "the " * 40) for i in range(96)], "doc_id long, text string").repartition(2)
+    rows = packing.pack_documents(table, path, capacity=256, group=8, levels=0).collect()
+    fills = Counter()
+    for r in rows:
+        fills[r.sequence_id] += r.length
+    assert len(rows) == 96 and sum(sorted(fills.values())[:2]) > 256  # no two bins could be one
+
+
 def test_word_ids_equal_the_tokenizer():
     ids = packing.word_ids(tokenizer_path())
     pool = "aB'sé ÉtrÖß09.,!?-_\n\t'LL œŒ€«’…'re \x1c ́²Σ"
