@@ -1,168 +1,270 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Every token is predicted from the tokens on both sides of it: a small network trained in numpy gives the distribution
-over word classes, and counts over the whole corpus give the word within its class. The sum of the conditional
-log-probabilities scores a document.
+Every token is predicted from the tokens on both sides of it. A network trained in numpy gives the distribution over
+leaves: the frequent words, and one leaf for the rarer words of each group of last characters. A rarer word is then
+told apart by how often the other documents use it, mixed with a spelling model, so the whole is a distribution over
+words of any kind. The sum of the conditional log-probabilities scores a document; its own uses of rarer words never
+speak for it.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
-from .common import bounded_arrow, saved
+from .common import bounded_arrow, saved, scratch
 
-#: Words with an id of their own as context, and those among them with a class of their own.
-FREQUENT, SINGLE = 8192, 32
-#: Classes of the other words, by their last two letters; hash buckets within each class.
-ENDINGS, SPREAD = 32, 4096
-CLASSES = SINGLE + ENDINGS
+#: Words with a leaf of their own, groups of the others by last character, and leaves in a class.
+FREQUENT, GROUPS, PER = 4096, 64, 64
+LEAVES = FREQUENT + GROUPS
+CLASSES = LEAVES // PER
+EDGE = LEAVES  # the context beyond the text's ends
+#: Words whose counts every worker holds; the counts of all others are joined as a table.
+KNOWN = 1 << 17
 #: Context words on each side; hidden units.
 SIDE, HIDDEN = 2, 24
 OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
-CONTEXTS = FREQUENT + ENDINGS + 1  # the last is the text's edge
-#: Part of the documents the network is trained on, drawn by hash: it grows with the corpus. Rounds of averaging.
-TRAINED, ROUNDS = 0.03, 2
-#: Documents that one training task takes; parameters are summed in so many blocks.
-TASK_DOCS, BLOCKS = 1000, 32
-STEP, RATE = 1024, 0.5
-#: Tokens scored at a time; words that a worker remembers; distinct words counted before a task passes them on.
-TOKENS, MEMORY, PENDING = 200_000, 1_000_000, 400_000
+INPUTS = len(OFFSETS) * (LEAVES + 1)
+#: Rows of parameters: context words, the hidden bias, classes, leaves. The last column is the bias of a class or leaf.
+ROWS = INPUTS + 1 + CLASSES + LEAVES
+#: Every document trains; of its tokens one in so many is masked and predicted. Tokens of one task; tasks of the first round.
+MASKED, TASK_TOKENS, FIRST_TASKS = 8, 2_000_000, 4
+STEP, RATE, BLOCKS = 2048, 0.08, 32
+#: Tokens encoded or scored at a time, and distinct words counted before a task passes them on.
+TOKENS, CHUNK, PENDING = 200_000, 16_384, 400_000
+#: Symbols of the spelling model: code points below 256, one for all others (each of 2 ** 20), the word's start.
+OTHER, START = 256, 257
+SYMBOLS, OTHERS = 258, 20 * np.log(2)
+SEED = 42  # of the hash that Spark's xxhash64 computes
+
+ENCODED = "doc_id long, rid long, round int, tokens long, ids binary, within double, unseen long, keys array<long>, own array<int>, base array<double>, rest array<double>"
 
 
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def ending(word: str) -> int:
-    return zlib.crc32(word[-2:].encode()) % ENDINGS
+def symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the words, a START before and after each, and the places of the STARTs."""
+    points = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    gaps = points == 32
+    return np.where(gaps, START, np.minimum(points, OTHER)).astype(np.int64), np.flatnonzero(gaps)
+
+
+def groups_of(words: list[str]) -> np.ndarray:
+    """Group of each word: its last symbol modulo GROUPS."""
+    if not words:
+        return np.zeros(0, np.int64)
+    codes, gaps = symbols(words)
+    return codes[gaps[1:] - 1] % GROUPS
+
+
+def spelling(counts: np.ndarray) -> np.ndarray:
+    """SYMBOLS x SYMBOLS log-probabilities from pair counts, read from a word's end.
+
+    Row START: of the last symbol within its group. Other rows: of the symbol before (START where there is none).
+    """
+    out = np.full((SYMBOLS, SYMBOLS), -np.inf)
+    soft = counts + 0.5
+    out[:START] = np.log(soft[:START] / soft[:START].sum(1, keepdims=True))
+    last = soft[START, :START]
+    out[START, :START] = np.log(last / np.bincount(np.arange(START) % GROUPS, last)[np.arange(START) % GROUPS])
+    return out
+
+
+def spelled(table: np.ndarray, words: list[str]) -> np.ndarray:
+    """Log-probability of each word's spelling, given its group."""
+    if not words:
+        return np.zeros(0)
+    codes, gaps = symbols(words)
+    cost = np.concatenate([[0.0], table[codes[1:], codes[:-1]] - OTHERS * (codes[:-1] == OTHER)])
+    return np.add.reduceat(cost, gaps[:-1] + 1) if len(gaps) > 1 else np.zeros(0)
 
 
 @dataclass
 class Vocabulary:
-    frequent: dict[str, int]  # by falling count
-    log_within: np.ndarray  # log-probability of a word identity within its class
-
-    def identity(self, word: str) -> tuple[int, int, int]:
-        """(context id, class, identity): identities are the frequent words, then hash buckets by ending."""
-        at, end = self.frequent.get(word), ending(word)
-        if at is None:
-            return FREQUENT + end, SINGLE + end, FREQUENT + end * SPREAD + zlib.crc32(word.encode()) % SPREAD
-        return at, at if at < SINGLE else SINGLE + end, at
-
-
-def vocabulary(frequent: list[str], tail: np.ndarray, counts: list[int]) -> Vocabulary:
-    """From the frequent words with their counts and the counts of all hash buckets; every identity gets half a count."""
-    per = np.concatenate([np.zeros(FREQUENT), tail]) + 0.5
-    per[: len(counts)] += counts
-    klass = np.concatenate([np.zeros(FREQUENT, int), SINGLE + np.arange(ENDINGS * SPREAD) // SPREAD])
-    for i, w in enumerate(frequent):
-        klass[i] = i if i < SINGLE else SINGLE + ending(w)
-    per[len(frequent) : FREQUENT] = 0
-    total = np.bincount(klass, per, CLASSES)
-    with np.errstate(divide="ignore"):
-        return Vocabulary({w: i for i, w in enumerate(frequent)}, np.log(per / np.maximum(total[klass], 1e-300)))
+    words: list[str]  # the known ones by falling count; the first FREQUENT have a leaf of their own
+    counts: np.ndarray
+    used: np.ndarray  # tokens of the rarer words, by group
+    types: np.ndarray  # distinct rarer words, by group
+    spell: np.ndarray
+
+    def leaf_counts(self) -> np.ndarray:
+        out = np.zeros(LEAVES)
+        out[: min(FREQUENT, len(self.words))] = self.counts[:FREQUENT]
+        out[FREQUENT:] = self.used
+        return out
+
+
+def window(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """tokens x offsets: leaves around every token, EDGE beyond the text's ends."""
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(ids)) - np.repeat(first, lengths)
+    size = np.repeat(lengths, lengths)
+    out = np.full((len(ids), len(OFFSETS)), EDGE, np.int32)
+    for k, o in enumerate(OFFSETS):
+        fine = np.flatnonzero((place + o >= 0) & (place + o < size))
+        out[fine, k] = ids[fine + o]
+    return out
 
 
-@dataclass
 class Network:
-    inputs: np.ndarray  # offsets x contexts x hidden
-    hidden_bias: np.ndarray
-    outputs: np.ndarray  # hidden x classes
-    bias: np.ndarray
+    """Parameters as one matrix; a distribution over leaves is that over classes times that within the class."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows
+        at = INPUTS + 1
+        self.inputs = np.ascontiguousarray(rows[:INPUTS, :HIDDEN]).reshape(len(OFFSETS), LEAVES + 1, HIDDEN)
+        self.hidden_bias = rows[INPUTS, :HIDDEN].copy()
+        self.classes, self.class_bias = np.ascontiguousarray(rows[at : at + CLASSES, :HIDDEN].T), rows[at : at + CLASSES, HIDDEN].copy()
+        leaves = rows[at + CLASSES :].reshape(CLASSES, PER, HIDDEN + 1)
+        self.leaves, self.leaf_bias = np.ascontiguousarray(leaves[:, :, :HIDDEN].transpose(0, 2, 1)), leaves[:, :, HIDDEN].copy()
 
     @classmethod
-    def start(cls, seed: int = 7) -> Network:
+    def start(cls, counts: np.ndarray, seed: int = 7) -> Network:
+        """Random small weights, and biases that give every leaf its share of the corpus; leaves never used get next to none."""
         rng = np.random.default_rng(seed)
-        return cls(rng.normal(0, 0.3, (len(OFFSETS), CONTEXTS, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, 0.3, (HIDDEN, CLASSES)).astype(np.float32), np.zeros(CLASSES, np.float32))
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.inputs, self.hidden_bias, self.outputs, self.bias]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
-
-    def moved(self, delta: np.ndarray) -> Network:
-        out, at = [], 0
-        for p in self.parts():
-            out.append((p + delta[at : at + p.size].reshape(p.shape)).astype(np.float32))
-            at += p.size
-        return Network(*out)
-
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden units and log-probabilities of the classes; context: tokens x offsets."""
-        total = self.hidden_bias + self.inputs[0][context[:, 0]]
+        rows = np.zeros((ROWS, HIDDEN + 1), np.float32)
+        rows[:, :HIDDEN] = rng.normal(0, 0.1, (ROWS, HIDDEN))
+        soft = np.where(counts > 0, counts, 1e-6)
+        by_class = soft.reshape(CLASSES, PER).sum(1)
+        rows[INPUTS + 1 : INPUTS + 1 + CLASSES, HIDDEN] = np.log(by_class / by_class.sum())
+        rows[INPUTS + 1 + CLASSES :, HIDDEN] = np.log(soft / np.repeat(by_class, PER))
+        return cls(rows)
+
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        total = self.inputs[0].take(context[:, 0], 0)
         for k in range(1, len(OFFSETS)):
-            total += self.inputs[k][context[:, k]]
-        hidden = np.tanh(total)
-        logits = hidden @ self.outputs
-        logits += self.bias
+            total += self.inputs[k].take(context[:, k], 0)
+        total += self.hidden_bias
+        return np.tanh(total, out=total)
+
+    @staticmethod
+    def _log_softmax(logits: np.ndarray) -> np.ndarray:
+        """Logits with the logarithm of their sum of exponentials taken off, in place."""
         logits -= logits.max(1, keepdims=True)
         logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-        return hidden, logits
-
-    def train(self, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
-        """One pass of minibatch gradient descent over the tokens."""
-        for i in range(0, len(target), STEP):
-            ctx, tgt = context[i : i + STEP], target[i : i + STEP]
-            hidden, logp = self.forward(ctx)
-            grad = np.exp(logp)
-            grad[np.arange(len(tgt)), tgt] -= 1
-            grad *= rate / len(tgt)
-            back = (grad @ self.outputs.T) * (1 - hidden**2)
-            self.outputs -= hidden.T @ grad
-            self.bias -= grad.sum(0)
-            self.hidden_bias -= back.sum(0)
-            for k in range(len(OFFSETS)):
-                np.subtract.at(self.inputs[k], ctx[:, k], back * 20)
-
-
-def contexts(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """tokens x offsets: context ids around every token, the edge id beyond the text's ends."""
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    size = np.repeat(lengths, lengths)
-    out = np.full((len(ids), len(OFFSETS)), CONTEXTS - 1, np.int32)
-    for k, o in enumerate(OFFSETS):
-        fine = (place + o >= 0) & (place + o < size)
-        out[fine, k] = ids[np.flatnonzero(fine) + o]
-    return out
+        return logits
+
+    def distribution(self, hidden: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(class, log-probabilities of its leaves) for all tokens, class by class: for tests and small inputs."""
+        of = self._log_softmax(hidden @ self.classes + self.class_bias)
+        for c in range(CLASSES):
+            yield c, of[:, c : c + 1] + self._log_softmax(hidden @ self.leaves[c] + self.leaf_bias[c])
+
+    def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probability of each target leaf."""
+        out = np.empty(len(target))
+        for i in range(0, len(target), CHUNK):
+            out[i : i + CHUNK] = self._parts(self.hidden(context[i : i + CHUNK]), target[i : i + CHUNK])
+        return out
+
+    def _parts(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+        own = target // PER
+        logits = hidden @ self.classes
+        logits += self.class_bias
+        out = self._log_softmax(logits)[np.arange(len(own)), own]
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            rows = order[cuts[c] : cuts[c + 1]]
+            within = hidden[rows] @ self.leaves[c]
+            within += self.leaf_bias[c]
+            out[rows] += self._log_softmax(within)[np.arange(len(rows)), target[rows] % PER]
+        return out
+
+    def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that the tokens touch, ascending, and the gradient of their summed log-probability there."""
+        hidden = self.hidden(context)
+        own = target // PER
+        prob = np.exp(self._log_softmax(hidden @ self.classes + self.class_bias))
+        prob *= -1
+        prob[np.arange(len(own)), own] += 1
+        back = prob @ self.classes.T
+        class_rows = np.concatenate([prob.T @ hidden, prob.sum(0)[:, None]], 1)
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(CLASSES + 1))
+        touched, leaf_rows = np.flatnonzero(np.diff(cuts)), []
+        for c in touched:
+            rows = order[cuts[c] : cuts[c + 1]]
+            prob = -np.exp(self._log_softmax(hidden[rows] @ self.leaves[c] + self.leaf_bias[c]))
+            prob[np.arange(len(rows)), target[rows] % PER] += 1
+            back[rows] += prob @ self.leaves[c].T
+            leaf_rows.append(np.concatenate([prob.T @ hidden[rows], prob.sum(0)[:, None]], 1))
+        back *= 1 - hidden**2
+        names, sums = [], []
+        for k in range(len(OFFSETS)):
+            order = np.argsort(context[:, k], kind="stable")
+            seen = context[order, k]
+            first = np.flatnonzero(np.diff(seen, prepend=-1))
+            names.append(k * (LEAVES + 1) + seen[first])
+            sums.append(np.add.reduceat(back[order], first, 0))
+        names += [[INPUTS], INPUTS + 1 + np.arange(CLASSES), *(INPUTS + 1 + CLASSES + c * PER + np.arange(PER) for c in touched)]
+        inputs = np.concatenate([*sums, back.sum(0, keepdims=True)])
+        return np.concatenate(names), np.concatenate([np.pad(inputs, ((0, 0), (0, 1))), class_rows, *leaf_rows])
+
+
+def masked(lengths: np.ndarray, seeds: np.ndarray, every: int = MASKED) -> np.ndarray:
+    """Places of the masked tokens of several documents: hash-drawn by place and document."""
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    x = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(seeds.astype(np.uint64), lengths)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.flatnonzero((x >> np.uint64(40)) % np.uint64(every) == 0)
+
+
+def ascend(network: Network, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float = RATE) -> Network:
+    """Steps of Adagrad by rows over the tokens in order; squares holds the rows' summed squares and is changed."""
+    for i in range(0, len(target), STEP):
+        rows, grad = network.gradient(context[i : i + STEP], target[i : i + STEP])
+        squares[rows] += (grad**2).mean(1)
+        network.rows[rows] += rate * grad / np.sqrt(squares[rows] + 1e-6)[:, None]
+        network = Network(network.rows)
+    return network
 
 
 class Encoder:
+    """Leaves of texts, and what their rarer words cost as far as it can be told without the other words' counts."""
+
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.known: dict[str, tuple[int, int, int]] = {}
-
-    def __call__(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """tokens x (context id, class, identity), and tokens per text."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known, identity, rows = self.known, self.vocab.identity, []
-        for words in texts:
-            for w in set(words):
-                if w not in known:
-                    known[w] = identity(w)
-            rows.extend(map(known.__getitem__, words))
-        return np.array(rows, np.int32).reshape(-1, 3), np.array([len(t) for t in texts], np.int64)
-
-
-def score_texts(network: Network, encoder: Encoder, texts: list[list[str]]) -> np.ndarray:
-    """Summed conditional log-probability of each text."""
-    rows, lengths = encoder(texts)
-    out = np.zeros(len(rows))
-    context = contexts(rows[:, 0], lengths)
-    for i in range(0, len(rows), 8192):
-        part = slice(i, i + 8192)
-        logp = network.forward(context[part])[1]
-        out[part] = logp[np.arange(len(logp)), rows[part, 1]] + encoder.vocab.log_within[rows[part, 2]]
-    return np.bincount(np.repeat(np.arange(len(texts)), lengths), out, len(texts))
+        self.at = {w: i for i, w in enumerate(vocab.words)}
+        rare = vocab.words[FREQUENT:]
+        self.leaf = np.concatenate([np.arange(min(FREQUENT, len(vocab.words))), FREQUENT + groups_of(rare)]).astype(np.int64)
+        self.base = np.concatenate([np.zeros(min(FREQUENT, len(vocab.words))), np.exp(spelled(vocab.spell, rare))])
+
+    def __call__(self, texts: list[list[str]]) -> Iterator[tuple[np.ndarray, float, int, list, list, list, list]]:
+        """Per text: leaves, summed log-probability of its known rarer words, how many of those no other text has, and
+        of the other words: key, uses here, smoothing mass, logarithm of the denominator."""
+        at, vocab = self.at, self.vocab
+        ids = np.array([at.get(w, -1) for w in chain.from_iterable(texts)], np.int64)
+        ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0, int)
+        unknown = [Counter(w for w, i in zip(t, ids[e - len(t) : e].tolist(), strict=True) if i < 0) for t, e in zip(texts, ends, strict=True)]
+        names = list(dict.fromkeys(chain.from_iterable(unknown)))
+        number = {w: i for i, w in enumerate(names)}
+        group, mass = groups_of(names), np.exp(spelled(vocab.spell, names))
+        keys = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in names], np.uint64).astype(np.int64)
+        for text, end, others in zip(texts, ends, unknown, strict=True):
+            own = ids[end - len(text) : end]
+            leaves = np.where(own >= 0, self.leaf[np.maximum(own, 0)] if len(self.leaf) else 0, 0)
+            which = np.array([number[w] for w in others], np.int64)
+            if others:
+                leaves[own < 0] = FREQUENT + group[np.fromiter(map(number.__getitem__, (w for w in text if w in others)), np.int64)]
+            within = np.bincount(leaves[leaves >= FREQUENT] - FREQUENT, minlength=GROUPS)
+            rest = np.log(np.maximum(np.maximum(vocab.used - within, 0) + vocab.types, 1))  # of each group's denominator
+            rare, uses = np.unique(own[own >= FREQUENT], return_counts=True)
+            left = vocab.counts[rare] - uses
+            types = vocab.types[self.leaf[rare] - FREQUENT]
+            total = float((uses * (np.log(left + types * self.base[rare]) - rest[self.leaf[rare] - FREQUENT])).sum())
+            yield leaves, total, int(uses[left <= 0].sum()), keys[which], np.fromiter(others.values(), np.int64, len(others)), vocab.types[group[which]] * mass[which], rest[group[which]]
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,76 +283,76 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def gather(docs: DataFrame, text: str = "text") -> Vocabulary:
-    """Count every word of every document; the driver gets the frequent words and the counts of the hash buckets."""
-    bounded_arrow(docs.sparkSession)
-    words = docs.select(F.col(text).alias("text")).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = saved(words, "words")
-    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT)
-    frequent = top.toArrow().to_pydict()
-    order = sorted(range(len(frequent["word"])), key=lambda i: (-frequent["n"][i], frequent["word"][i].encode()))
-    known = F.broadcast(top.select("word"))  # at most FREQUENT rows
-    encode = lambda c: F.encode(c, "UTF-8")
-    end = F.pmod(F.crc32(encode(F.substring("word", -2, 2))), F.lit(ENDINGS))
-    bucket = (end * SPREAD + F.pmod(F.crc32(encode(F.col("word"))), F.lit(SPREAD))).alias("bucket")
-    tail = words.join(known, "word", "left_anti").groupBy(bucket).agg(F.sum("n").alias("n")).toArrow()  # at most ENDINGS * SPREAD rows
-    buckets = np.bincount(tail["bucket"].to_numpy(), tail["n"].to_numpy(), ENDINGS * SPREAD)
-    return vocabulary([frequent["word"][i] for i in order], buckets, [frequent["n"][i] for i in order])
-
-
-def _train(network: Network, vocab: Vocabulary) -> Callable:
-    def run(group: pa.Table) -> pa.Table:
-        own = Network(*(p.copy() for p in network.parts()))
-        encoder, tokens = Encoder(vocab), 0
-        for i in range(0, group.num_rows, 64):
-            rows, lengths = encoder([words_of(x or "") for x in group.column("text").slice(i, 64).to_pylist()])
-            own.train(contexts(rows[:, 0], lengths), rows[:, 1])
-            tokens += len(rows)
-        delta = np.array_split(own.flat() - network.flat(), BLOCKS)
-        return pa.table({"block": pa.array(range(BLOCKS), pa.int32()), "tokens": pa.array([tokens] * BLOCKS, pa.int64()), "delta": pa.array([d.astype(np.float32).tobytes() for d in delta], pa.binary())})
+def _spell_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    for batch in batches:
+        codes, _ = symbols(batch.column(0).to_pylist())
+        total += np.bincount(codes[1:] * SYMBOLS + codes[:-1], minlength=len(total))
+    used = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["pair", "n"])
 
-    return run
 
+def _group(word: Column) -> Column:
+    last = F.ascii(F.substring(word, -1, 1))  # its code point
+    return F.pmod(F.least(last, F.lit(OTHER)), F.lit(GROUPS))
 
-def _mean(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, weight, block = 0.0, 0, 0
-    for batch in group:
-        block = batch.column(0)[0].as_py()
-        for n, delta in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            total = total + np.frombuffer(delta.as_py(), np.float32) * float(n)
-            weight += n
-    yield pa.record_batch([pa.array([block], pa.int32()), pa.array([(total / max(weight, 1)).astype(np.float32).tobytes()], pa.binary())], ["block", "delta"])
 
+def gather(docs: DataFrame, text: str = "text", known: int = KNOWN) -> tuple[Vocabulary, DataFrame]:
+    """Count every word of every document: the vocabulary, and (key, n) of all words that it does not hold.
 
-def train(docs: DataFrame, vocab: Vocabulary, part: float = TRAINED, rounds: int = ROUNDS, ident: str = "doc_id", text: str = "text") -> Network:
-    """Train on a hash-drawn part of the documents, in tasks of about TASK_DOCS whose changes are averaged by tokens."""
+    The driver gets at most `known` words, those from the least count up with which so few remain, and tables of fixed
+    size; the counts of all other words stay a table, which grows with the corpus.
+    """
     bounded_arrow(docs.sparkSession)
-    row = F.xxhash64(F.lit("lm"), F.col(ident), F.col(text))
-    drawn = docs.where(F.col(text).isNotNull() & (F.shiftrightunsigned(row, 11) * F.lit(2.0**-53) < part)).select(F.col(text).alias("text"), row.alias("row"))
-    drawn = saved(drawn, "drawn")
-    n = drawn.count()
-    if not n:  # a very small corpus trains on all of its documents
-        drawn = saved(docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), row.alias("row")), "drawn")
-        n = drawn.count()
-    network = Network.start()
-    tasks = max(1, -(-n // TASK_DOCS))
-    for _ in range(rounds if n else 0):
-        deltas = drawn.groupBy(F.pmod(F.xxhash64("row"), F.lit(tasks)).alias("g")).applyInArrow(_train(network, vocab), "block int, tokens long, delta binary")
-        means = deltas.groupBy("block").applyInArrow(_mean, "block int, delta binary").toArrow().sort_by("block")
-        network = network.moved(np.concatenate([np.frombuffer(d, np.float32) for d in means["delta"].to_pylist()]))
-    return network
-
+    words = docs.select(F.col(text).alias("text")).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = saved(words, "words")
+    level = F.least("n", F.lit(1 << 14))
+    sizes = sorted(((r["level"], r["k"]) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)  # at most 2 ** 14 rows
+    least, held = 1 << 14, 0
+    for value, k in sizes:
+        if held + k > known:
+            break
+        least, held = value, held + k
+    if not held and sizes:  # more words than that are used 2 ** 14 times: the largest powers of two that fit
+        least = 1 << 15
+        while words.where(F.col("n") >= least).count() > known:
+            least <<= 1
+    top = words.where(F.col("n") >= least).toArrow().to_pydict()
+    order = sorted(range(len(top["word"])), key=lambda i: (-top["n"][i], top["word"][i].encode("utf-8", "surrogatepass")))
+    names, counts = [top["word"][i] for i in order], np.array([top["n"][i] for i in order], np.int64)
+    tail = words.where(F.col("n") < least)
+    by_group = tail.groupBy(_group(F.col("word")).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()  # GROUPS rows
+    rare = groups_of(names[FREQUENT:])
+    used, types = (np.bincount(rare, w, GROUPS) for w in (counts[FREQUENT:], None))
+    for r in by_group:
+        used[r["g"]] += r["n"]
+        types[r["g"]] += r["k"]
+    pairs = words.select("word").mapInArrow(_spell_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS ** 2 rows
+    spell = np.bincount(pairs["pair"].to_numpy(), pairs["n"].to_numpy(), SYMBOLS * SYMBOLS).reshape(SYMBOLS, SYMBOLS)
+    return Vocabulary(names, counts, used, types.astype(float), spelling(spell)), tail.select(F.xxhash64("word").alias("key"), "n")
+
+
+def _encode(vocab: Vocabulary, rounds: int, first: int) -> Callable:
+    ends = np.cumsum(first * 2.0 ** np.arange(rounds))
 
-def _score(network: Network, vocab: Vocabulary) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab)
+        from pyspark import TaskContext
 
-        def out() -> pa.RecordBatch:
-            total, lengths = score_texts(network, encoder, texts), np.array([len(t) for t in texts])
-            mean = np.where(lengths > 0, total / np.maximum(lengths, 1), 0.0)
-            return pa.record_batch([pa.array(docs, pa.int64()), pa.array(lengths, pa.int64()), pa.array(total), pa.array(mean)], ["doc_id", "tokens", "log_likelihood", "mean_log_likelihood"])
+        encoder, rid = Encoder(vocab), TaskContext.get().partitionId() << 33
+        docs: list = []
+        texts: list = []
 
-        docs, texts, size = [], [], 0
+        def out() -> pa.RecordBatch:
+            nonlocal rid
+            rows = list(encoder(texts))
+            raw = [r[0].astype("<u2").tobytes() for r in rows]
+            draw = np.array([xxhash.xxh64_intdigest(b, rid + i) for i, b in enumerate(raw)], np.uint64) / 2.0**64 * ends[-1]
+            columns = [docs, range(rid, rid + len(rows)), np.searchsorted(ends, draw, "right").tolist(), [len(r[0]) for r in rows], raw, *([r[k] for r in rows] for k in (1, 2)), *([r[k].tolist() for r in rows] for k in (3, 4, 5, 6))]
+            rid += len(rows)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in ENCODED.split(", ")])
+
+        size = 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs.append(doc)
@@ -265,12 +367,116 @@ def _score(network: Network, vocab: Vocabulary) -> Callable:
     return run
 
 
-def score_documents(docs: DataFrame, network: Network, vocab: Vocabulary, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tokens, log_likelihood (sum over the tokens) and its mean per token, for every row.
+def schedule(tokens: int) -> int:
+    """Rounds of training: each has twice the tasks of the one before, so the tasks of all rounds take all tokens."""
+    rounds = 1
+    while FIRST_TASKS * (2**rounds - 1) * TASK_TOKENS < tokens:
+        rounds += 1
+    return rounds
 
-    A null or empty text has 0 tokens and scores 0. Null ids and repeated rows keep a row each; other columns are
-    ignored; no documents, no rows.
-    """
+
+def encode_documents(docs: DataFrame, vocab: Vocabulary, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document, written by training round: its leaves and what its rarer words cost."""
     bounded_arrow(docs.sparkSession)
+    rounds = schedule(int(vocab.leaf_counts().sum()))
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_score(network, vocab), "doc_id long, tokens long, log_likelihood double, mean_log_likelihood double")
+    encoded = rows.mapInArrow(_encode(vocab, rounds, FIRST_TASKS), ENCODED)
+    path = scratch(docs.sparkSession, "encoded")
+    encoded.write.partitionBy("round").parquet(path)
+    return docs.sparkSession.read.schema(encoded.schema).parquet(path)
+
+
+def _leaves(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw = [x.as_buffer() for x in column]
+    lengths = np.array([x.size // 2 for x in raw], np.int64)
+    return np.frombuffer(b"".join(raw), "<u2").astype(np.int32), lengths
+
+
+def _train(rows: np.ndarray, rate: float) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, squares = Network(rows.copy()), np.zeros(ROWS)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                ids, lengths = _leaves(part.column(1))
+                places = masked(lengths, part.column(0).to_numpy())
+                if len(places):
+                    network = ascend(network, window(ids, lengths)[places], ids[places], squares, rate)
+        touched = np.flatnonzero(squares)
+        for block in np.array_split(touched, BLOCKS):
+            if len(block):
+                delta = (network.rows[block] - rows[block]).astype("<f4")
+                yield pa.record_batch([pa.array([int(block[0] * BLOCKS // ROWS)], pa.int32()), pa.array([block.astype("<i4").tobytes()], pa.binary()), pa.array([delta.tobytes()], pa.binary())], ["block", "rows", "delta"])
+
+    return run
+
+
+def _mean(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean change of every row over the tasks that touched it."""
+    total, tasks = np.zeros((ROWS, HIDDEN + 1)), np.zeros(ROWS)
+    for batch in group:
+        for names, delta in zip(batch.column(1), batch.column(2), strict=True):
+            at = np.frombuffer(names.as_py(), "<i4")
+            total[at] += np.frombuffer(delta.as_py(), "<f4").reshape(len(at), -1)
+            tasks[at] += 1
+    at = np.flatnonzero(tasks)
+    yield pa.record_batch([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([(total[at] / tasks[at, None]).astype("<f4").tobytes()], pa.binary())], ["rows", "delta"])
+
+
+def train(encoded: DataFrame, vocab: Vocabulary, rate: float = RATE) -> Network:
+    """Train on all documents, each in one round. Tasks start from the same parameters; what a row of parameters
+    gains is averaged over the tasks that touched it. Rounds grow in number with the corpus, and each doubles the tasks,
+    so the parameters move further on a larger corpus and rare words learn from wherever they occur.
+    """
+    bounded_arrow(encoded.sparkSession)
+    network = Network.start(vocab.leaf_counts())
+    for r in range(schedule(int(vocab.leaf_counts().sum()))):
+        docs = encoded.where((F.col("round") == r) & (F.col("tokens") > 0)).select("rid", "ids").coalesce(FIRST_TASKS << r)
+        deltas = docs.mapInArrow(_train(network.rows, rate / (1 + r / 4)), "block int, rows binary, delta binary")
+        found = deltas.groupBy("block").applyInArrow(_mean, "rows binary, delta binary").toArrow()
+        rows = network.rows.copy()
+        for names, delta in zip(found["rows"].to_pylist(), found["delta"].to_pylist(), strict=True):
+            at = np.frombuffer(names, "<i4")
+            rows[at] += np.frombuffer(delta, "<f4").reshape(len(at), -1)
+        network = Network(rows)
+    return network
+
+
+def _score(rows: np.ndarray) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = Network(rows)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                ids, lengths = _leaves(part.column(4))
+                found = np.bincount(np.repeat(np.arange(len(lengths)), lengths), network.log_probability(window(ids, lengths), ids), len(lengths))
+                yield pa.record_batch([*part.columns[:4], pa.array(found + part.column(2).to_numpy()), part.column(5)], ["doc_id", "rid", "within", "tokens", "log", "unseen"])
+
+    return run
+
+
+def score_encoded(encoded: DataFrame, tail: DataFrame, network: Network) -> DataFrame:
+    """doc_id, tokens, log_likelihood, mean_log_likelihood, unseen of every encoded document."""
+    bounded_arrow(encoded.sparkSession)
+    leaves = encoded.select("doc_id", "rid", "within", "tokens", "ids", "unseen").mapInArrow(_score(network.rows), "doc_id long, rid long, within double, tokens long, log double, unseen long")
+    rare = encoded.where(F.size("keys") > 0).select("rid", F.inline(F.arrays_zip("keys", "own", "base", "rest")))
+    left = F.greatest(F.col("n") - F.col("own"), F.lit(0))
+    cost = F.col("own") * (F.log(left + F.col("base")) - F.col("rest"))
+    joined = rare.join(tail.withColumnRenamed("key", "keys"), "keys")
+    sums = joined.groupBy("rid").agg(F.sum(cost).alias("more"), F.sum(F.when(left == 0, F.col("own")).otherwise(0)).alias("alone"))
+    total = F.col("log") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("tokens") > 0, total / F.col("tokens")).otherwise(0.0)
+    return leaves.join(sums, "rid", "left").select("doc_id", "tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"), (F.col("unseen") + F.coalesce("alone", F.lit(0))).alias("unseen"))
+
+
+def score_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """Train on the documents and score them: doc_id, tokens, log_likelihood (sum over the tokens), its mean per token,
+    and unseen (tokens whose word no other document has), for every row.
+
+    A null or empty text has 0 tokens and scores 0. A very long text is one row like any other. Equal texts train once
+    for each row. Null ids and repeated rows keep a row each; other columns are ignored, whatever their names; no
+    documents, no rows.
+    """
+    vocab, tail = gather(docs, text)
+    encoded = encode_documents(docs, vocab, ident, text)
+    return score_encoded(encoded, tail, train(encoded, vocab))
