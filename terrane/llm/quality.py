@@ -1,7 +1,8 @@
 """Ordinal cumulative-link regression of graded ratings on hashed text.
 
 One weight vector over hashed words and word beginnings serves all grades; ordered thresholds cut the score into
-grades. The expected grade ranks documents and the tail probability of the best grade selects them.
+grades. The expected grade ranks documents and the tail probability of the best grade selects them. Every bucket keeps a
+weight of either sign; how far it may move shrinks with the weakness of its evidence.
 """
 
 from __future__ import annotations
@@ -19,111 +20,149 @@ from pyspark.sql import functions as F
 
 from .common import bounded_arrow
 
-#: About so many labelled documents are used to fit the model.
-LABELLED = 8000
+#: About so many labelled documents of each grade are used to fit the model.
+LABELLED = (1500, 1500, 5000)
 BUCKETS = 1 << 22
-#: Evidence is a bucket that such a part of the sampled documents shows, whose documents' grades differ from all (chi-square) and
-#: which the lower grades show so many times as often as the best one; other buckets carry no weight.
-LEAST_PART, LEAST_CHI, LEAST_LIFT = 1 / 400, 40.0, 20.0
-#: A document is selected if the probability of the best grade is at least this.
-SELECT = 0.5
+#: Strength of association (mean square contingency with the grade) at which a bucket's evidence counts for a half: weaker
+#: buckets are shrunk, none is left out. A text's buckets weigh UNIT times its number of them to the power of minus LENGTH.
+HALF, UNIT, LENGTH = 0.18, 5.0, 1 / 3
+RIDGE, STEPS, RATE = 3e-3, 120, 0.1
+#: Selection starts at the tail probability where, of the rated documents fitted on, the part of the sound ones lost (so
+#: many times) and the part of the others let through are least together.
+LOST = 5.0
 GRADES = 3
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{1,3}")
 MEMORY = 1_000_000
 
 
-def buckets_of(token: str) -> tuple[int, int]:
-    """Hash buckets of a token and of its first four characters."""
-    return zlib.crc32(token.encode()) % BUCKETS, zlib.crc32(b"^" + token[:4].encode()) % BUCKETS
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def tokens_of(text: str) -> set[str]:
-    """Distinct tokens, and a mark for the share of tokens that repeat the two before, in tenths."""
+def marks_of(text: str) -> tuple[set[str], set[str]]:
+    """Distinct tokens, and their distinct first four characters behind a ^; where a tenth of the tokens or more repeat
+    the two before, that and the share in tenths are marks too."""
     found = TOKEN.findall(text.lower())
     tokens = set(found)
+    marks = {"^" + t[:4] for t in tokens}
     share = sum(a == b == c for a, b, c in zip(found, found[1:], found[2:])) * 10 // max(len(found), 1)
     if share:
-        tokens.add(f"repeated {share}")
-    return tokens
+        marks |= {"repeated", f"repeated {share}"}
+    return tokens, marks
 
 
 def features(text: str) -> np.ndarray:
-    """The distinct buckets of the tokens."""
-    return np.unique(np.array([b for t in tokens_of(text) for b in buckets_of(t)], np.int32))
+    """The hash buckets of the tokens and marks, ascending."""
+    tokens, marks = marks_of(text)
+    return np.sort(np.array([*map(bucket, tokens), *map(bucket, marks)], np.int32))
 
 
 @dataclass
 class OrdinalModel:
-    buckets: np.ndarray  # those that are evidence
+    buckets: np.ndarray  # all that the labelled documents show
     weights: np.ndarray
     thresholds: np.ndarray  # ascending; P(grade <= j) = sigmoid(thresholds[j] - score)
+    bar: float = 0.5  # least tail probability of the selected
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """rows x (grades - 1): P(grade > j)."""
         return 1 / (1 + np.exp(np.clip(self.thresholds - np.asarray(scores)[:, None], -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 2000, rate: float = 0.1, ridge: float = 1e-7) -> OrdinalModel:
-    """Full-batch Adam on the mean negative log-likelihood; the gap between thresholds stays positive by its logarithm."""
+def evidence(shown: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How far each bucket's weight may move: its largest log-ratio between a lower grade and the best one, shrunk where
+    the association with the grade is weak. shown: grades x buckets, documents with the bucket; sizes: documents."""
+    rate = (shown + 1) / (sizes[:, None] + 2)
+    ratio = np.abs(np.log(rate[:-1] / rate[-1])).max(0)
+    expected = sizes[:, None] / max(sizes.sum(), 1) * shown.sum(0)
+    strength = ((shown - expected) ** 2 / (expected + 0.5)).sum(0) / max(sizes.sum(), 1)
+    return ratio * strength / (strength + HALF)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def thresholds_of(free: np.ndarray) -> np.ndarray:
+    """Ordered thresholds of free parameters: the first, and the logarithms of the gaps."""
+    return free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
+
+
+def loss(scores: np.ndarray, free: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood, and its gradient by score and by free parameters."""
+    cuts = np.concatenate([[-np.inf], thresholds_of(free), [np.inf]])
+    upper = np.where(grades == GRADES - 1, 1.0, sigmoid(cuts[grades + 1] - scores))
+    lower = np.where(grades == 0, 0.0, sigmoid(cuts[grades] - scores))
+    weight = 1.0 / len(grades)
+    prob = np.maximum(upper - lower, 1e-12)
+    at_upper, at_lower = upper * (1 - upper) / prob * weight, lower * (1 - lower) / prob * weight
+    cut = np.array([at_lower[grades == j + 1].sum() - at_upper[grades == j].sum() for j in range(GRADES - 1)])
+    by_free = np.cumsum(cut[::-1])[::-1].copy()
+    by_free[1:] *= np.exp(free[1:])
+    return float(-weight * np.log(prob).sum()), at_upper - at_lower, by_free
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE) -> OrdinalModel:
+    """Full-batch Adam on the loss and a ridge on how far each bucket uses its evidence; documents of equal content count each."""
     if not rows:
         return OrdinalModel(np.zeros(0, np.int32), np.zeros(0), np.arange(GRADES - 1.0))
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    bucket = np.concatenate(rows)
-    fine = (np.bincount(bucket) >= max(2, LEAST_PART * len(rows)))[bucket]
-    owner, (used, bucket) = owner[fine], np.unique(bucket[fine], return_inverse=True)
-    shown = np.stack([np.bincount(bucket[grades[owner] == j], minlength=len(used)) for j in range(GRADES)])
-    sizes = np.bincount(grades, minlength=GRADES)[:, None]
-    expected = sizes / len(rows) * shown.sum(0)
-    chi = ((shown - expected) ** 2 / np.maximum(expected, 1e-9)).sum(0)
-    lift = (shown[:-1] / np.maximum(sizes[:-1], 1)).max(0) / ((shown[-1] + 0.5) / max(sizes[-1, 0], 1))
-    fine = ((chi >= min(LEAST_CHI, len(rows) / 20)) & (lift >= LEAST_LIFT))[bucket]
-    owner, (kept, bucket) = owner[fine], np.unique(bucket[fine], return_inverse=True)
-    used = used[kept]
-    part = np.bincount(grades, minlength=GRADES) + 1.0
-    below = np.cumsum(part)[:-1] / part.sum()
-    start = np.log(below / (1 - below))
-    at = np.concatenate([np.zeros(len(used)), [start[0]], np.log(np.maximum(np.diff(start), 0.1))])
+    lengths = np.array([len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows)), lengths)
+    used, column = np.unique(np.concatenate(rows), return_inverse=True)
+    k, n = len(used), len(rows)
+    sizes = np.bincount(grades, minlength=GRADES).astype(float)
+    shown = np.stack([np.bincount(column[grades[owner] == j], minlength=k) for j in range(GRADES)])
+    reach = evidence(shown, sizes)
+    value = (reach[column] * scale_of(lengths)[owner]).astype(np.float32)
+    at = np.concatenate([np.zeros(k), [-1.0], np.zeros(GRADES - 2)])
     first, second = np.zeros_like(at), np.zeros_like(at)
-    n, k = len(rows), len(used)
-    value = 1 / np.bincount(owner, minlength=n)[owner]  # a document scores the mean of its evidence, whatever its length
-    weight = 1.0 / n
     for step in range(1, steps + 1):
-        cuts = np.concatenate([[-np.inf], at[k] + np.concatenate([[0.0], np.cumsum(np.exp(at[k + 1 :]))]), [np.inf]])
-        score = np.bincount(owner, at[:k][bucket] * value, n)
-        sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-        hi, lo = sig(cuts[grades + 1] - score), sig(cuts[grades] - score)
-        hi, lo = np.where(grades == GRADES - 1, 1.0, hi), np.where(grades == 0, 0.0, lo)
-        prob = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = hi * (1 - hi) / prob * weight, lo * (1 - lo) / prob * weight
-        grad = np.zeros_like(at)
-        grad[:k] = np.bincount(bucket, (d_hi - d_lo)[owner] * value, k) + ridge * at[:k]
-        cut = np.array([-d_hi[grades == j].sum() + d_lo[grades == j + 1].sum() for j in range(GRADES - 1)])
-        grad[k] = cut.sum()
-        grad[k + 1 :] = np.cumsum(cut[::-1])[::-1][1:] * np.exp(at[k + 1 :])
+        scores = np.bincount(owner, at[:k][column] * value, n)
+        _, by_score, by_free = loss(scores, at[k:], grades)
+        grad = np.concatenate([np.bincount(column, by_score[owner] * value, k) + ridge * at[:k], by_free])
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         at -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return OrdinalModel(used, at[:k], at[k] + np.concatenate([[0.0], np.cumsum(np.exp(at[k + 1 :]))]))
+    model = OrdinalModel(used, at[:k] * reach, thresholds_of(at[k:]))
+    model.bar = least_cost(model.tails(np.bincount(owner, at[:k][column] * value, n))[:, -1], grades == GRADES - 1)
+    return model
+
+
+def least_cost(tails: np.ndarray, sound: np.ndarray) -> float:
+    """The bar of least cost, halfway to the next lower probability; one half unless both kinds are there."""
+    if not sound.any() or sound.all():
+        return 0.5
+    bars = np.unique(tails)
+    good, bad = np.sort(tails[sound]), np.sort(tails[~sound])
+    cost = LOST * np.searchsorted(good, bars) / len(good) + 1 - np.searchsorted(bad, bars) / len(bad)
+    best = int(cost.argmin())
+    return float((bars[best] + bars[max(best - 1, 0)]) / 2)
+
+
+def scale_of(lengths):
+    return UNIT * np.maximum(lengths, 1) ** -LENGTH
 
 
 class Scorer:
     def __init__(self, model: OrdinalModel):
-        self.evidence = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+        self.weights = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
         self.model = model
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, float] = {}
 
     def score(self, text: str) -> float | None:
-        """Mean weight of the evidence, 0 without any; None without any token."""
-        tokens = tokens_of(text)
+        """Summed weight of the buckets, scaled by their number; None without any token."""
+        tokens, marks = marks_of(text)
         if not tokens:
             return None
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        for t in tokens:
-            if t not in known:
-                known[t] = tuple(b for b in buckets_of(t) if b in self.evidence)
-        found = set().union(*filter(None, map(known.__getitem__, tokens)))
-        return math.fsum(map(self.evidence.__getitem__, found)) / max(1, len(found))
+        total = []
+        for words in (tokens, marks):
+            for w in words:
+                if w not in known:
+                    known[w] = self.weights.get(bucket(w), 0.0)
+            total += map(known.__getitem__, words)
+        return math.fsum(total) * float(scale_of(len(total)))
 
     def grade(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade and probability of the best grade; 0 and 0 without any token."""
@@ -144,12 +183,17 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array([features(x.as_py() or "").tobytes() for x in batch.column(1)], pa.binary())], ["grade", "buckets"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, ident: str = "doc_id", text: str = "text") -> OrdinalModel:
-    """Fit on about `labelled` rated documents drawn by hash of their id; that bound also bounds what is broadcast."""
+def learn(docs: DataFrame, labels: DataFrame, labelled: tuple[int, ...] = LABELLED, ident: str = "doc_id", text: str = "text") -> OrdinalModel:
+    """Fit on about so many rated documents of each grade, drawn by hash of their id; that also bounds what is broadcast.
+
+    Documents without a label, labels without a document and null ids are left out; a document that occurs several
+    times counts as often; without labels the model rates every text alike. Other columns are ignored.
+    """
     bounded_arrow(docs.sparkSession)
     grades = graded(labels)
-    rate = min(1.0, labelled / max(1, grades.count()))
-    drawn = grades.where(F.shiftrightunsigned(F.xxhash64(F.lit("quality"), "doc_id"), 11) * F.lit(2.0**-53) < rate)
+    sizes = {r["grade"]: r["n"] for r in grades.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # at most GRADES rows
+    rates = F.element_at(F.array(*(F.lit(min(1.0, labelled[g] / sizes.get(g, 1))) for g in range(GRADES))), F.col("grade") + 1)
+    drawn = grades.where(F.shiftrightunsigned(F.xxhash64(F.lit("quality"), "doc_id"), 11) * F.lit(2.0**-53) < rates)
     rows = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")
     found = rows.select(F.col("grade").cast("int").alias("grade"), "text").mapInArrow(_features, "grade int, buckets binary").toArrow()
     grades_, rows_ = found["grade"].to_numpy().astype(np.int64), [np.frombuffer(b, np.int32) for b in found["buckets"].to_pylist()]
@@ -163,7 +207,7 @@ def _grade(model: OrdinalModel) -> Callable:
         scorer = Scorer(model)
         for batch in batches:
             expected, tail = scorer.grade(batch.column(1).to_pylist())
-            yield pa.record_batch([batch.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= SELECT)], ["doc_id", "expected_grade", "tail_probability", "selected"])
+            yield pa.record_batch([batch.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= model.bar)], ["doc_id", "expected_grade", "tail_probability", "selected"])
 
     return run
 
@@ -171,8 +215,9 @@ def _grade(model: OrdinalModel) -> Callable:
 def grade_documents(docs: DataFrame, model: OrdinalModel, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, expected_grade (0 to 2), tail_probability (of grade 2), selected, for every row.
 
-    A null text, or one without words and punctuation, has grade 0 and is not selected. Null ids and repeated rows
-    keep a row each; other columns are ignored; no documents, no rows; without labels every score is 0.
+    A null text, or one without words and punctuation, has grade 0 and is not selected. A very long text is read whole.
+    Equal texts score alike. Null ids and repeated rows keep a row each; other columns are ignored, whatever their
+    names; no documents, no rows; without labels every score is 0.
     """
     bounded_arrow(docs.sparkSession)
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -180,13 +225,14 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, ident: str = "doc_id",
 
 
 def keep_selected(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
-    """The selected rows; columns as in docs."""
+    """The selected rows, repeated ones and those with null ids included; columns as in docs, whatever their names. Null and
+    empty texts are not selected, very long ones are read whole, and no documents give no rows."""
     bounded_arrow(docs.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array(scorer.grade(batch.column(text).to_pylist())[1] >= SELECT))
+            yield batch.filter(pa.array(scorer.grade(batch.column(text).to_pylist())[1] >= model.bar))
 
     return docs.mapInArrow(run, kinds)
