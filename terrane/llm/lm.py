@@ -128,6 +128,7 @@ class Network:
         self.classes, self.class_bias = np.ascontiguousarray(rows[at : at + CLASSES, :HIDDEN].T), rows[at : at + CLASSES, HIDDEN].copy()
         leaves = rows[at + CLASSES :].reshape(CLASSES, PER, HIDDEN + 1)
         self.leaves, self.leaf_bias = np.ascontiguousarray(leaves[:, :, :HIDDEN].transpose(0, 2, 1)), leaves[:, :, HIDDEN].copy()
+        self.steep = max(np.abs(w).sum(-2).max() + np.abs(b).max() for w, b in ((self.classes, self.class_bias), (self.leaves, self.leaf_bias))) > 80
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 7) -> Network:
@@ -172,16 +173,23 @@ class Network:
         own = target // PER
         logits = hidden @ self.classes
         logits += self.class_bias
-        out = self._log_softmax(logits)[np.arange(len(own)), own]
+        out = self._picked(logits, own)
         order = np.argsort(own, kind="stable")
         cuts = np.searchsorted(own[order], np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(cuts)):
             rows = order[cuts[c] : cuts[c + 1]]
             within = hidden[rows] @ self.leaves[c]
             within += self.leaf_bias[c]
-            out[rows] += self._log_softmax(within)[np.arange(len(rows)), target[rows] % PER]
+            out[rows] += self._picked(within, target[rows] % PER)
         return out
 
+    def _picked(self, logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probability of one column of each row of logits, which are used up."""
+        if self.steep:  # otherwise no exponential can overflow
+            logits -= logits.max(1, keepdims=True)
+        found = logits[np.arange(len(at)), at]
+        return found - np.log(np.exp(logits, out=logits).sum(1))
+
     def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that the tokens touch, ascending, and the gradient of their summed log-probability there."""
         hidden = self.hidden(context)
@@ -241,30 +249,39 @@ class Encoder:
         self.leaf = np.concatenate([np.arange(min(FREQUENT, len(vocab.words))), FREQUENT + groups_of(rare)]).astype(np.int64)
         self.base = np.concatenate([np.zeros(min(FREQUENT, len(vocab.words))), np.exp(spelled(vocab.spell, rare))])
 
-    def __call__(self, texts: list[list[str]]) -> Iterator[tuple[np.ndarray, float, int, list, list, list, list]]:
+    def __call__(self, texts: list[list[str]]) -> Iterator[tuple]:
         """Per text: leaves, summed log-probability of its known rarer words, how many of those no other text has, and
         of the other words: key, uses here, smoothing mass, logarithm of the denominator."""
         at, vocab = self.at, self.vocab
-        ids = np.array([at.get(w, -1) for w in chain.from_iterable(texts)], np.int64)
-        ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0, int)
-        unknown = [Counter(w for w, i in zip(t, ids[e - len(t) : e].tolist(), strict=True) if i < 0) for t, e in zip(texts, ends, strict=True)]
-        names = list(dict.fromkeys(chain.from_iterable(unknown)))
-        number = {w: i for i, w in enumerate(names)}
+        words = list(chain.from_iterable(texts))
+        ids = np.array([at.get(w, -1) for w in words], np.int64)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        text = np.repeat(np.arange(len(texts)), lengths)
+        places = np.flatnonzero(ids < 0)
+        number: dict[str, int] = {}
+        others = np.array([number.setdefault(words[i], len(number)) for i in places.tolist()], np.int64)
+        names = list(number)
         group, mass = groups_of(names), np.exp(spelled(vocab.spell, names))
         keys = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in names], np.uint64).astype(np.int64)
-        for text, end, others in zip(texts, ends, unknown, strict=True):
-            own = ids[end - len(text) : end]
-            leaves = np.where(own >= 0, self.leaf[np.maximum(own, 0)] if len(self.leaf) else 0, 0)
-            which = np.array([number[w] for w in others], np.int64)
-            if others:
-                leaves[own < 0] = FREQUENT + group[np.fromiter(map(number.__getitem__, (w for w in text if w in others)), np.int64)]
-            within = np.bincount(leaves[leaves >= FREQUENT] - FREQUENT, minlength=GROUPS)
-            rest = np.log(np.maximum(np.maximum(vocab.used - within, 0) + vocab.types, 1))  # of each group's denominator
-            rare, uses = np.unique(own[own >= FREQUENT], return_counts=True)
-            left = vocab.counts[rare] - uses
-            types = vocab.types[self.leaf[rare] - FREQUENT]
-            total = float((uses * (np.log(left + types * self.base[rare]) - rest[self.leaf[rare] - FREQUENT])).sum())
-            yield leaves, total, int(uses[left <= 0].sum()), keys[which], np.fromiter(others.values(), np.int64, len(others)), vocab.types[group[which]] * mass[which], rest[group[which]]
+        leaves = self.leaf[np.maximum(ids, 0)] if len(self.leaf) else np.zeros(len(ids), np.int64)
+        leaves[places] = FREQUENT + group[others]
+        grouped = np.flatnonzero(leaves >= FREQUENT)
+        within = np.bincount(text[grouped] * GROUPS + leaves[grouped] - FREQUENT, minlength=len(texts) * GROUPS).reshape(-1, GROUPS)
+        rest = np.log(np.maximum(np.maximum(vocab.used - within, 0) + vocab.types, 1))  # of each group's denominator
+
+        rare = np.flatnonzero(ids >= FREQUENT)
+        pair, uses = np.unique(text[rare] * (len(at) + 1) + ids[rare], return_counts=True)
+        doc, word = np.divmod(pair, len(at) + 1)
+        left, own = vocab.counts[word] - uses, self.leaf[word] - FREQUENT
+        known = np.bincount(doc, uses * (np.log(left + vocab.types[own] * self.base[word]) - rest[doc, own]), len(texts))
+        alone = np.bincount(doc, uses * (left <= 0), len(texts)).astype(np.int64)
+
+        pair, uses = np.unique(text[places] * (len(names) + 1) + others, return_counts=True)
+        doc, word = np.divmod(pair, len(names) + 1)
+        columns = [keys[word], uses, vocab.types[group[word]] * mass[word], rest[doc, group[word]]]
+        cuts, ends = np.searchsorted(doc, np.arange(len(texts) + 1)), np.concatenate([[0], np.cumsum(lengths)])
+        for i in range(len(texts)):
+            yield leaves[ends[i] : ends[i + 1]], known[i], alone[i], *(c[cuts[i] : cuts[i + 1]] for c in columns)
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -149,6 +149,26 @@ def test_shards_are_even_and_split_only_large_groups(spark):
     assert all(len(s) == 1 for t, s in where.items() if not t.startswith("hot")) and len(where["hot " * 40]) < 16
 
 
+def test_propagation_moves_labels_until_groups_are_whole(spark):
+    """Against brute force: links cut before and after, and no shard beyond its share of linked documents."""
+    rng = random.Random(6)
+    rows = [t for t in (f"group {g} " + "z" * rng.randint(10, 60) for g in range(300)) for _ in range(rng.randint(2, 9))]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    members = sharding._members(table, "doc_id", "text").withColumn("start", sharding.F.pmod("h", sharding.F.lit(16)).cast("int"))
+    cells, cap = sharding._cells(members, 16, len(rows)), sum(len(t) + 1 for t in rows) / 16
+
+    def cut(cells):
+        by = defaultdict(Counter)
+        for r in cells.collect():
+            by[bytes(r.grp)][r.label] += r.bytes
+        return sum(len(c) > 1 for c in by.values()), max(sum((c for c in by.values()), Counter()).values())
+
+    assert cut(cells)[0] > 200
+    once, done = cut(sharding.propagate(cells, 16, cap * 1.1, 1)), cut(sharding.propagate(cells, 16, cap * 1.1))
+    assert cut(cells)[0] > once[0] > done[0] and done[0] <= 3  # labels travel in later rounds too
+    assert done[1] <= 1.1 * cap
+
+
 def test_shards_keep_groups_whole_that_a_shard_can_hold(spark):
     for seed in range(2):
         rng, rows = random.Random(seed), []
@@ -203,24 +223,78 @@ def test_matroska(docs, none):
     assert matroska.packet_table(matroska.store_media(docs)).count() > len(ROWS)
 
 
-def test_pseudo_likelihood(docs, none):
-    vocab = lm.gather(docs)
+def test_pseudo_likelihood_against_brute_force(docs, none):
+    vocab, tail = lm.gather(docs, known=40)
     counts = Counter(w for r in ROWS for w in lm.words_of(r[1] or ""))
-    assert set(vocab.frequent) == set(counts) and list(vocab.frequent)[0] == min(counts, key=lambda w: (-counts[w], w.encode()))
-    net = lm.train(docs, vocab, part=1.0)
-    got = {r.doc_id: r for r in lm.score_documents(docs, net, vocab).collect() if r.doc_id is not None}
+    assert set(vocab.words) | {w for w in counts if w not in vocab.words} == set(counts) and 0 < len(vocab.words) <= 40
+    assert tail.count() == len(counts) - len(vocab.words)
+    encoded = lm.encode_documents(docs, vocab)
+    net = lm.train(encoded, vocab)
+    got = {r.doc_id: r for r in lm.score_encoded(encoded, tail, net).collect() if r.doc_id is not None}
+    # all words but the 40 commonest are told apart by the other documents' counts and by spelling
+    at = {w: i for i, w in enumerate(vocab.words)}
+    rare = [w for w in counts if w not in at]
     for i in (4, 9, 120):
-        words, total = lm.words_of(next(r[1] for r in ROWS if r[0] == i)), 0.0
-        ids = [vocab.identity(w) for w in words]
-        for t, (_, klass, own) in enumerate(ids):
-            ctx = [ids[t + o][0] if 0 <= t + o < len(ids) else lm.CONTEXTS - 1 for o in lm.OFFSETS]
-            h = np.tanh(net.hidden_bias + sum(net.inputs[k][c] for k, c in enumerate(ctx)))
-            z = h @ net.outputs + net.bias
-            total += z[klass] - np.log(np.exp(z).sum()) + vocab.log_within[own]
-        assert got[i].tokens == len(words) and got[i].log_likelihood == pytest.approx(total, rel=1e-4)
+        words = lm.words_of(next(r[1] for r in ROWS if r[0] == i))
+        leaf = {w: at[w] if w in at else lm.FREQUENT + min(ord(w[-1]), lm.OTHER) % lm.GROUPS for w in words}
+        own, total, alone = Counter(words), 0.0, 0
+        for t, w in enumerate(words):
+            ctx = np.array([[leaf[words[t + o]] if 0 <= t + o < len(words) else lm.EDGE for o in lm.OFFSETS]])
+            spread = np.concatenate([x[0] for _, x in net.distribution(net.hidden(ctx))])
+            assert np.exp(spread).sum() == pytest.approx(1, abs=1e-4)
+            total += spread[leaf[w]]
+            if w not in at:
+                same = [x for x in rare if leaf.get(x, lm.FREQUENT + min(ord(x[-1]), lm.OTHER) % lm.GROUPS) == leaf[w]]
+                others = {x: counts[x] - own[x] for x in same}
+                total += np.log((others[w] + len(same) * np.exp(lm.spelled(vocab.spell, [w])[0])) / (sum(others.values()) + len(same)))
+                alone += others[w] == 0
+        assert got[i].tokens == len(words) and got[i].log_likelihood == pytest.approx(total, rel=1e-4) and got[i].unseen == alone
     assert got[1].tokens == got[2].tokens == 0 and got[1].log_likelihood == 0
-    empty = lm.gather(none)
-    assert lm.score_documents(none, lm.train(none, empty), empty).count() == 0
+    assert lm.score_documents(none).count() == 0
+
+
+def test_spelling_is_a_distribution():
+    counts = np.zeros((lm.SYMBOLS, lm.SYMBOLS))
+    for w in ("ab", "b", "abb"):
+        codes, _ = lm.symbols([w])
+        np.add.at(counts, (codes[1:], codes[:-1]), 1)
+    table = np.exp(lm.spelling(counts))
+    assert np.allclose(table[: lm.START].sum(1), 1)  # what stands before a symbol, or the start
+    group = np.bincount(np.arange(lm.START) % lm.GROUPS, table[lm.START, : lm.START])
+    assert np.allclose(group, 1)  # the last symbol, given the group
+    codes, _ = lm.symbols(["ab"])
+    assert lm.spelled(np.log(np.maximum(table, 1e-300)), ["ab"])[0] == pytest.approx(sum(np.log(table[a, b]) for b, a in zip(codes, codes[1:])))
+
+
+def test_network_gradient_by_differences():
+    rng = np.random.default_rng(3)
+    start = lm.Network.start(rng.integers(0, 50, lm.LEAVES).astype(float))
+    net = lm.Network(start.rows.astype(float) + rng.normal(0, 0.2, start.rows.shape))
+    target, context = rng.integers(0, lm.LEAVES, 60), rng.integers(0, lm.LEAVES + 1, (60, len(lm.OFFSETS)))
+    rows, grad = net.gradient(context, target)
+    assert len(set(rows)) == len(rows)
+    for i in rng.choice(len(rows), 25):
+        j, moved = rng.integers(0, lm.HIDDEN), []
+        for e in (1e-5, -1e-5):
+            changed = net.rows.copy()
+            changed[rows[i], j] += e
+            moved.append(lm.Network(changed).log_probability(context, target).sum())
+        assert grad[i, j] == pytest.approx((moved[0] - moved[1]) / 2e-5, abs=1e-6)
+
+
+def test_training_learns_from_both_sides(spark):
+    """Words that only their neighbours tell: training must raise the score of whole texts above that of shuffled ones."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(x for _ in range(60) for x in rng.choice((("red", "apple", "falls"), ("blue", "ocean", "rises"))))) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab, tail = lm.gather(table)
+    encoded = lm.encode_documents(table, vocab)
+    mean = lambda net: np.mean([r.mean_log_likelihood for r in lm.score_encoded(encoded, tail, net).collect()])
+    net = lm.train(encoded, vocab)
+    assert mean(net) > mean(lm.Network.start(vocab.leaf_counts())) + 0.5
+    mixed = spark.createDataFrame([(i, " ".join(rng.sample(t.split(), 180))) for i, t in rows], "doc_id long, text string")
+    shuffled = lm.score_encoded(lm.encode_documents(mixed, vocab), tail, net)
+    assert mean(net) > np.mean([r.mean_log_likelihood for r in shuffled.collect()]) + 0.5
 
 
 def brute_classes(rows):
@@ -319,6 +393,43 @@ def test_quality(spark, docs, none):
     assert quality.keep_selected(docs, model).columns == docs.columns
 
 
+def test_quality_likelihood_by_brute_force():
+    rng = np.random.default_rng(8)
+    scores, free, grades = rng.normal(0, 2, 40), np.array([-0.7, 0.3]), rng.integers(0, 3, 40)
+    cuts = [-0.7, -0.7 + np.exp(0.3)]
+
+    def chance(s, g):
+        upto = [1 / (1 + np.exp(s - c)) for c in cuts] + [1.0]
+        return upto[g] - (upto[g - 1] if g else 0.0)
+
+    value, by_score, by_free = quality.loss(scores, free, grades)
+    assert value == pytest.approx(-np.mean([np.log(chance(s, g)) for s, g in zip(scores, grades, strict=True)]))
+    assert list(quality.thresholds_of(free)) == pytest.approx(cuts)
+    for i in range(40):
+        step = np.eye(40)[i] * 1e-6
+        assert by_score[i] == pytest.approx((quality.loss(scores + step, free, grades)[0] - quality.loss(scores - step, free, grades)[0]) / 2e-6, abs=1e-7)
+    for i in range(2):
+        step = np.eye(2)[i] * 1e-6
+        assert by_free[i] == pytest.approx((quality.loss(scores, free + step, grades)[0] - quality.loss(scores, free - step, grades)[0]) / 2e-6, abs=1e-7)
+    tails, sound = np.array([0.1, 0.2, 0.6, 0.7, 0.9]), np.array([False, False, True, False, True])
+    assert quality.least_cost(tails, sound) == pytest.approx(0.4)
+
+
+def test_quality_gives_rare_grades_and_weak_evidence_a_say(spark):
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = i % 100 == 0  # one in a hundred, and no two by the same words alone
+        text = prose(EN, RNG.randint(30, 120)) + (" " + " ".join(RNG.sample(["vile", "slur", "hateful", "scum", "filth"], 3)) if toxic else "")
+        rows.append((i, text))
+        labels.append((i, 1, int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.learn(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").where("doc_id % 200 <> 0 or doc_id < 1500"))
+    got = {r.doc_id: r for r in quality.grade_documents(table, model).collect()}
+    held = range(1600, 3000, 200)
+    assert not any(got[i].selected for i in held) and np.mean([got[i].selected for i in range(3000) if i % 100]) > 0.99
+    assert len({round(r.tail_probability, 9) for r in got.values()}) > 1000 and (model.weights > 0).any() and (model.weights < 0).any()
+
+
 def test_packing(docs, none):
     path = tokenizer_path()
     ids, rows = packing.word_ids(path), packing.pack_documents(docs, path).collect()
