@@ -47,8 +47,8 @@ class Chat:
     def command(self, line: str) -> None:
         name, _, rest = line.partition(" ")
         if name == "/areas":
-            for r in self.project.areas().orderBy("ord").select("id", "label", "authority", "docs").collect():
-                self.say(f"{r.id}  {r.label}  [{r.authority}]  {len(r.docs)} documents")
+            for r in self.project.areas().orderBy("ord").select("id", "label", "authority", "documents").collect():
+                self.say(f"{r.id}  {r.label}  [{r.authority}]  {r.documents} documents")
         elif name == "/context":
             self.say(self.context.render() if self.context else "nothing yet")
         elif name == "/check":

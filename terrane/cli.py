@@ -60,7 +60,7 @@ class Commands:
     def _listing(self) -> str:
         lines = []
         for r in rows(self.project.areas().orderBy("ord")):
-            lines.append(f"{r['label']}  id={r['id']}  {r['source']}  {len(r['docs'])} documents  [{r['authority']}]")
+            lines.append(f"{r['label']}  id={r['id']}  {r['source']}  {r['documents']} documents  [{r['authority']}]")
             details = (r["description"], "words: " + ", ".join(r["aliases"][:10]), "signals: " + "; ".join(r["signals"][:6]) if r["signals"] else "")
             lines += [f"  {d}" for d in details if d]
         return "\n".join(lines) or "no documents found"
@@ -81,7 +81,9 @@ class Commands:
 
     def area(self) -> str:
         key = self.project.area(self.args.area)
-        return as_json(rows(self.project.areas().where(F.col("id") == key).drop("ord", "alias_stems"))[0])
+        found = rows(self.project.areas().where(F.col("id") == key).drop("ord", "alias_stems", "first_docs"))[0]
+        docs = self.project.members().where(F.col("id") == key).select("doc").distinct().orderBy("doc")
+        return as_json(found | {"docs": [r["doc"] for r in rows(docs)]})
 
     def rename(self) -> str:
         self.project.edit(self.args.area, label=self.args.label, description=self.args.description)
@@ -146,11 +148,12 @@ class Commands:
         asked = load_questions(self.project.spark, f"file://{Path(self.args.questions).resolve()}")
         outcome = W.outcome(self.project.evaluate(asked, self.args.k)).persist()
         total, kinds = rows(W.recall(outcome))[0], {}
-        for r in rows(outcome.select("question", "expect", "bucket").orderBy("question")):
+        for r in rows(outcome.select("question", "expect", "baseline_hit", "engine_hit", "active", "bucket").orderBy("question")):
             kinds.setdefault(r.pop("bucket"), []).append(r)
         outcome.unpersist()
         if self.args.json:
-            return as_json({"k": self.args.k, **total, **{b: kinds.get(b, []) for b in ("rescued", "lost", "both_missed")}})
+            every = sorted((r for kind in kinds.values() for r in kind), key=lambda r: r["question"])
+            return as_json({"k": self.args.k, **total, **{b: kinds.get(b, []) for b in ("rescued", "lost", "both_missed")}, "rows": every})
         lines = [f"{total['questions']} questions, {self.args.k} passages each", f"plain search: {total['baseline_recall']:.1%}", f"with areas:   {total['engine_recall']:.1%}"]
         for name in ("rescued", "lost", "both_missed"):
             lines += [f"{name} ({len(kinds[name])})", *(f"  {r['question']} -> {r['expect']}" for r in kinds[name][:10])] if name in kinds else []

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,33 +60,61 @@ def distinctive_terms(index: Index, members: DataFrame) -> DataFrame:
     return scored.withColumn("nth", nth).where(F.col("nth") <= ALIASES)
 
 
-def greedy_clusters(rows: pd.DataFrame) -> pd.DataFrame:
-    """One pass over documents in path order: join the most similar centroid from SIMILAR up, else found a cluster."""
-    centroids: list[dict[str, float]] = []
+def greedy_clusters(vectors: Iterable[tuple[str, list[tuple[str, float]]]]) -> Iterator[tuple[str, int]]:
+    """(doc, cluster) of (doc, unit vector) in path order: join the most similar centroid from SIMILAR up, else found a cluster.
+
+    Centroids lie in lists by term, each as a sum of vectors and a factor, so a document meets only clusters that share
+    a term with it, and joining touches only its own terms. A document without terms founds a cluster.
+    """
+    lists: defaultdict[str, dict[int, float]] = defaultdict(dict)
     sizes: list[int] = []
-    found = []
-    for doc, own in rows.sort_values(["doc", "term"]).groupby("doc", sort=True):
-        v = dict(zip(own["term"], own["x"], strict=True))
-        sims = [sum(x * c.get(t, 0.0) for t, x in v.items()) for c in centroids]
-        best = max(range(len(sims)), key=lambda i: (sims[i], -i), default=None)
-        if best is None or sims[best] < SIMILAR or sims[best] <= 0:
-            best = len(centroids)
-            centroids.append(v)
+    factors: list[float] = []
+    for doc, vector in vectors:
+        sims: defaultdict[int, float] = defaultdict(float)
+        for term, x in vector:
+            for cluster, y in lists[term].items():
+                sims[cluster] += x * y * factors[cluster]
+        at = max(sims, key=lambda c: (sims[c], -c), default=-1)
+        if at < 0 or sims[at] < SIMILAR:
+            at = len(sizes)
             sizes.append(1)
+            factors.append(1.0)
+            part = 1.0
         else:
-            k = sizes[best] = sizes[best] + 1
-            mean = {t: x * (k - 1) / k for t, x in centroids[best].items()}
-            for t, x in v.items():
-                mean[t] = mean.get(t, 0.0) + x / k
-            norm = math.sqrt(math.fsum(x * x for x in mean.values())) or 1.0
-            centroids[best] = {t: x / norm for t, x in mean.items()}
-        found.append((doc, best))
-    return pd.DataFrame(found, columns=["doc", "cluster"])
-
-
-def cluster_documents(vectors: DataFrame) -> DataFrame:
-    """(doc, cluster) of loose documents. Each decision needs all earlier ones, so this is one task; only documents outside any folder come here."""
-    return vectors.groupBy(F.lit("loose").alias("all")).applyInPandas(greedy_clusters, "doc string, cluster int")
+            k = sizes[at] = sizes[at] + 1
+            # the mean of k - 1 parts of a unit centroid and one of a unit vector, made a unit vector again
+            length = math.sqrt((k - 1) ** 2 + 1 + 2 * (k - 1) * sims[at]) / k
+            kept = factors[at] * (k - 1) / k
+            factors[at], part = kept / length, 1 / (k * kept)
+        for term, x in vector:
+            own = lists[term]
+            own[at] = own.get(at, 0.0) + x * part
+        yield doc, at
+
+
+def _cluster(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple[str, list[tuple[str, float]]]]:
+        for batch in batches:
+            for doc, terms, xs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield doc, list(zip(terms, xs, strict=True))
+
+    found = greedy_clusters(rows())
+    while part := list(islice(found, 10_000)):
+        docs, clusters = zip(*part, strict=True)
+        yield pa.record_batch([pa.array(docs, pa.string()), pa.array(clusters, pa.int32())], ["doc", "cluster"])
+
+
+def cluster_documents(vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, cluster) of loose documents (doc), with vectors (doc, term, x).
+
+    Each decision needs all earlier ones, so one task makes them. It takes the documents as a sorted stream and holds
+    the centroids only; no other documents than those outside any folder come here.
+    """
+    order = F.array_sort(F.collect_list(F.struct("term", "x")))  # of one document
+    whole = docs.select("doc").distinct().join(vectors.groupBy("doc").agg(order.alias("v")), "doc", "left")
+    none = F.array().cast("array<struct<term:string,x:double>>")
+    rows = whole.withColumn("v", F.coalesce("v", none)).select("doc", F.col("v.term").alias("terms"), F.col("v.x").alias("xs"))
+    return rows.repartition(1).sortWithinPartitions("doc").mapInArrow(_cluster, "doc string, cluster int")
 
 
 def carried_over(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -109,16 +140,53 @@ def cluster_labels(terms: DataFrame, titles: DataFrame, surfaces: DataFrame) ->
     return found.select("area_id", F.concat(F.lit("auto-"), F.array_join("named", "-")).alias("name"), human(F.array_join("labelled", " & ")).alias("label"))
 
 
+def _free_names(family: pa.Table) -> pa.Table:
+    """Names of one family in their order: one that is taken gets the first free number from 2 up."""
+    family = family.sort_by("nth")
+    taken: set[str] = set()
+    tried: dict[str, int] = {}  # numbers below are taken
+    fresh = []
+    for name in family["id"].to_pylist():
+        n = tried.get(name, 1)
+        while (numbered := f"{name}-{n}" if n > 1 else name) in taken:
+            n += 1
+        tried[name] = n + 1
+        taken.add(numbered)
+        fresh.append(numbered)
+    return pa.table([family["family"], family["nth"], pa.array(fresh, pa.string())], names=["family", "nth", "fresh"])
+
+
 def unique_ids(areas: DataFrame) -> DataFrame:
-    """Areas of one id get -2, -3 and so on, in area order (column ord)."""
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("ord"))
-    return areas.withColumn("nth", nth).withColumn("id", F.when(F.col("nth") > 1, F.concat("id", F.lit("-"), F.col("nth").cast("string"))).otherwise(F.col("id"))).drop("nth")
+    """Areas with ids of their own, in area order (column ord): of one that is taken, -2, -3 and so on, the first that is free.
+
+    Ids can only collide within a family of names that differ in numbers at their end. Only families in which some id
+    occurs twice are numbered, each as a group of narrow rows.
+    """
+    nth = F.row_number().over(Window.partitionBy("family").orderBy("ord"))
+    rows = areas.withColumn("family", F.regexp_replace("id", "(-[0-9]+)+$", "")).withColumn("nth", nth)
+    clashing = rows.groupBy("family", "id").agg(F.count("*").alias("n")).where("n > 1").select("family").distinct()
+    among = rows.select("family", "nth", "id").join(clashing, "family", "left_semi")
+    fresh = among.groupBy("family").applyInArrow(_free_names, "family string, nth int, fresh string")
+    return rows.join(fresh, ["family", "nth"], "left").withColumn("id", F.coalesce("fresh", "id")).drop("family", "nth", "fresh")
+
+
+def membership_counts(members: DataFrame, most: int = 6) -> DataFrame:
+    """(area_id, documents, chunk_count, first_docs) of members (area_id, doc, chunk_id): counts, and the first documents by path.
+
+    The members themselves stay a table; at most so many of an area are gathered.
+    """
+    docs = members.groupBy("area_id", "doc").agg(F.count("*").alias("chunks"))
+    counts = docs.groupBy("area_id").agg(F.count("*").alias("documents"), F.sum("chunks").alias("chunk_count"))
+    nth = F.row_number().over(Window.partitionBy("area_id").orderBy("doc"))
+    first = docs.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("area_id").agg(F.sort_array(F.collect_list("doc")).alias("first_docs"))
+    return counts.join(first, "area_id")
 
 
 def merge_overrides(areas: DataFrame, overrides: DataFrame) -> DataFrame:
     """Areas with the user's edits.
 
-    areas: ord, id, source, label_auto, label_ai, description_auto, signals_auto, aliases, alias_stems (map), docs.
+    areas: ord, id, source, label_auto, label_ai, description_auto, signals_auto, aliases, alias_stems (map), documents,
+    chunk_count, first_docs.
     overrides: id, label, description, aliases, signals, authority, watch_url; absent ones null.
     """
     o = overrides.select("id", *(F.col(c).alias(f"u_{c}") for c in ("label", "description", "aliases", "signals", "authority", "watch_url")))
@@ -134,7 +202,7 @@ def merge_overrides(areas: DataFrame, overrides: DataFrame) -> DataFrame:
         "ord", "id", "source",
         text("u_label", "label_ai", "label_auto").alias("label"),
         F.coalesce(F.nullif("u_description", empty), "description_auto", empty).alias("description"),
-        "docs",
+        "documents", "chunk_count", "first_docs",
         F.concat("ua", F.filter("aliases", lambda x: ~F.array_contains("ua", x))).alias("aliases"),
         F.map_zip_with("alias_stems", "lifts", lambda _, a, b: F.greatest(a, b)).alias("alias_stems"),
         F.concat("us", F.filter(F.coalesce("signals_auto", F.array().cast("array<string>")), lambda x: ~F.array_contains("us", x))).alias("signals"),
@@ -145,4 +213,4 @@ def merge_overrides(areas: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def area_summary(areas: DataFrame) -> DataFrame:
     """What a listing of areas shows; at most twelve words and twelve phrases."""
-    return areas.select("id", "label", "description", "authority", "watch_url", F.size("docs").alias("documents"), F.slice("aliases", 1, 12).alias("aliases"), F.slice("signals", 1, 12).alias("signals"))
+    return areas.select("id", "label", "description", "authority", "watch_url", "documents", "chunk_count", F.slice("aliases", 1, 12).alias("aliases"), F.slice("signals", 1, 12).alias("signals"))

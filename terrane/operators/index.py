@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,17 +16,24 @@ from ..functions.text import keeps, stem, words
 K1, B = 1.4, 0.75
 #: Turns of a conversation that count, and the weight of words of the last and of earlier ones.
 TURNS, LAST, EARLIER = 6, 1.0, 0.4
+#: Characters of a chunk that a context shows.
+PASSAGE_CHARS = 1200
+#: So many distinct words of a batch of queries are given to the scan of the weights as a filter, a few in each part of it,
+#: as Parquet readers look up only short lists word by word.
+PUSHED, LISTED = 100, 10
 
 
 @dataclass
 class Index:
-    """chunks(chunk_id, doc, title, section, text), postings(chunk_id, term, f), lengths(chunk_id, dl), terms(term, df, idf), corpus(n, avgdl)."""
+    """chunks(chunk_id, doc, title, section, text), postings(chunk_id, term, f), lengths(chunk_id, dl, chars), terms(term, df, idf),
+    corpus(n, avgdl), and what searches read: weights(term, chunk_id, w, id), where id is the chunk's area or null."""
 
     chunks: DataFrame
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    weights: DataFrame
 
 
 def chunk_words(chunks: DataFrame) -> DataFrame:
@@ -34,13 +43,22 @@ def chunk_words(chunks: DataFrame) -> DataFrame:
 
 
 def term_frequencies(chunks: DataFrame) -> DataFrame:
-    return chunk_words(chunks).groupBy("chunk_id", stem(F.col("word")).alias("term")).agg(F.count("*").alias("f"))
+    """(chunk_id, term, f). Chunks are dealt by their id first, so neither of the two counts shuffles words; words are
+    counted before they are stemmed, each once a chunk."""
+    counted = chunk_words(chunks.select("chunk_id", "title", "section", "text").repartition("chunk_id")).groupBy("chunk_id", "word").agg(F.count("*").alias("n"))
+    return counted.groupBy("chunk_id", stem(F.col("word")).alias("term")).agg(F.sum("n").alias("f"))
+
+
+def passage_text(text: Column) -> Column:
+    """What a context shows of a chunk."""
+    return F.when(F.length(text) <= PASSAGE_CHARS, text).otherwise(F.concat(F.substring(text, 1, PASSAGE_CHARS), F.lit(" ...")))
 
 
 def chunk_lengths(chunks: DataFrame, postings: DataFrame) -> DataFrame:
-    """Chunks without any term have length 0."""
+    """(chunk_id, dl, chars): terms, and characters of the passage. Chunks without any term have length 0."""
     sums = postings.groupBy("chunk_id").agg(F.sum("f").alias("dl"))
-    return chunks.select("chunk_id").join(sums, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
+    shown = chunks.select("chunk_id", F.coalesce(F.length(passage_text(F.col("text"))), F.lit(0)).alias("chars"))
+    return shown.join(sums, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"), "chars")
 
 
 def corpus_statistics(lengths: DataFrame) -> DataFrame:
@@ -63,11 +81,26 @@ def surface_forms(chunks: DataFrame) -> DataFrame:
     return counted.withColumn("nth", best).where("nth = 1").select("term", "surface")
 
 
-def build_index(chunks: DataFrame) -> Index:
+def term_weights(postings: DataFrame, lengths: DataFrame, terms: DataFrame, corpus: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, w, id): what one use of a term in a query adds to a chunk's score, and the chunk's area.
+
+    Dealt by range of (term, chunk_id) and sorted: a term of many chunks is many tasks, and a question that names few
+    terms reads only the row groups that hold them. members: (id, chunk_id), at most one area a chunk.
+    """
+    dl, avgdl, f = F.col("dl"), F.col("avgdl"), F.col("f")
+    w = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
+    sized = lengths.select("chunk_id", "dl")
+    sized = sized.withColumn("id", F.lit(None).cast("string")) if members is None else sized.join(members.select("chunk_id", "id"), "chunk_id", "left")
+    joined = postings.join(sized, "chunk_id").join(terms.select("term", "idf"), "term").crossJoin(F.broadcast(corpus))  # corpus is one row
+    return joined.select("term", "chunk_id", w.alias("w"), "id").repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+
+
+def build_index(chunks: DataFrame, members: DataFrame | None = None) -> Index:
     postings = term_frequencies(chunks)
     lengths = chunk_lengths(chunks, postings)
     corpus = corpus_statistics(lengths)
-    return Index(chunks, postings, lengths, term_statistics(postings, corpus), corpus)
+    terms = term_statistics(postings, corpus)
+    return Index(chunks, postings, lengths, terms, corpus, term_weights(postings, lengths, terms, corpus, members))
 
 
 def query_terms(turns: DataFrame) -> DataFrame:
@@ -83,15 +116,24 @@ def query_terms(turns: DataFrame) -> DataFrame:
     return found.select("query_id", "term", "weight", F.row_number().over(Window.partitionBy("query_id").orderBy("first")).alias("pos"))
 
 
-def score_chunks(queries: DataFrame, index: Index, keys: tuple[str, ...] = ("query_id",), within: DataFrame | None = None) -> DataFrame:
-    """BM25 sums: (*keys, chunk_id, score). within: (domain_id, chunk_id) restricts queries that carry a domain_id."""
-    hits = queries.where("weight > 0").join(index.postings, "term")
-    if within is not None:
-        hits = hits.join(within, ["domain_id", "chunk_id"])
-    dl, avgdl, f = F.col("dl"), F.col("avgdl"), F.col("f")
-    part = F.col("weight") * F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
-    scored = hits.join(index.terms.select("term", "idf"), "term").join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.corpus))
-    return scored.groupBy(*keys, "chunk_id").agg(F.sum(part).alias("score"))
+def sought(queries: DataFrame, index: Index) -> DataFrame:
+    """The weights of the terms that the queries name: where these are few, the scan itself gets them as a filter."""
+    terms = [r["term"] for r in queries.select("term").distinct().limit(PUSHED + 1).collect()]  # at most PUSHED + 1 words
+    if len(terms) > PUSHED:
+        return index.weights
+    return index.weights.where(reduce(or_, (F.col("term").isin(terms[i : i + LISTED]) for i in range(0, len(terms), LISTED)), F.lit(False)))
+
+
+def score_chunks(queries: DataFrame, index: Index, keys: tuple[str, ...] = ("query_id",), within: bool = False) -> DataFrame:
+    """BM25 sums: (*keys, chunk_id, score, id) of queries (*keys, term, weight). within: only chunks of the area domain_id.
+
+    One join and one exchange behind it. The queries are the small side of the join: Spark broadcasts them while their
+    size on disk allows, and otherwise deals both sides by term, splitting hot terms as they run.
+    """
+    asked = queries.where("weight > 0")
+    weights = sought(queries, index)
+    hits = asked.join(weights, [F.col("domain_id") == F.col("id"), asked["term"] == weights["term"]]) if within else asked.join(weights, "term")
+    return hits.groupBy(*keys, "chunk_id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"), F.first("id").alias("id"))
 
 
 def ranked(scores: DataFrame, keys: tuple[str, ...] = ("query_id",), k: int | None = None) -> DataFrame:

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .index import Index, ranked, score_chunks
+from .index import Index, passage_text, ranked, score_chunks
 
 # Fixed values of the model.
-ACTIVE_FROM, MAX_ACTIVE, PASSAGE_CHARS, PASSAGES, BUDGET = 0.40, 4, 1200, 8, 9000
+ACTIVE_FROM, MAX_ACTIVE, PASSAGES, BUDGET = 0.40, 4, 8, 9000
 FULL, SINGLE, PARTLY, OVERLAP, PARTLY_WORDS = 1.0, 0.75, 0.6, 0.6, 3
 SATURATION, ALIAS_PART, TEXT_PART, STRONG = 1.5, 0.8, 0.7, 0.5
 SIGNAL_BOOST, PHRASE_BOOST, SPARE, FILL = 1.0, 0.3, 4, 0.35
+#: Number of the candidates' last stage.
+LAST = 1 << 20
 
 #: How the reader must treat an area: by its authority, or `parked`.
 RULES = {
@@ -56,11 +55,12 @@ def alias_scores(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     return met.groupBy("query_id", "id").agg(F.least(F.lit(1.0), F.sum("w") / SATURATION).alias("ali"), said.alias("words"))
 
 
-def relevance(scores: DataFrame, members: DataFrame) -> DataFrame:
-    """(query_id, id, rel): an area's best chunk against the best of all; members: (id, chunk_id)."""
-    best = scores.groupBy("query_id").agg(F.max("score").alias("best"))
-    local = scores.join(members, "chunk_id").groupBy("query_id", "id").agg(F.max("score").alias("own"))
-    return local.join(best, "query_id").select("query_id", "id", F.when(F.col("best") > 0, F.col("own") / F.col("best")).otherwise(0.0).alias("rel"))
+def relevance(scores: DataFrame) -> DataFrame:
+    """(query_id, id, rel): an area's best chunk against the best of all."""
+    local = scores.groupBy("query_id", "id").agg(F.max("score").alias("own"))
+    best = F.max("own").over(Window.partitionBy("query_id"))  # one row an area
+    rel = F.when(F.col("best") > 0, F.col("own") / F.col("best")).otherwise(0.0)
+    return local.withColumn("best", best).where("id is not null").select("query_id", "id", rel.alias("rel"))
 
 
 def area_scores(queries: DataFrame, areas: DataFrame, sig: DataFrame, ali: DataFrame, rel: DataFrame) -> DataFrame:
@@ -101,84 +101,86 @@ def focused_terms(queries: DataFrame, active: DataFrame, phrases: DataFrame) ->
     return plain.unionByName(matched).unionByName(light).groupBy("query_id", "domain_id", "term").agg(F.sum("weight").alias("weight"))
 
 
-def focused_hits(terms: DataFrame, index: Index, members: DataFrame, k: int = PASSAGES + SPARE) -> DataFrame:
+def focused_hits(terms: DataFrame, index: Index, k: int = PASSAGES + SPARE) -> DataFrame:
     """The best chunks within each active area; k covers any quota."""
     keys = ("query_id", "domain_id")
-    return ranked(score_chunks(terms, index, keys, members.select(F.col("id").alias("domain_id"), "chunk_id")), keys, k)
+    return ranked(score_chunks(terms, index, keys, True).drop("id"), keys, k)
 
 
-def representatives(aliases: DataFrame, index: Index, members: DataFrame, k: int = 2) -> DataFrame:
+def representatives(aliases: DataFrame, index: Index, k: int = 2) -> DataFrame:
     """The two chunks of each area that its six heaviest words find; the same for every query."""
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "term"))
     top = aliases.withColumn("nth", nth).where("nth <= 6").select(F.col("id").alias("domain_id"), "term", F.lit(1.0).alias("weight"))
-    return ranked(score_chunks(top, index, ("domain_id",), members.select(F.col("id").alias("domain_id"), "chunk_id")), ("domain_id",), k)
-
+    return ranked(score_chunks(top, index, ("domain_id",), True).drop("id"), ("domain_id",), k)
 
-def passage_text(text: F.Column) -> F.Column:
-    return F.when(F.length(text) <= PASSAGE_CHARS, text).otherwise(F.concat(F.substring(text, 1, PASSAGE_CHARS), F.lit(" ...")))
 
+def candidates(plain: DataFrame, focused: DataFrame, fallback: DataFrame, active: DataFrame, k: int = PASSAGES) -> DataFrame:
+    """Everything that may become a passage, a row each time it may: (query_id, stage, kind, rank, chunk_id, domain_id, via, score, total).
 
-def assemble(k: int = PASSAGES, budget: int = BUDGET):
-    """Fold of one query's ranked candidates into its passages.
-
-    Rows: kind 0 plain hits, 1 focused hits, 2 representatives; each with its area's place, score and sum of scores.
-    Order: plain head, then each active area up to its quota, then strong plain hits. The first passage always fits.
+    Stages in order: 0 the plain head, the place of each active area, a last one for the strong plain hits. Kinds: 0
+    plain hits; 1 hits within an area; 2 representatives, of areas with a reason and without hits. total is the sum of the
+    active areas' scores. At most 2 * k plain rows and 4 * (k + 4) of areas for each query, whatever the corpus.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[int, tuple] = {}
-        used = 0
-
-        def add(r, via: str) -> bool:
-            nonlocal used
-            if r.chunk_id in taken or len(taken) >= k or r.parked or taken and used + r.chars > budget:
-                return False
-            used += r.chars
-            taken[r.chunk_id] = (r.query_id, len(taken) + 1, r.chunk_id, r.own_domain, via)
-            return True
-
-        rows = rows.sort_values(["kind", "nth", "rank"], kind="stable")
-        plain = list(rows[rows.kind == 0].itertuples(index=False))
-        known = {r.chunk_id for r in plain}
-        for r in plain[: max(2, k // 3)]:
-            add(r, "question")
-        total = rows[rows.kind > 0].groupby("nth").area_score.first().sum()
-        for _, area in rows[rows.kind > 0].groupby("nth", sort=True):
-            quota = max(1, math.ceil((k - len(taken)) * area.area_score.iloc[0] / total)) if total else 1
-            focused = area[(area.kind == 1) & (area["rank"] <= quota + SPARE)]
-            if focused.empty and area.evident.iloc[0]:
-                focused = area[(area.kind == 2) & (area["rank"] <= min(2, quota))]
-            got = 0
-            for r in focused[focused.chunk_id >= 0].itertuples(index=False):
-                got += add(r, "question" if r.chunk_id in known else "area")
-                if got >= quota:
-                    break
-        for r in plain:
-            if r.score >= FILL * plain[0].score:
-                add(r, "question")
-        return pd.DataFrame(list(taken.values()), columns=["query_id", "n", "chunk_id", "domain_id", "via"])
-
-    return run
-
-
-def pack_passages(plain: DataFrame, focused: DataFrame, fallback: DataFrame, active: DataFrame, index: Index, members: DataFrame, k: int = PASSAGES, budget: int = BUDGET) -> DataFrame:
-    """(query_id, n, doc, section, text, domain_id, via) of every query.
-
-    At most k plain hits and 4 * (k + 4) area hits of a query meet in one group, whatever the corpus.
+    total = F.sum("score").over(Window.partitionBy("query_id"))
+    live = active.where("state = 'active'").select("query_id", F.col("id").alias("domain_id"), F.col("nth").cast("int").alias("stage"), F.col("score").alias("area"), total.alias("total"), (F.size("reasons") > 0).alias("evident"))
+    hits = plain.where(F.col("rank") <= k).withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
+    strong = F.round(F.col("score") - FILL * F.col("best"), 9) >= 0
+    said, zero = F.lit("question").alias("via"), F.lit(0.0)
+
+    def row(stage, kind: int, via: F.Column, area: F.Column, total: F.Column, domain: F.Column) -> list:
+        return ["query_id", stage.cast("int").alias("stage"), F.lit(kind).alias("kind"), F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("long").alias("chunk_id"), domain.alias("domain_id"), via.alias("via"), area.alias("area"), total.alias("total")]
+
+    own = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    head = hits.where(F.col("rank") <= max(2, k // 3)).select(*row(F.lit(0), 0, said, zero, zero, own))
+    last = hits.where(strong).select(*row(F.lit(LAST), 0, said, zero, zero, own))
+    known = hits.select("query_id", "chunk_id", F.lit("question").alias("known"))
+    within = live.join(focused.drop("score"), ["query_id", "domain_id"]).join(known, ["query_id", "chunk_id"], "left")
+    bare = live.where("evident").join(focused.select("query_id", "domain_id"), ["query_id", "domain_id"], "left_anti")
+    instead = bare.join(fallback.drop("score"), "domain_id").join(known, ["query_id", "chunk_id"], "left")
+    via = F.coalesce("known", F.lit("area"))
+    return head.unionByName(last).unionByName(within.select(*row(F.col("stage"), 1, via, F.col("area"), F.col("total"), F.col("domain_id")))).unionByName(
+        instead.select(*row(F.col("stage"), 2, via, F.col("area"), F.col("total"), F.col("domain_id")))
+    )
+
+
+def assembled(rows: DataFrame, k: int = PASSAGES, budget: int = BUDGET) -> DataFrame:
+    """(query_id, n, chunk_id, domain_id, via) of candidates with their length (chars) and whether their area is parked.
+
+    A fold over each query's candidates in order. An area's quota is its share of the passages that are left when its
+    turn comes; of its hits the first quota + 4 are tried, of representatives two. The first passage fits any budget.
     """
-    live = active.where("state = 'active'").select("query_id", F.col("id").alias("domain_id"), "nth", F.col("score").alias("area_score"), (F.size("reasons") > 0).alias("evident"))
-    parked = active.where("state = 'parked'").select("query_id", F.col("id").alias("own_domain"), F.lit(True).alias("parked"))
-    none = lambda n, t: F.lit(None).cast(t).alias(n)
-    columns = ["query_id", "kind", "nth", "rank", "chunk_id", "score", "area_score", "evident"]
-    a = plain.where(F.col("rank") <= k).select("query_id", F.lit(0).alias("kind"), F.lit(0).alias("nth"), "rank", "chunk_id", "score", F.lit(0.0).alias("area_score"), F.lit(False).alias("evident"))
-    b = live.join(focused, ["query_id", "domain_id"], "left").select("query_id", F.lit(1).alias("kind"), "nth", F.coalesce("rank", F.lit(1 << 20)).alias("rank"), F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"), F.coalesce("score", F.lit(0.0)).alias("score"), "area_score", "evident")
-    c = live.join(fallback, "domain_id").select("query_id", F.lit(2).alias("kind"), "nth", "rank", "chunk_id", "score", "area_score", "evident")
-    rows = a.select(*columns).unionByName(b.select(*columns)).unionByName(c.select(*columns))
-    rows = rows.join(members.select("chunk_id", F.col("id").alias("own_domain")), "chunk_id", "left").join(parked, ["query_id", "own_domain"], "left")
-    rows = rows.join(index.chunks.select("chunk_id", F.length(passage_text(F.col("text"))).alias("chars")), "chunk_id", "left")
-    rows = rows.withColumns({"parked": F.coalesce("parked", F.lit(False)), "own_domain": F.coalesce("own_domain", F.lit("")), "chars": F.coalesce("chars", F.lit(0)), "chunk_id": F.col("chunk_id").cast("long")})
-    kind = rows.schema["query_id"].dataType.simpleString()
-    found = rows.groupBy("query_id").applyInPandas(assemble(k, budget), f"query_id {kind}, n int, chunk_id long, domain_id string, via string")
+    ordered = F.array_sort(F.collect_list(F.struct("stage", "kind", "rank", "chunk_id", "domain_id", "via", "area", "total", "chars", "parked")))
+    start = F.struct(
+        F.array().cast("array<struct<chunk_id:bigint,domain_id:string,via:string>>").alias("taken"),
+        F.lit(0).alias("used"), F.lit(-1).alias("stage"), F.lit(0).alias("quota"), F.lit(0).alias("got"),
+    )
+
+    def step(state, c):
+        fresh, taken = c["stage"] != state["stage"], state["taken"]
+        left = k - F.size(taken)
+        share = F.when(c["total"] > 0, F.ceil(F.round(left * c["area"] / c["total"], 9))).otherwise(1)
+        quota = F.when(fresh, F.when(c["kind"] == 0, k).otherwise(F.greatest(F.lit(1), share))).otherwise(state["quota"]).cast("int")
+        got = F.when(fresh, 0).otherwise(state["got"])
+        tried = F.when(c["kind"] == 1, quota + SPARE).when(c["kind"] == 2, F.least(F.lit(2), quota)).otherwise(k)
+        room = (left > 0) & ((F.size(taken) == 0) | (state["used"] + c["chars"] <= budget))
+        fits = (got < quota) & (c["rank"] <= tried) & room & ~c["parked"] & ~F.exists(taken, lambda x: x["chunk_id"] == c["chunk_id"])
+        more = F.array(F.struct(c["chunk_id"].alias("chunk_id"), c["domain_id"].alias("domain_id"), c["via"].alias("via")))
+        return F.struct(
+            F.when(fits, F.concat(taken, more)).otherwise(taken).alias("taken"),
+            (state["used"] + F.when(fits, c["chars"]).otherwise(0)).cast("int").alias("used"),
+            c["stage"].alias("stage"), quota.alias("quota"), (got + fits.cast("int")).cast("int").alias("got"),
+        )
+
+    folded = rows.groupBy("query_id").agg(ordered.alias("all")).select("query_id", F.aggregate("all", start, step, lambda x: x["taken"]).alias("taken"))
+    return folded.select("query_id", F.posexplode("taken").alias("n", "p")).select("query_id", (F.col("n") + 1).cast("int").alias("n"), "p.*")
+
+
+def pack_passages(plain: DataFrame, focused: DataFrame, fallback: DataFrame, active: DataFrame, index: Index, k: int = PASSAGES, budget: int = BUDGET) -> DataFrame:
+    """(query_id, n, doc, section, text, domain_id, via) of every query. Only the candidates meet the chunk tables."""
+    rows = candidates(plain, focused, fallback, active, k)
+    parked = active.where("state = 'parked'").select("query_id", F.col("id").alias("domain_id"), F.lit(True).alias("shut"))
+    rows = rows.join(parked, ["query_id", "domain_id"], "left").withColumn("parked", F.coalesce("shut", F.lit(False)))
+    found = assembled(rows.join(index.lengths.select("chunk_id", "chars"), "chunk_id"), k, budget)
     return found.join(index.chunks.select("chunk_id", "doc", "section", passage_text(F.col("text")).alias("text")), "chunk_id").select("query_id", "n", "doc", "section", "text", "domain_id", "via")
 
 

@@ -9,35 +9,46 @@ import urllib.request
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from ..sources.documents import html_to_text
 
 # The most that is read of a source, and how long an answer may take.
 FETCH_BYTES, FETCH_SECONDS = 10 << 20, 60
+#: Words of an item that are looked up.
+QUOTED = 4
+_DECODER = json.JSONDecoder()
 
 
-def fetch_text(url: str) -> str:
-    """The text of a published source; HTML by its content type or its beginning."""
+def fetch_page(url: str) -> tuple[str, bool]:
+    """A published source, and whether it is HTML by its content type or its beginning."""
     request = urllib.request.Request(url, headers={"user-agent": "terrane-watch/1"})
     with urllib.request.urlopen(request, timeout=FETCH_SECONDS) as answer:
         kind, raw = answer.headers.get("content-type", ""), answer.read(FETCH_BYTES).decode("utf-8", "ignore")
-    return html_to_text(raw) if "html" in kind or "<html" in raw[:500].lower() else raw
+    return raw, "html" in kind or "<html" in raw[:500].lower()
 
 
-def fetch_sources(watched: DataFrame, fetch=fetch_text) -> DataFrame:
-    """(id, url, text, error) of watched (id, url); executors fetch, and a source that fails gives its error."""
+def fetch_sources(watched: DataFrame, fetch=fetch_page) -> DataFrame:
+    """(id, url, text, error) of watched (id, url); executors fetch, and a source that fails gives its error.
+
+    fetch gives the source and whether it is HTML, or plain text alone.
+    """
 
     def run(frames):
         for frame in frames:
             rows = []
             for key, url in zip(frame["id"], frame["url"], strict=True):
                 try:
-                    rows.append((key, url, fetch(url), None))
+                    got = fetch(url)
+                    raw, page = got if isinstance(got, tuple) else (got, False)
+                    rows.append((key, url, raw, page, None))
                 except Exception as e:  # whatever a source does wrong must not stop the others
-                    rows.append((key, url, None, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["id", "url", "text", "error"])
+                    rows.append((key, url, None, False, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["id", "url", "raw", "page", "error"])
 
-    return watched.select("id", "url").mapInPandas(run, "id string, url string, text string, error string")
+    rows = watched.select("id", "url").mapInPandas(run, "id string, url string, raw string, page boolean, error string")
+    read = html_to_text(rows.withColumn("html", F.when(F.col("page"), F.col("raw"))))
+    return read.select("id", "url", F.when(F.col("page"), F.col("text")).otherwise(F.col("raw")).alias("text"), "error")
 
 
 def watch_status(state: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -83,11 +94,33 @@ def line_diff(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "old", "new").mapInPandas(run, f"id {kind}, lines_added int, lines_removed int, sample_added array<string>, sample_removed array<string>")
 
 
-def evaluation_rows(questions: DataFrame, plain: DataFrame, packed: DataFrame) -> DataFrame:
-    """(query_id, baseline_hit, engine_hit): whether any returned document's path holds the expected string."""
+def quotations(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, doc) of the chunks that hold an item's whole text; items (query_id, item) of six words or more.
+
+    Four words inside an item stand between spaces in any text that holds it, so their hash is looked up among the
+    text's runs of four words; what is found is compared in full. Only ids and hashes meet in that join.
+    """
+    hashed = lambda words, i: F.xxhash64(*(F.get(words, i + j) for j in range(QUOTED)))
+    said = F.split("item", r"\s+")
+    keys = items.where(F.size(said) >= QUOTED + 2).select("query_id", "item", hashed(said, F.lit(1)).alias("key"))
+    words = F.split("text", r"\s+")
+    runs = chunks.where(F.size(words) >= QUOTED).select("chunk_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - QUOTED), lambda i: hashed(words, i)))).alias("key"))
+    found = runs.join(keys.select("query_id", "key"), "key").select("query_id", "chunk_id").distinct()
+    held = chunks.select("chunk_id", "doc", "text").join(found, "chunk_id").join(items.select("query_id", "item"), "query_id")
+    return held.where(F.expr("contains(text, item)")).select("query_id", "chunk_id", "doc")
+
+
+def evaluation_rows(questions: DataFrame, plain: DataFrame, packed: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """(query_id, baseline_hit, engine_hit, active): whether any returned document's path holds the expected string, and the
+    labels of the areas that were active, in their order; active: (query_id, state, nth, label)."""
     hits = lambda found, name: found.join(questions.select("query_id", "expect"), "query_id").groupBy("query_id").agg(F.max(F.expr("contains(doc, expect)")).alias(name))
     rows = questions.join(hits(plain, "baseline_hit"), "query_id", "left").join(hits(packed, "engine_hit"), "query_id", "left")
-    return rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("baseline_hit", "engine_hit")})
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("baseline_hit", "engine_hit")})
+    if active is None:
+        return rows
+    labels = F.transform(F.array_sort(F.collect_list(F.struct("nth", "label"))), lambda x: x["label"])  # of at most four areas
+    shown = active.where("state = 'active'").groupBy("query_id").agg(labels.alias("active"))
+    return rows.join(shown, "query_id", "left").withColumn("active", F.coalesce("active", F.array().cast("array<string>")))
 
 
 def recall(rows: DataFrame) -> DataFrame:
@@ -101,16 +134,25 @@ def outcome(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", F.when(e & ~b, "rescued").when(b & ~e, "lost").when(~b & ~e, "both_missed").otherwise("both_hit"))
 
 
+def json_part(reply: Column) -> Column:
+    """The part of a model's reply that holds its object, or else its array, as a variant; null without either.
+
+    A part reaches from the first opening to the last closing bracket, so fences and chatter around it do not matter.
+    """
+    parts = (F.nullif(F.regexp_extract(reply, pattern, 0), F.lit("")) for pattern in (r"(?s)\{.*\}", r"(?s)\[.*\]"))
+    return F.coalesce(*(F.try_parse_json(part) for part in parts))
+
+
 def extract_json(reply: str):
-    """The object, or else the array, within a model's reply; fences and chatter around it are dropped."""
-    text = reply.strip()
-    if text.startswith("```"):
-        text = text.strip("`").partition("\n")[2] if "\n" in text else text.strip("`")
-    for pair in ("{}", "[]"):
-        start, end = text.find(pair[0]), text.rfind(pair[1])
-        if 0 <= start < end:
-            try:
-                return json.loads(text[start : end + 1])
-            except json.JSONDecodeError:
-                pass
+    """The same for one reply on the driver, as Python values."""
+    for opening, closing in ("{}", "[]"):
+        start = reply.find(opening)
+        if start < 0:
+            continue
+        try:
+            found, end = _DECODER.raw_decode(reply, start)
+        except json.JSONDecodeError:
+            continue
+        if reply.find(closing, end) < 0:  # otherwise the last bracket lies beyond the value
+            return found
     raise ValueError("the reply holds no JSON")

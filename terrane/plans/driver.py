@@ -6,7 +6,6 @@ items are questions; four areas have fixed phrases and three a fixed mode.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +26,20 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple, DataFrame] = {}
+
+
+def _contents(spark: SparkSession, d: str) -> str:
+    """Names, sizes and times of an input folder's files, as the store of the folder tells them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(d)
+    return ",".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)))
 
 
 def once(f):
-    """Results that several operators share are written once for each application and input folder."""
+    """Results that several queries share are written once for each application and contents of an input folder."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        key = spark.sparkContext.applicationId, d, f.__name__
+        key = spark.sparkContext.applicationId, _contents(spark, d), f.__name__
         if key not in _written:
             _written[key] = stored(f(spark, d), f.__name__.strip("_"))
         return _written[key]
@@ -63,8 +68,20 @@ def term_stats(spark: SparkSession, d: str) -> DataFrame:
     return I.term_statistics(postings(spark, d), I.corpus_statistics(lengths(spark, d)))
 
 
+@once
+def weights(spark: SparkSession, d: str) -> DataFrame:
+    return I.term_weights(postings(spark, d), lengths(spark, d), term_stats(spark, d), I.corpus_statistics(lengths(spark, d)), members(spark, d))
+
+
+def statistics(spark: SparkSession, d: str) -> I.Index:
+    """The index without the weights that only searches read."""
+    return I.Index(chunks(spark, d), postings(spark, d), lengths(spark, d), term_stats(spark, d), I.corpus_statistics(lengths(spark, d)), None)
+
+
 def index(spark: SparkSession, d: str) -> I.Index:
-    return I.Index(chunks(spark, d), postings(spark, d), lengths(spark, d), term_stats(spark, d), I.corpus_statistics(lengths(spark, d)))
+    found = statistics(spark, d)
+    found.weights = weights(spark, d)
+    return found
 
 
 @once
@@ -100,7 +117,7 @@ def areas(spark: SparkSession, d: str) -> DataFrame:
 def aliases(spark: SparkSession, d: str) -> DataFrame:
     """(id, term, weight): distinctive terms, and the words of the area's name at the heaviest weight."""
     m = A.folder_areas(chunks(spark, d))
-    terms = A.distinctive_terms(index(spark, d), m).select(F.col("area_id").alias("id"), "term", F.round("weight", 9).alias("weight"))
+    terms = A.distinctive_terms(statistics(spark, d), m).select(F.col("area_id").alias("id"), "term", F.round("weight", 9).alias("weight"))
     top = terms.groupBy("id").agg(F.max("weight").alias("weight"))
     named = areas(spark, d).select("id", F.explode(T.tokens(F.col("id"))).alias("term")).join(top, "id").select("id", "term", "weight")
     return terms.unionByName(named).groupBy("id", "term").agg(F.max("weight").alias("weight"))
@@ -127,8 +144,8 @@ def _plain(spark, d):
 
 @once
 def _scored(spark, d):
-    q, m = questions(spark, d), members(spark, d)
-    return R.area_scores(q, areas(spark, d), _sig(spark, d), R.alias_scores(q, aliases(spark, d)), R.relevance(_scores(spark, d), m))
+    q = questions(spark, d)
+    return R.area_scores(q, areas(spark, d), _sig(spark, d), R.alias_scores(q, aliases(spark, d)), R.relevance(_scores(spark, d)))
 
 
 @once
@@ -138,29 +155,28 @@ def _active(spark, d):
 
 @once
 def _focused(spark, d):
-    return R.focused_hits(R.focused_terms(questions(spark, d), _active(spark, d), _phrases(spark, d)), index(spark, d), members(spark, d))
+    return R.focused_hits(R.focused_terms(questions(spark, d), _active(spark, d), _phrases(spark, d)), index(spark, d))
 
 
 def _r6(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+@once
 def pack(spark: SparkSession, d: str) -> DataFrame:
-    i, m = index(spark, d), members(spark, d)
-    return R.pack_passages(_plain(spark, d), _focused(spark, d), R.representatives(aliases(spark, d), i, m), _active(spark, d), i, m)
+    i = index(spark, d)
+    return R.pack_passages(_plain(spark, d), _focused(spark, d), R.representatives(aliases(spark, d), i), _active(spark, d), i)
 
 
 def expected(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, expect): the first document that holds the item's text; items nobody quotes are left out."""
-    items = F.broadcast(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")))  # a benchmark does not grow with the corpus
-    held = chunks(spark, d).join(items, F.expr("contains(text, item)"))
+    held = W.quotations(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")), chunks(spark, d))
     return held.groupBy("query_id").agg(F.min(F.struct("chunk_id", "doc"))["doc"].alias("expect"))
 
 
 def evaluation(spark: SparkSession, d: str) -> DataFrame:
-    i = index(spark, d)
-    plain = _plain(spark, d).join(i.chunks.select("chunk_id", "doc"), "chunk_id").select("query_id", "doc")
-    return W.evaluation_rows(expected(spark, d), plain, pack(spark, d).select("query_id", "doc"))
+    plain = _plain(spark, d).join(chunks(spark, d).select("chunk_id", "doc"), "chunk_id").select("query_id", "doc")
+    return W.evaluation_rows(expected(spark, d), plain, pack(spark, d).select("query_id", "doc"), _active(spark, d))
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +202,7 @@ def q_tokenize_filter(s, d):
 
 def q_baseline_search(s, d):
     c = chunks(s, d)
-    return _r6(I.ranked(_scores(s, d), k=6).join(c.select("chunk_id", "doc", "section", "text"), "chunk_id"), "score").select("query_id", F.col("rank").alias("n"), "doc", "section", "text", "score")
+    return _r6(I.ranked(_scores(s, d), k=6).drop("id").join(c.select("chunk_id", "doc", "section", "text"), "chunk_id"), "score").select("query_id", F.col("rank").alias("n"), "doc", "section", "text", "score")
 
 
 def q_query_weights(s, d):
@@ -195,7 +211,7 @@ def q_query_weights(s, d):
 
 
 def q_doc_cosine(s, d):
-    v = A.document_vectors(index(s, d))
+    v = A.document_vectors(statistics(s, d))
     pivots = v.groupBy(F.substring_index("doc", "/", 1).alias("f")).agg(F.min("doc").alias("doc")).select("doc")
     return _r6(A.document_cosines(v, pivots), "cosine")
 
@@ -214,35 +230,44 @@ def q_area_ids(s, d):
 
 
 def _auto_areas(s, d):
-    a = areas(s, d)
-    shown = A.distinctive_terms(index(s, d), A.folder_areas(chunks(s, d))).join(surfaces(s, d), "term")
-    ordered = F.array_sort(F.collect_list(F.struct("nth", "surface", "term", F.round("weight", 6).alias("w"))))
+    a, m = areas(s, d).drop("documents"), members(s, d).withColumnRenamed("id", "area_id")
+    shown = A.distinctive_terms(statistics(s, d), A.folder_areas(chunks(s, d))).join(surfaces(s, d), "term")
+    ordered = F.array_sort(F.collect_list(F.struct("nth", "surface", "term", F.round("weight", 6).alias("w"))))  # at most 15 words
     lists = shown.groupBy(F.col("area_id").alias("id")).agg(ordered.alias("o")).select("id", F.col("o.surface").alias("aliases"), F.map_from_arrays("o.term", "o.w").alias("alias_stems"))
-    docs = members(s, d).groupBy("id").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
-    return a.join(lists, "id").join(docs, "id").select("ord", "id", F.lit("folder").alias("source"), F.col("label").alias("label_auto"), F.lit("").alias("label_ai"), F.lit("").alias("description_auto"), F.col("signals").alias("signals_auto"), "aliases", "alias_stems", "docs")
+    counts = A.membership_counts(m).withColumnRenamed("area_id", "id")
+    return a.join(lists, "id").join(counts, "id").select("ord", "id", F.lit("folder").alias("source"), F.col("label").alias("label_auto"), F.lit("").alias("label_ai"), F.lit("").alias("description_auto"), F.col("signals").alias("signals_auto"), "aliases", "alias_stems", "documents", "chunk_count", "first_docs")
+
+
+EDITS = [("src1", "Second", "notes", ["erea", " "], ["the car broke"], "training", None), ("src3", None, None, None, None, "watch", "https://example.com/3"), ("src4", None, None, None, None, "unknown", None)]
 
 
 def _merged(s, d):
-    edits = s.createDataFrame([("src1", "Second", "notes", ["erea", " "], ["the car broke"], "training", None), ("src3", None, None, None, None, "watch", "https://example.com/3"), ("src4", None, None, None, None, "unknown", None)], "id string, label string, description string, aliases array<string>, signals array<string>, authority string, watch_url string")
-    return A.merge_overrides(_auto_areas(s, d), edits)
+    return A.merge_overrides(_auto_areas(s, d), s.createDataFrame(EDITS, "id string, label string, description string, aliases array<string>, signals array<string>, authority string, watch_url string"))
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.array_join(c, "|") for c in ("aliases", "signals", "first_docs") if c in df.columns})
 
 
 def q_merge_domains(s, d):
-    return _merged(s, d).drop("docs").withColumn("alias_stems", F.to_json("alias_stems"))
+    entries = F.transform(F.map_entries("alias_stems"), lambda x: F.concat(x["key"], F.lit("="), F.round(x["value"] * 1e6).cast("long").cast("string")))
+    return _flat(_merged(s, d).withColumn("alias_stems", F.array_join(F.array_sort(entries), ",")))
 
 
 def q_area_summary(s, d):
-    return areas(s, d).select("id", "label", "authority", "documents", F.array_join(F.slice("signals", 1, 12), "|").alias("signals"))
+    return _flat(A.area_summary(_merged(s, d)))
 
 
-def _loose(s, d):
-    return A.document_vectors(index(s, d)).where("startswith(doc, 'src0/')")
+@once
+def _clusters(s, d):
+    """The whole table taken as documents outside any folder."""
+    return A.cluster_documents(A.document_vectors(statistics(s, d)), chunks(s, d))
 
 
 def q_cluster_label(s, d):
-    m = A.cluster_documents(_loose(s, d)).select(F.col("cluster").cast("string").alias("area_id"), "doc")
+    m = _clusters(s, d).select(F.col("cluster").cast("string").alias("area_id"), "doc")
     titles = m.join(chunks(s, d).select("doc", "title"), "doc").select("area_id", "title")
-    return A.cluster_labels(A.distinctive_terms(index(s, d), m), titles, surfaces(s, d))
+    return A.cluster_labels(A.distinctive_terms(statistics(s, d), m), titles, surfaces(s, d))
 
 
 def q_cluster_carryover(s, d):
@@ -258,63 +283,62 @@ def q_ask_areas(s, d):
     return R.activated(_scored(s, d)).where("state = 'active' and authority = 'ask'").select("query_id", "id", "label")
 
 
-def q_plain_head(s, d):
-    c = chunks(s, d)
-    return _plain(s, d).where(F.col("rank") <= max(2, K // 3)).join(c.select("chunk_id", "doc", "text"), "chunk_id").select("query_id", "rank", "doc", R.passage_text(F.col("text")).alias("text"))
-
-
 def q_parked_exclusion(s, d):
     parked = R.activated(_scored(s, d)).where("state = 'parked'").select("query_id", "id")
-    hits = _plain(s, d).join(members(s, d).select("chunk_id", "id"), "chunk_id", "left")
-    return hits.join(parked, ["query_id", "id"], "left_anti").select("query_id", "id", "chunk_id", "rank")
+    return _plain(s, d).join(parked, ["query_id", "id"], "left_anti").select("query_id", "id", "chunk_id", "rank")
 
 
 def q_plain_fill(s, d):
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    return _plain(s, d).withColumn("best", best).where(F.round(F.col("score") - R.FILL * F.col("best"), 9) >= 0).select("query_id", "chunk_id", "rank")
+    """The last stage of the candidates that a pack is made of."""
+    rows = R.candidates(_plain(s, d), _focused(s, d), R.representatives(aliases(s, d), index(s, d)), _active(s, d))
+    return rows.where(F.col("stage") == R.LAST).select("query_id", "chunk_id", "rank")
+
+
+def q_plain_head(s, d):
+    rows = R.candidates(_plain(s, d), _focused(s, d), R.representatives(aliases(s, d), index(s, d)), _active(s, d))
+    c = chunks(s, d).select("chunk_id", "doc", I.passage_text(F.col("text")).alias("text"))
+    return rows.where("stage = 0").join(c, "chunk_id").select("query_id", "rank", "doc", "text")
 
 
 def q_search_in_area(s, d):
-    m = members(s, d).where("id = 'src2'").select(F.col("id").alias("domain_id"), "chunk_id")
     q = questions(s, d).withColumn("domain_id", F.lit("src2"))
-    return _r6(I.ranked(I.score_chunks(q, index(s, d), ("query_id", "domain_id"), m), ("query_id", "domain_id"), K), "score")
+    return _r6(I.ranked(I.score_chunks(q, index(s, d), ("query_id", "domain_id"), True).drop("id"), ("query_id", "domain_id"), K), "score")
 
 
 def q_load_questions(s, d):
-    line = F.concat(F.lit('{"question": "'), F.regexp_replace("text", '["\\\\\n]', " "), F.lit('", "expect": "'), F.col("item_id").cast("string"), F.lit('"}'))
-    rows = _t(s, d, "benchmark").select(line.alias("line"))
-    return rows.select(F.from_json("line", "question string, expect string").alias("q")).select("q.*").where("question is not null and expect is not null")
-
-
-def q_html_to_text(s, d):
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"page_id": f["page_id"], "text": [D.html_to_text(x or "") for x in f["html"]]})
-
-    return _t(s, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, text string")
+    """A file of questions with a note and a blank line before each."""
+    item = _t(s, d, "benchmark")
+    line = F.to_json(F.struct(F.col("text").alias("question"), F.col("item_id").cast("string").alias("expect")))
+    return D.parse_questions(item.select(F.explode(F.array(F.concat(F.lit("# "), "text"), F.lit("  "), line)).alias("value")))
 
 
-def q_chunk_text(s, d):
-    return D.chunk_documents(chunks(s, d))
+def _pages(s, d):
+    return D.html_to_text(_t(s, d, "pages").select("page_id", "html"))
 
 
 def q_guess_title(s, d):
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"page_id": f["page_id"], "title": [D.guess_title(D.html_to_text(x or ""), "page.html") for x in f["html"]]})
-
-    return _t(s, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, title string")
+    return _pages(s, d).select("page_id", D.guess_title(F.col("text"), F.lit("page.html")).alias("title"))
 
 
 def q_load_documents(s, d):
-    return chunks(s, d).select("doc", "title", "folder", F.length("text").cast("long").alias("chars"))
+    """The documents as text files in their source's folder, and the pages as HTML files."""
+    zero = F.lit(0.0).alias("mtime"), F.lit(0).cast("long").alias("size")
+    texts = chunks(s, d).select(F.col("chunk_id").alias("doc_ord"), F.col("doc").alias("path"), *zero, F.col("text").alias("raw"))
+    pages = _t(s, d, "pages").select(F.col("page_id").alias("doc_ord"), F.concat(F.lit("pages/"), "page_id", F.lit(".html")).alias("path"), *zero, F.col("html").alias("raw"))
+    return D.parse_documents(texts.unionByName(pages)).select("doc", "title", "folder", F.length("text").cast("long").alias("chars"))
 
 
 def q_scan_files(s, d):
-    """A listing cannot be told from the tables, so this lists the package's own folder."""
-    from pathlib import Path
+    """The documents as a listing in which some names are hidden, skipped or not readable."""
+    n = F.col("doc_id").cast("string")
+    place = F.element_at(F.array(*map(F.lit, LISTING)), (F.pmod("doc_id", F.lit(len(LISTING))) + 1).cast("int"))
+    path = F.replace(F.replace(place, F.lit("S"), F.col("source")), F.lit("N"), n)
+    listing = _t(s, d, "documents").where("source is not null and doc_id is not null").select(path.alias("path"), F.lit(0.0).alias("mtime"), F.col("n_chars").alias("size"))
+    return D.in_walk_order(D.readable_files(listing)).select("doc_ord", "path", "size")
+
 
-    return D.scan_files(s, str(Path(__file__).resolve().parents[2])).select("doc_ord", "path")
+#: Where a document lies in that listing: S is its source, N its number.
+LISTING = ("S/N.txt", "S/deep/er/N.MD", ".hidden/N.txt", "S/node_modules/N.txt", "N.html", "S/.N.txt", "S/N.exe", "S/_N.pdf")
 
 
 def q_snapshot_diff(s, d):
@@ -341,36 +365,37 @@ def q_line_diff(s, d):
 
 
 def q_extract_json(s, d):
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"conv_id": f["conv_id"], "turn": f["turn"], "n": [len(W.extract_json(f'Sure!\n{{"text": "{len(x)}", "k": [1, 2]}}\nDone.')) for x in f["text"].fillna("")]})
-
-    return _t(s, d, "conversations").select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, n long")
+    """Every text inside a model's reply: an object between fences, or an array of one object within a sentence."""
+    body = F.to_json(F.struct("text", "turn"))
+    odd = F.pmod("turn", F.lit(2)) == 1
+    reply = F.when(odd, F.concat(F.lit("Here [as asked]: ["), body, F.lit("] Done."))).otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+    found = _t(s, d, "conversations").select("conv_id", "turn", W.json_part(reply).alias("found"))
+    return found.select("conv_id", "turn", F.sha2(F.try_variant_get("found", "$.text", "string"), 256).alias("sha256"))
 
 
 QUERIES = {
     "tokenize": q_tokenize, "stem": q_stem, "tokenize_filter": q_tokenize_filter,
-    "term_freq": postings, "chunk_len": lengths,
-    "doc_freq": lambda s, d: index(s, d).terms.select("term", "df"), "corpus_stats": lambda s, d: _r6(index(s, d).corpus, "avgdl"),
-    "term_idf": lambda s, d: _r6(index(s, d).terms, "idf").select("term", "idf"), "query_weights": q_query_weights,
-    "bm25_search": lambda s, d: _r6(_plain(s, d), "score"), "baseline_search": q_baseline_search,
+    "term_freq": postings, "chunk_len": lambda s, d: lengths(s, d).select("chunk_id", "dl"),
+    "doc_freq": lambda s, d: statistics(s, d).terms.select("term", "df"), "corpus_stats": lambda s, d: _r6(statistics(s, d).corpus, "avgdl"),
+    "term_idf": lambda s, d: _r6(statistics(s, d).terms, "idf").select("term", "idf"), "query_weights": q_query_weights,
+    "bm25_search": lambda s, d: _r6(_plain(s, d), "score").drop("id"), "baseline_search": q_baseline_search,
     "folder_areas": lambda s, d: A.folder_areas(chunks(s, d)).select("area_id", "doc"), "surface_form": surfaces,
-    "doc_tfidf": lambda s, d: _r6(A.document_vectors(index(s, d)), "x"), "doc_cosine": q_doc_cosine,
-    "distinctive_terms": lambda s, d: _r6(A.distinctive_terms(index(s, d), A.folder_areas(chunks(s, d))), "weight"),
+    "doc_tfidf": lambda s, d: _r6(A.document_vectors(statistics(s, d)), "x"), "doc_cosine": q_doc_cosine,
+    "distinctive_terms": lambda s, d: _r6(A.distinctive_terms(statistics(s, d), A.folder_areas(chunks(s, d))), "weight"),
     "slugify": q_slugify, "humanize": q_humanize, "area_ids": q_area_ids, "merge_domains": q_merge_domains, "area_summary": q_area_summary,
     "chunk_domain": lambda s, d: members(s, d).select("chunk_id", "id"),
     "signal_score": lambda s, d: _r6(_sig(s, d), "sig").select("query_id", "id", "sig", F.array_join("phrases", "|").alias("phrases")),
     "alias_score": lambda s, d: _r6(R.alias_scores(questions(s, d), aliases(s, d)), "ali").select("query_id", "id", "ali"),
-    "area_relevance": lambda s, d: _r6(R.relevance(_scores(s, d), members(s, d)), "rel"),
+    "area_relevance": lambda s, d: _r6(R.relevance(_scores(s, d)), "rel"),
     "area_score": lambda s, d: _r6(_scored(s, d), "score").select("query_id", "id", "score"),
     "activate_areas": lambda s, d: _r6(R.activated(_scored(s, d)), "score").select("query_id", "id", "state", "nth", "score"),
     "activation_reasons": q_activation_reasons, "ask_areas": q_ask_areas, "plain_head": q_plain_head,
     "focused_search": lambda s, d: _r6(_focused(s, d), "score"),
-    "area_representatives": lambda s, d: _r6(R.representatives(aliases(s, d), index(s, d), members(s, d)), "score"),
+    "area_representatives": lambda s, d: _r6(R.representatives(aliases(s, d), index(s, d)), "score"),
     "parked_exclusion": q_parked_exclusion, "plain_fill": q_plain_fill, "search_in_area": q_search_in_area, "pack": pack,
-    "load_questions": q_load_questions, "eval_recall": entry, "eval_buckets": lambda s, d: W.outcome(evaluation(s, d)).groupBy("bucket").agg(F.count("*").alias("n")),
-    "html_to_text": q_html_to_text, "chunk_text": q_chunk_text, "guess_title": q_guess_title, "load_documents": q_load_documents, "scan_files": q_scan_files,
-    "cluster_docs": lambda s, d: A.cluster_documents(_loose(s, d)), "cluster_label": q_cluster_label, "cluster_carryover": q_cluster_carryover,
+    "load_questions": q_load_questions, "eval_recall": entry, "eval_buckets": lambda s, d: W.outcome(evaluation(s, d)).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.size("active")).alias("active")),
+    "html_to_text": lambda s, d: _pages(s, d).select("page_id", "text"), "chunk_text": lambda s, d: D.chunk_documents(chunks(s, d)), "guess_title": q_guess_title, "load_documents": q_load_documents, "scan_files": q_scan_files,
+    "cluster_docs": _clusters, "cluster_label": q_cluster_label, "cluster_carryover": q_cluster_carryover,
     "snapshot_diff": q_snapshot_diff, "watch_status": q_watch_status, "line_diff": q_line_diff,
     "content_hash": lambda s, d: _t(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256")),
     "authority_rules": lambda s, d: R.authority_rules(R.activated(_scored(s, d))), "extract_json": q_extract_json,

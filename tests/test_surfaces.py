@@ -68,13 +68,13 @@ def test_request_shapes(monkeypatch):
     answers = {"messages": {"content": [{"type": "text", "text": "hi"}, {"type": "other"}]}, "completions": {"choices": [{"message": {"content": "yo"}}]}}
     monkeypatch.setattr(models, "post", lambda url, headers, body: sent.append((url, headers, body)) or answers[url.rsplit("/", 1)[1]])
     ask = [{"role": "user", "content": "q"}]
-    assert models.MessagesModel("m", "k").complete("s", ask, temperature=0) == "hi"
-    assert models.ChatModel("m", "http://x/v1/", "k").complete("s", ask, temperature=0) == "yo"
+    assert models.HttpModel("anthropic", "m", models.MESSAGES_URL, "k", "messages").complete("s", ask, temperature=0) == "hi"
+    assert models.HttpModel("openai", "m", "http://x/v1/", "k").complete("s", ask, temperature=0) == "yo"
     assert "temperature" not in sent[0][2] and sent[0][1]["x-api-key"] == "k" and sent[0][2]["system"] == "s"
     assert sent[1][0] == "http://x/v1/chat/completions" and sent[1][2]["temperature"] == 0 and sent[1][2]["messages"][0] == {"role": "system", "content": "s"}
     monkeypatch.setattr(models, "post", lambda *_: {"error": "x"})
     with pytest.raises(models.ModelError):
-        models.ChatModel("m", "http://x").complete("s", ask)
+        models.HttpModel("openai", "m", "http://x").complete("s", ask)
 
 
 def test_ask_model_keeps_the_batch(spark):
