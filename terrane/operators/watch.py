@@ -103,8 +103,9 @@ def quotations(items: DataFrame, chunks: DataFrame) -> DataFrame:
     hashed = lambda words, i: F.xxhash64(*(F.get(words, i + j) for j in range(QUOTED)))
     said = F.split("item", r"\s+")
     keys = items.where(F.size(said) >= QUOTED + 2).select("query_id", "item", hashed(said, F.lit(1)).alias("key"))
-    words = F.split("text", r"\s+")
-    runs = chunks.where(F.size(words) >= QUOTED).select("chunk_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - QUOTED), lambda i: hashed(words, i)))).alias("key"))
+    # the words as a variable of a function are split once, not once for each run
+    hashes = F.transform(F.array(F.split("text", r"\s+")), lambda words: F.when(F.size(words) >= QUOTED, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - QUOTED), lambda i: hashed(words, i)))))
+    runs = chunks.select("chunk_id", F.explode(hashes[0]).alias("key"))
     found = runs.join(keys.select("query_id", "key"), "key").select("query_id", "chunk_id").distinct()
     held = chunks.select("chunk_id", "doc", "text").join(found, "chunk_id").join(items.select("query_id", "item"), "query_id")
     return held.where(F.expr("contains(text, item)")).select("query_id", "chunk_id", "doc")
@@ -139,8 +140,14 @@ def json_part(reply: Column) -> Column:
 
     A part reaches from the first opening to the last closing bracket, so fences and chatter around it do not matter.
     """
-    parts = (F.nullif(F.regexp_extract(reply, pattern, 0), F.lit("")) for pattern in (r"(?s)\{.*\}", r"(?s)\[.*\]"))
-    return F.coalesce(*(F.try_parse_json(part) for part in parts))
+
+    def value(pattern: str) -> Column:
+        part = F.nullif(F.regexp_extract(reply, pattern, 0), F.lit(""))
+        # the parser passes over what follows a value, but not within brackets
+        items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), part, F.lit("]"))), "$", "array<variant>")
+        return F.when(F.size(items) == 1, items[0])
+
+    return F.coalesce(value(r"(?s)\{.*\}"), value(r"(?s)\[.*\]"))
 
 
 def extract_json(reply: str):

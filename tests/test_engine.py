@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import math
+import random
 import zipfile
+from collections import defaultdict
 
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,10 +70,44 @@ def test_chunks():
     assert D.chunk_text("") == []
 
 
-def test_html_and_titles():
+def test_html_and_titles(spark):
     page = "<h2>Top <b>x</b></h2><script>bad()</script><p>a &amp; b</p><div>c</div>"
-    assert D.html_to_text(page) == "## Top x\n\n a & b\n\n c".replace("\n\n ", "\n\n")
-    assert D.guess_title("text\n# Head #", "x.md") == "Head" and D.guess_title("", "my_note-1.md") == "my note 1"
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "<H1>é &lt;i&gt;</H1>\n\n\n<p>x<br>y</p>")], "id int, html string")
+    got = {r.id: r.text for r in D.html_to_text(pages).collect()}
+    assert got[1] == "## Top x\n\n a & b\n\n c".replace("\n\n ", "\n\n")
+    assert got[2] == "" and got[3] == "# é <i>\n\nx\n\ny"
+    named = spark.createDataFrame([("text\n# Head #", "x.md"), ("", "my_note-1.md"), ("\n" * 40 + "# late", "a/b.txt"), ("#no", "x/_.md")], "text string, path string")
+    assert [r.t for r in named.select(D.guess_title(F.col("text"), F.col("path")).alias("t")).collect()] == ["Head", "my note 1", "b", "_.md"]
+
+
+def test_documents_need_more_than_headings(spark):
+    texts = {"a.md": "# Only\n\n## Headings\n", "b.md": "# With\nbody", "c.md": " \n", "d/e.html": "<h1>x</h1>", "d/f.html": "<h1>x</h1>y"}
+    files = spark.createDataFrame([(i, k, 0.0, 0, v) for i, (k, v) in enumerate(texts.items())], D.RAW)
+    rows = {r.doc: (r.title, r.folder) for r in D.parse_documents(files).collect()}
+    assert rows == {"b.md": ("With", None), "d/f.html": ("x", "d")}
+    assert {k for k in texts if k.endswith("md") and D.chunk_text(texts[k])} == {"b.md"}
+
+
+def test_walk_order(spark, tmp_path):
+    names = ["b.txt", "a/z.md", "a/sub/y.md", "a.b/x.md", "a/.hidden.md", "node_modules/n.md", "a/venv/m.md", "_w.md", "a/no.exe"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("x")
+    rows = D.scan_files(spark, str(tmp_path)).orderBy("doc_ord").collect()
+    assert [(r.doc_ord, r.path) for r in rows] == list(enumerate(["_w.md", "b.txt", "a/z.md", "a/sub/y.md", "a.b/x.md"]))
+
+
+def test_damaged_docx():
+    import io
+
+    def packed(xml: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", xml)
+        return out.getvalue()
+
+    assert D.docx_text(packed('<d xmlns:w="w"><w:p>a<w:tab/>b</w:p><w:p>c</w:p><w:p>lost')) == "a\tb\n\nc\n\nlost"
+    assert D.docx_text(b"no zip") == ""
 
 
 def test_load_folder(spark, tmp_path):
@@ -87,8 +125,96 @@ def test_load_folder(spark, tmp_path):
 
 
 def test_greedy_clusters():
-    rows = pd.DataFrame([("a", "x", 1.0), ("b", "x", 0.8), ("b", "y", 0.6), ("c", "z", 1.0)], columns=["doc", "term", "x"])
-    assert dict(A.greedy_clusters(rows).values) == {"a": 0, "b": 0, "c": 1}
+    vectors = [("a", [("x", 1.0)]), ("b", [("x", 0.8), ("y", 0.6)]), ("c", [("z", 1.0)]), ("d", []), ("e", [])]
+    assert dict(A.greedy_clusters(vectors)) == {"a": 0, "b": 0, "c": 1, "d": 2, "e": 3}
+
+
+def test_clusters_against_running_means(spark):
+    rng = np.random.default_rng(3)
+    rows, centroids, want = [], [], {}
+    for i in range(120):
+        x = rng.normal(size=40) * (rng.random(40) < 0.12)
+        doc = f"d{i:03}"
+        rows += [(doc, f"t{k}", float(v)) for k, v in enumerate(x / (np.linalg.norm(x) or 1.0)) if v]
+        x = x / (np.linalg.norm(x) or 1.0)
+        sims = [x @ c for c, _ in centroids]
+        best = int(np.argmax(sims)) if sims else -1
+        if best < 0 or sims[best] < A.SIMILAR:
+            centroids.append((x, 1))
+            want[doc] = len(centroids) - 1
+        else:
+            c, k = centroids[best]
+            mean = c * k / (k + 1) + x / (k + 1)
+            centroids[best] = (mean / np.linalg.norm(mean), k + 1)
+            want[doc] = best
+    docs = spark.createDataFrame([(d,) for d in want], "doc string")
+    got = A.cluster_documents(spark.createDataFrame(rows, "doc string, term string, x double"), docs)
+    assert {r.doc: r.cluster for r in got.collect()} == want
+
+
+def test_ids_go_around_taken_ones(spark):
+    names = ["a-b", "a-b-2", "a-b", "a-b", "x", "x-2", "y-2", "y-2"]
+    rows = A.unique_ids(spark.createDataFrame(list(enumerate(names)), "ord int, id string")).orderBy("ord").collect()
+    assert [r.id for r in rows] == ["a-b", "a-b-2", "a-b-3", "a-b-4", "x", "x-2", "y-2", "y-2-2"]
+
+
+def fold(rows: list[dict], k: int, budget: int) -> list[tuple]:
+    """The passages of one query, straight from the rules."""
+    taken: dict[int, str] = {}
+    used = 0
+
+    def add(r) -> bool:
+        nonlocal used
+        if r["chunk_id"] in taken or len(taken) >= k or r["parked"] or taken and used + r["chars"] > budget:
+            return False
+        taken[r["chunk_id"]] = r["via"]
+        used += r["chars"]
+        return True
+
+    for stage in sorted({r["stage"] for r in rows}):
+        own = sorted((r for r in rows if r["stage"] == stage), key=lambda r: r["rank"])
+        if own[0]["kind"] == 0:
+            for r in own:
+                add(r)
+            continue
+        quota = max(1, math.ceil(round((k - len(taken)) * own[0]["area"] / own[0]["total"], 9)))
+        got = 0
+        for r in own[: quota + R.SPARE if own[0]["kind"] == 1 else min(2, quota)]:
+            got += add(r)
+            if got == quota:
+                break
+    return [(i + 1, c, v) for i, (c, v) in enumerate(taken.items())]
+
+
+def test_passages_against_the_rules(spark):
+    rng, rows = random.Random(5), []
+    for q in range(150):
+        scores = [round(rng.uniform(0.4, 1), 6) for _ in range(rng.randint(0, 4))]
+        chunk = lambda: rng.randint(1, 25)
+        own = []
+        for stage, n, kind in [(0, 2, 0), *((i + 1, rng.randint(1, 12), rng.choice((1, 1, 2))) for i in range(len(scores))), (R.LAST, rng.randint(0, 8), 0)]:
+            area = scores[stage - 1] if kind else 0.0
+            for rank, c in enumerate(dict.fromkeys(chunk() for _ in range(min(n, 2) if kind == 2 else n)), 1):
+                own.append({"query_id": q, "stage": stage, "kind": kind, "rank": rank, "chunk_id": c, "domain_id": f"d{c % 5}", "via": rng.choice(("question", "area")), "area": area, "total": sum(scores) if kind else 0.0, "chars": 10 + c * 53 % 1200, "parked": c % 7 == 0})
+        rows += own
+    schema = "query_id int, stage int, kind int, rank int, chunk_id long, domain_id string, via string, area double, total double, chars int, parked boolean"
+    got = defaultdict(list)
+    for r in R.assembled(spark.createDataFrame([tuple(r.values()) for r in rows], schema), 8, 4000).orderBy("query_id", "n").collect():
+        got[r.query_id].append((r.n, r.chunk_id, r.via))
+    for q in range(150):
+        assert got[q] == fold([r for r in rows if r["query_id"] == q], 8, 4000)
+
+
+def test_quotations(spark):
+    items = spark.createDataFrame([(1, "xa b c d e f"), (2, "b c d e f  g"), (3, "b c d e f g")], "query_id int, item string")
+    chunks = spark.createDataFrame([(1, "a", "0 xa b c d e fg h"), (2, "b", "a b c d e f  g h"), (3, "c", "b c"), (4, "d", None)], "chunk_id int, doc string, text string")
+    assert {(r.query_id, r.doc) for r in W.quotations(items, chunks).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_membership_counts(spark):
+    rows = spark.createDataFrame([("x", f"d{i}", i * 10 + j) for i in range(8) for j in range(2)] + [("y", "e", 99)], "area_id string, doc string, chunk_id int")
+    got = {r.area_id: (r.documents, r.chunk_count, r.first_docs) for r in A.membership_counts(rows).collect()}
+    assert got == {"x": (8, 16, [f"d{i}" for i in range(6)]), "y": (1, 1, ["e"])}
 
 
 def test_watch_states(spark):
@@ -99,6 +225,20 @@ def test_watch_states(spark):
     assert W.changed_lines("a\nb", "a\nc") == (["c"], ["b"])
 
 
+def test_json_columns(spark):
+    replies = ['```json\n{"a": 1}\n```', '[{"a": 1}]', "x [1, 2] y", "none", '{"a": 1} and {"b": 2}', '{"a": "}"} ok', '{bad} [3]']
+    rows = spark.createDataFrame([(r,) for r in replies], "r string").select("r", F.to_json(W.json_part(F.col("r"))).alias("j")).collect()
+
+    def value(reply):
+        try:
+            return W.extract_json(reply)
+        except ValueError:
+            return None
+
+    assert {r.r: r.j and json.loads(r.j) for r in rows} == {r: value(r) for r in replies}
+    assert value(replies[4]) is None and value(replies[6]) == [3] and value(replies[1]) == {"a": 1}
+
+
 def test_json_replies():
     assert W.extract_json('```json\n{"a": 1}\n```') == {"a": 1} and W.extract_json('[{"a": 1}]') == {"a": 1} and W.extract_json("x [1, 2] y") == [1, 2]
     with pytest.raises(ValueError):

@@ -90,9 +90,9 @@ def test_parsed_replies(spark):
     assert (got["a"].label, got["a"].description, got["a"].signals, got["a"].error) == ("House", "", ["it is cold"], None)
     assert got["b"].error and got["c"].error == "down" and got["d"].error
     passages = spark.createDataFrame([("a", 1, "x.md", "t")], "query_id string, n int, doc string, text string")
-    text = '{"conflicts": [{"draft_says": "5", "documents_say": "6", "passage": "1"}, {"passage": null}, {"passage": 9}, 7]}'
+    text = '{"conflicts": [{"draft_says": "5", "documents_say": "6", "passage": "1"}, {"passage": null}, {"passage": 9}, {"passage": 1.0}, {"passage": "1.0"}, 7]}'
     found = S.conflicts(spark.createDataFrame([("a", text, None), ("b", "chatter", None)], replies.schema), passages).collect()
-    assert sorted((r.passage or 0, r.doc) for r in found) == [(0, ""), (1, "x.md"), (9, "")]
+    assert sorted((r.passage or 0, r.doc) for r in found) == [(0, ""), (0, ""), (1, "x.md"), (1, "x.md"), (9, "")]
     drafts = spark.createDataFrame([("a", "it is 5"), ("b", "no passages")], "query_id string, draft string")
     assert [r.prompt for r in S.draft_prompts(drafts, passages).collect()] == ["EXCERPTS\n[1] (x.md) t\n\nDRAFT\nit is 5"]
     assert [tuple(r) for r in S.questions(spark.createDataFrame([("d.md", '["q1", 2, "q2"]', None)], replies.schema), 1).collect()] == [("q1", "d.md")]
