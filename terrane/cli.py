@@ -226,3 +226,8 @@ def main(arguments: list[str] | None = None) -> None:
         sys.exit(130)
     if text:
         print(text)
+
+
+def serve_main() -> None:
+    """The tool server as a command of its own."""
+    main(["mcp", *sys.argv[1:]])

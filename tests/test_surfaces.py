@@ -52,6 +52,15 @@ def project(spark, tmp_path_factory):
     return p
 
 
+def test_public_names():
+    import terrane
+
+    assert terrane.Project is Project and terrane.__version__ and set(terrane.__all__) <= {*dir(terrane), "Context", "Project", "ProjectError"}
+    assert issubclass(terrane.ProjectError, Exception) and terrane.Context().render().startswith("No area")
+    with pytest.raises(AttributeError):
+        terrane.nothing
+
+
 def test_configured_models():
     assert models.configured(env={}) is None
     assert str(models.configured("Claude", "m", {"ANTHROPIC_API_KEY": "k"})) == "anthropic:m"
