@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -30,9 +31,13 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 INDEX_SCHEMA = "record_id string, frame int, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long, page_id long"
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, full_bytes: int, serial: str) -> bytes:
-    """One WARC/1.1 record; a revisit carries no payload but its digest, its length and the record it refers to."""
-    ident = "null" if page_id is None else str(page_id)
+def record_id(page_id: int | None, url: str | None, digest: bytes) -> str:
+    """The same for equal pages, whenever and wherever they are written, so a revisit can name the record it refers to."""
+    return f"<urn:x-page:{'null' if page_id is None else page_id}:{digest.hex()}:{zlib.crc32((url or '').encode('utf-8', 'surrogatepass')):08x}>"
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: tuple[int, str | None] | None, full_bytes: int) -> bytes:
+    """One WARC/1.1 record; a revisit carries no payload but its digest, its length and the record (page, url) it refers to."""
     revisit = refers_to is not None
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % full_bytes
     if not revisit:
@@ -40,14 +45,14 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: b
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:x-page:{ident}:{serial}>",
+        f"WARC-Record-ID: {record_id(page_id, url, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {''.join(c for c in url or 'about:blank' if c > ' ')}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
         "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(*refers_to, digest)}"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -136,22 +141,21 @@ def index_rows(bundle: bytes) -> Iterator[tuple]:
             if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
                 raise ValueError(f"{headers['WARC-Record-ID']}: stored payload differs from its digest")
             ident = headers["WARC-Record-ID"][1:-1].split(":")[2]
-            yield headers["WARC-Record-ID"], frame, at, end - at, size, digest, kind, int(refers[1:-1].rsplit(":", 1)[1]) if refers else None, None if ident == "null" else int(ident)
+            yield headers["WARC-Record-ID"], frame, at, end - at, size, digest, kind, int(refers[1:-1].split(":")[2]) if refers else None, None if ident == "null" else int(ident)
             at = end
 
 
 def _write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    task, number, writer, serial = TaskContext.get().partitionId(), 0, BundleWriter(), 0
+    task, number, writer = TaskContext.get().partitionId(), 0, BundleWriter()
 
     def out() -> pa.RecordBatch:
         return pa.record_batch([pa.array([f"{task:08d}-{number:06d}"]), pa.array([writer.finish()], pa.binary())], ["bundle_id", "bundle"])
 
     for batch in batches:
-        for page, url, payload, digest, refers, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            writer.add(record_bytes(page, url, payload or b"", digest, refers, size, f"{task}-{serial}"))
-            serial += 1
+        for page, url, payload, digest, refers, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            writer.add(record_bytes(page, url, payload or b"", digest, None if refers is None else (refers, at), size))
             if len(writer.done) >= BUNDLE_BYTES:
                 yield out()
                 number, writer = number + 1, BundleWriter()
@@ -177,12 +181,12 @@ def write_bundles(pages: DataFrame) -> DataFrame:
     bounded_arrow(pages.sparkSession)
     html = F.coalesce(utf8(F.col("html")), F.lit(b""))
     rows = pages.select(F.col("page_id"), F.col("url"), html.alias("payload"), F.unhex(F.sha1(html)).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    copies = rows.where(f"size >= {REVISIT_BYTES}").groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).where("n > 1 and last is not null")
-    copies = saved(copies.select("digest", "last"), "digests")
+    copies = rows.where(f"size >= {REVISIT_BYTES}").groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("last")).where("n > 1 and last.page_id is not null")
+    copies = saved(copies.select("digest", F.col("last.page_id").alias("last"), F.col("last.url").alias("last_url")), "digests")
     joined = rows.join(small_side(copies, copies.count(), BROADCAST_DIGESTS), "digest", "left")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     revisit = revisit & (F.col("size") >= REVISIT_BYTES)
-    out = joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", F.when(revisit, F.col("last")).alias("refers_to"), "size")
+    out = joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", F.when(revisit, F.col("last")).alias("refers_to"), F.col("last_url").alias("refers_url"), "size")
     return saved(out.mapInArrow(_write, "bundle_id string, bundle binary"), "bundles", "uncompressed")
 
 
@@ -197,6 +201,7 @@ def warc_table(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload. Of equal payloads of at least 1000 bytes every row with the largest page_id is a
     response, the others revisit it; null page_ids count as smallest, and where all are null each is a response.
-    Repeated rows get a record each. Null urls become about:blank; other columns are ignored. No pages, no rows.
+    Repeated rows get a record each, under one identifier as their records are equal. Null urls become about:blank; a
+    very long payload is a frame of its own; other columns are ignored, whatever their names. No pages, no rows.
     """
     return read_bundles(write_bundles(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
