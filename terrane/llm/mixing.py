@@ -95,13 +95,14 @@ def mix_table(docs: DataFrame, text: str = "text", source: str = "source", ident
 
 
 def emit_mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", **options) -> DataFrame:
-    """The documents themselves, each as many times as the mix takes it; columns as in docs."""
+    """The documents themselves, each as many times as the mix takes it; columns as in docs, whatever their names.
+
+    As in mix_table, a null text has size 0 and null sources are one source; a very long text is one row; equal rows
+    share one decision; an empty table gives no rows.
+    """
     rates, n = source_rates(saved(_measured(docs, text, source, ident), "sizes"), **options)
-    rates = rates.select(F.col("key").alias("__mix_key"), F.col("rate").alias("__mix_rate"), F.col("seed").alias("__mix_seed"))
-    copies = _copies(F.col("__mix_rate"), _base(F.col(ident), F.col(text)), F.col("__mix_seed"))
-    return (
-        docs.withColumn("__mix_key", _source_key(F.col(source)))
-        .join(small_side(rates, n, BROADCAST_SOURCES), "__mix_key")
-        .withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
-        .select(*(F.col(f"`{c}`") for c in docs.columns))
-    )
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(whole, _source_key(F.col(source)).alias("key"), _base(F.col(ident), F.col(text)).alias("base"))
+    taken = rows.join(small_side(rates.select("key", "rate", "seed"), n, BROADCAST_SOURCES), "key")
+    copies = _copies(F.col("rate"), F.col("base"), F.col("seed")).cast("int")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
