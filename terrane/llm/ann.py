@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,13 @@ from .common import bounded_arrow, saved
 
 NEAREST = 20
 #: Vectors the index is fitted on; queries the probes are set by; the recall the probes alone must reach.
-SAMPLE, PROBED, ROUTED = 20_000, 200, 0.97
-#: Most coarse lists; components per quantised part; codes per part; rounds of k-means.
-LISTS, PART, CODES, ROUNDS = 512, 4, 256, 8
+SAMPLE, PROBED, ROUTED = 65_536, 200, 0.95
+#: Coarse lists are so many times the square root of the rows, and at most a quarter of the sample's vectors; components per
+#: quantised part; codes per part; rounds of k-means.
+SPREAD, PART, CODES, ROUNDS = 3, 4, 256, 8
 #: Candidates of a block that are reranked exactly for each query; rows and queries of one block.
 RERANK, BLOCK_ROWS, BLOCK_QUERIES = 96, 4096, 2048
-RESULT = "query_id long, vec_id long, score double"
+RESULT = "own long, uid long, vec_id long, score double"
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -91,49 +93,46 @@ class Index:
         return np.einsum("qpw,pcw->qpc", padded.reshape(len(queries), len(self.books), width), self.books)
 
 
-def fit(sample: np.ndarray, rows: int, lists: int = LISTS) -> Index:
-    k = int(max(1, min(lists, rows**0.5, len(sample) / 8)))
+def fit(sample: np.ndarray, rows: int) -> Index:
+    k = int(max(1, min(SPREAD * rows**0.5, len(sample) / 4)))
     centres = kmeans(sample, k)
     rest = sample - centres[nearest(sample, centres)]
     parts = -(-sample.shape[1] // PART)
     rest = np.pad(rest, ((0, 0), (0, parts * PART - rest.shape[1])))
-    books = [kmeans(rest[:, p * PART : (p + 1) * PART], CODES, seed=p) for p in range(parts)]
+    books = [kmeans(rest[:20_000, p * PART : (p + 1) * PART], CODES, seed=p) for p in range(parts)]
     size = max(len(b) for b in books)
     return Index(centres, np.stack([np.pad(b, ((0, size - len(b)), (0, 0)), mode="edge") for b in books]), k)
 
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>): one row per id (the least vector of repeated ids), without vectors that take no part.
+    """(uid, vec_id, v array<double>): the rows that take part, each with a number of its own; written once.
 
-    Null ids, null or zero vectors, those with null or non-finite components, and those whose length differs from the
-    most frequent one take no part.
+    Null ids, null or zero vectors and those with null or non-finite components take no part. Repeated rows all do.
     """
     v = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(fine & F.coalesce(fine, F.lit(False)))
-    rows = saved(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return rows.where(F.size("v") == (dims["d"] if dims else 0))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.coalesce(fine, F.lit(False)))
+    return saved(rows.select(F.monotonically_increasing_id().alias("uid"), "vec_id", "v"), "vectors")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def _truth(ids: np.ndarray, queries: np.ndarray, k: int) -> Callable:
-    """The exact best k of a partition for a stated set of queries, in blocks."""
+def _truth(own: np.ndarray, queries: np.ndarray, k: int) -> Callable:
+    """The exact best k of a partition for a stated set of queries (by their rows' numbers), in blocks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+        best: list[tuple[np.ndarray, ...]] = [(np.zeros(0), *(np.zeros(0, np.int64) for _ in range(3))) for _ in own]
         for batch in batches:
-            vec, lists = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            scores = queries @ _matrix(batch.column(1)).T
-            for q, own in enumerate(ids):
-                fine = vec != own
-                s, i, at = (np.concatenate([a, b]) for a, b in zip(best[q], (scores[q][fine], vec[fine], lists[fine]), strict=True))
-                kept = top(s, i, k)
-                best[q] = s[kept], i[kept], at[kept]
-        yield pa.record_batch([pa.array(np.repeat(ids, [len(b[0]) for b in best]), pa.int64()), *(pa.array(np.concatenate([b[j] for b in best])) for j in range(3))], ["query_id", "score", "vec_id", "list"])
+            uid, vec, lists = (batch.column(c).to_numpy() for c in ("uid", "vec_id", "list"))
+            scores = queries @ _matrix(batch.column("v")).T
+            for q, row in enumerate(own):
+                fine = uid != row
+                held = [np.concatenate([a, b]) for a, b in zip(best[q], (scores[q][fine], vec[fine], lists[fine], uid[fine]), strict=True)]
+                kept = top(held[0], held[1], k)
+                best[q] = tuple(h[kept] for h in held)
+        yield pa.record_batch([pa.array(np.repeat(own, [len(b[0]) for b in best]), pa.int64()), *(pa.array(np.concatenate([b[j] for b in best])) for j in range(4))], ["own", "score", "vec_id", "list", "uid"])
 
     return run
 
@@ -141,16 +140,16 @@ def _truth(ids: np.ndarray, queries: np.ndarray, k: int) -> Callable:
 def _encode(index: Index) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, codes = index.encode(_matrix(batch.column(1)))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "list", "codes"])
+            at, codes = index.encode(_matrix(batch.column("v")))
+            yield pa.record_batch([*batch.columns, pa.array(at.astype(np.int64)), pa.array([c.tobytes() for c in codes], pa.binary())], [*batch.schema.names, "list", "codes"])
 
     return run
 
 
-def exact_neighbours(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int = NEAREST) -> DataFrame:
-    """Brute force for a stated query set: (query_id, score, vec_id, list) of the k nearest rows."""
-    found = rows.select("vec_id", "v", "list").mapInArrow(_truth(ids, queries, k), "query_id long, score double, vec_id long, list long")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+def exact_neighbours(rows: DataFrame, own: np.ndarray, queries: np.ndarray, k: int = NEAREST) -> DataFrame:
+    """Brute force for a stated query set: (own, score, vec_id, list, uid) of the k nearest rows."""
+    found = rows.select("uid", "vec_id", "v", "list").mapInArrow(_truth(own, queries, k), "own long, score double, vec_id long, list long, uid long")
+    nth = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "uid"))
     return found.withColumn("nth", nth).where(f"nth <= {k}").drop("nth")
 
 
@@ -159,18 +158,18 @@ def build_index(vectors: DataFrame, every: int, k: int = NEAREST) -> tuple[Index
     bounded_arrow(vectors.sparkSession, 4096)
     n = vectors.count()
     part = min(1.0, SAMPLE / max(n, 1))
-    drawn = vectors.where(F.shiftrightunsigned(F.xxhash64(F.lit("ann"), "vec_id"), 11) * F.lit(2.0**-53) < part).orderBy("vec_id").toArrow()
+    drawn = vectors.where(F.shiftrightunsigned(F.xxhash64(F.lit("ann"), "vec_id"), 11) * F.lit(2.0**-53) < part).orderBy("vec_id", "uid").limit(2 * SAMPLE).toArrow()
     sample = _matrix(drawn["v"].combine_chunks()) if drawn.num_rows else np.zeros((1, 1))
     index = fit(sample, n)
-    rows = saved(vectors.mapInArrow(_encode(index), "vec_id long, v array<double>, list int, codes binary"), "index")
+    rows = saved(vectors.mapInArrow(_encode(index), "uid long, vec_id long, v array<double>, list long, codes binary"), "index")
     queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
     share = min(1.0, PROBED / max(1, queries.count()))
-    probe = queries.where(F.shiftrightunsigned(F.xxhash64(F.lit("probe"), "vec_id"), 11) * F.lit(2.0**-53) < share).orderBy("vec_id").toArrow()
+    probe = queries.where(F.shiftrightunsigned(F.xxhash64(F.lit("probe"), "vec_id"), 11) * F.lit(2.0**-53) < share).orderBy("uid").limit(4 * PROBED).toArrow()
     if probe.num_rows:
-        ids, points = probe["vec_id"].to_numpy(), _matrix(probe["v"].combine_chunks())
-        truth = exact_neighbours(rows.withColumn("list", F.col("list").cast("long")), ids, points, k).toArrow()
+        own, points = probe["uid"].to_numpy(), _matrix(probe["v"].combine_chunks())
+        truth = exact_neighbours(rows, own, points, k).toArrow()
         place = np.argsort(index.route(points), 1, kind="stable")  # rank of each list for each query
-        ranks = place[np.searchsorted(ids, truth["query_id"].to_numpy()), truth["list"].to_numpy()]
+        ranks = place[np.searchsorted(own, truth["own"].to_numpy()), truth["list"].to_numpy()]
         index.probes = int(np.quantile(ranks, ROUTED, method="higher")) + 1 if len(ranks) else len(index.centres)
     return index, rows
 
@@ -178,54 +177,72 @@ def build_index(vectors: DataFrame, every: int, k: int = NEAREST) -> tuple[Index
 def _route(index: Index) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = index.route(_matrix(batch.column(1)))[:, : index.probes]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
+            lists = index.route(_matrix(batch.column("v")))[:, : index.probes]
+            yield pa.record_batch([*batch.columns, pa.array(list(lists.astype(np.int64)), pa.list_(pa.int64()))], [*batch.schema.names, "lists"])
 
     return run
 
 
 def _search(index: Index, k: int, depth: int) -> Callable:
+    """The best k of one block of rows for one block of queries: tables rank the rows, the best are scored exactly."""
+
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        if not rows.num_rows or not queries.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, vectors = rows["vec_id"].to_numpy(), _matrix(rows["v"].combine_chunks())
-        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
-        names, points = queries["vec_id"].to_numpy(), _matrix(queries["v"].combine_chunks())
-        centre = index.centres[rows["list"][0].as_py()]
-        flat = (codes + np.arange(codes.shape[1]) * index.books.shape[1]).T
-        found = []
-        for i in range(0, len(names), 64):
-            tables = index.tables(points[i : i + 64]).reshape(len(points[i : i + 64]), -1)
-            near = (points[i : i + 64] @ centre)[:, None] + sum(tables[:, c] for c in flat)
-            for q in range(len(near)):
-                fine = np.flatnonzero(ids != names[i + q])
-                fine = fine[top(near[q][fine], ids[fine], depth)]
-                exact = dots(vectors[fine], np.broadcast_to(points[i + q], (len(fine), points.shape[1])))
-                best = top(exact, ids[fine], k)
-                found.append((np.full(len(best), names[i + q]), ids[fine][best], exact[best]))
-        return pa.table({n: pa.array(np.concatenate([f[j] for f in found])) for j, n in enumerate(("query_id", "vec_id", "score"))})
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if rows.num_rows and queries.num_rows:
+            rows = rows.sort_by([("vec_id", "ascending"), ("uid", "ascending")])  # so that ties go to smaller ids
+            uids, ids, vectors = rows["uid"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["v"].combine_chunks())
+            codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
+            own, points = queries["uid"].to_numpy(), _matrix(queries["v"].combine_chunks())
+            centre = index.centres[rows["list"][0].as_py()]
+            flat = (codes + np.arange(codes.shape[1]) * index.books.shape[1]).T
+            for i in range(0, len(own), 64):
+                part, names = points[i : i + 64], own[i : i + 64]
+                tables = index.tables(part).reshape(len(part), -1)
+                near = (part @ centre)[:, None] + sum(tables[:, c] for c in flat)
+                near[uids == names[:, None]] = -np.inf
+                picked = np.sort(np.argsort(-near, 1, kind="stable")[:, :depth], 1)
+                width = picked.shape[1]
+                exact = dots(vectors[picked.ravel()], np.repeat(part, width, 0)).reshape(-1, width)
+                exact[np.isneginf(np.take_along_axis(near, picked, 1))] = -np.inf
+                best = np.argsort(-exact, 1, kind="stable")[:, :k]
+                score, at = np.take_along_axis(exact, best, 1), np.take_along_axis(picked, best, 1)
+                q, r = np.nonzero(~np.isneginf(score))
+                found.append((names[q], uids[at[q, r]], ids[at[q, r]], score[q, r]))
+        return pa.table({n: pa.array(np.concatenate([f[j] for f in found])) for j, n in enumerate(("own", "uid", "vec_id", "score"))})
 
     return run
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = NEAREST, depth: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its k nearest other rows found.
-
-    Ties go to the smaller id. Fewer than k rows give fewer neighbours; no vectors, no rows.
-    """
+def _searched(vectors: DataFrame, every: int, k: int, depth: int) -> DataFrame:
+    """The neighbours within vectors of one length."""
     index, rows = build_index(vectors, every, k)
-    routed = saved(vectors.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(_route(index), "vec_id long, v array<double>, lists array<int>"), "routed")
-    asked = routed.select("vec_id", "v", F.explode("lists").alias("list"))
-    sizes = {r["list"]: r["n"] for r in rows.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
+    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
+    routed = saved(queries.mapInArrow(_route(index), "uid long, vec_id long, v array<double>, lists array<bigint>"), "routed")
+    asked = routed.select("uid", "v", F.explode("lists").alias("list"))
+    sizes = {r["list"]: r["n"] for r in rows.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list: at most a quarter of SAMPLE
     asks = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
     lists = range(len(index.centres))
     cuts = F.array(*(F.lit(max(1, -(-sizes.get(i, 0) // BLOCK_ROWS))) for i in lists))
     shares = F.array(*(F.lit(max(1, -(-asks.get(i, 0) // BLOCK_QUERIES))) for i in lists))
-    cut, share = F.element_at(cuts, F.col("list") + 1), F.element_at(shares, F.col("list") + 1)
-    draw = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    nth_list = F.col("list").cast("int") + 1
+    cut, share = F.element_at(cuts, nth_list), F.element_at(shares, nth_list)
+    draw = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
     left = rows.withColumn("block", draw(cut)).withColumn("turn", F.explode(F.sequence(F.lit(0), share - 1)))
     right = asked.withColumn("turn", draw(share)).withColumn("block", F.explode(F.sequence(F.lit(0), cut - 1)))
     keys = ["list", "block", "turn"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(index, k, depth), RESULT)
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", nth).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    nth = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "uid"))
+    best = found.withColumn("rank", nth).where(f"rank <= {k}")
+    return best.join(queries.select(F.col("uid").alias("own"), F.col("vec_id").alias("query_id")), "own").select("query_id", "rank", "vec_id", "score")
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = NEAREST, depth: int = RERANK) -> DataFrame:
+    """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its k nearest other rows found.
+
+    vectors: valid_vectors, which says what takes no part. A vector is compared with those of its length; each length has
+    an index of its own. Repeated rows are candidates and queries of their own. Ties go to the smaller id. Fewer than k
+    rows give fewer neighbours; no vectors, no rows. Vectors of many components are bounded by blocks of rows.
+    """
+    lengths = sorted(r["d"] for r in vectors.select(F.size("v").alias("d")).distinct().collect())  # the few lengths in use
+    parts = [_searched(vectors.where(F.size("v") == d), every, k, depth) for d in lengths or [0]]
+    return reduce(DataFrame.unionByName, parts)
