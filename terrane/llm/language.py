@@ -7,6 +7,7 @@ Viterbi with a switching penalty labels spans; a document's language is the one
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,11 @@ SCRIPT_SHARE = 0.01
 #: Characters labelled at a time, and words that one worker remembers before it starts anew.
 CHARS, MEMORY = 6_000_000, 400_000
 UND = "und"
-WORD = re.compile(r"[^\W\d_]+")
+# Words: letters by their Unicode category, each with the combining marks behind it. Word characters of Python's that are
+# numbers (as fractions and superscripts) are no letters.
+_KINDS = [(chr(i), unicodedata.category(chr(i))[0]) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000]
+_NUMBERS, _MARKS = ("".join(re.escape(c) for c, kind in _KINDS if kind == wanted) for wanted in "NM")
+WORD = re.compile(f"(?:[^\\W\\d_{_NUMBERS}][{_MARKS}]*)+")
 # Starts of script ranges (code points), each up to the next start, with a name for each.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -247,9 +252,10 @@ def _predict(model: WordModel) -> Callable:
 def identify(docs: DataFrame, model: WordModel, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; only the text decides.
 
-    score is the part of the letters in words labelled lang_pred. A null text, or one without letters, is `und` with
-    score 0, as is everything where no label could be learned. Null ids and repeated rows keep a row each; other
-    columns are ignored; an empty table gives no rows.
+    score is the part of the letters in words labelled lang_pred. A null or empty text, or one without letters, is `und`
+    with score 0, as is everything where no label could be learned. A very long text is labelled whole, in a batch of its
+    own. Languages with equal parts: the first by name. Null ids and repeated rows keep a row each; other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     bounded_arrow(docs.sparkSession)
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(ident).alias("held_out"))
@@ -270,14 +276,26 @@ def _spans(model: WordModel) -> Callable:
 
 
 def language_spans(docs: DataFrame, model: WordModel, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, end, lang of the labelled spans of every text (character offsets)."""
+    """doc_id, start, end, lang of the labelled spans of every text (character offsets).
+
+    A null or empty text, or one without letters, has no span; a very long one is labelled whole. Null ids and repeated
+    rows give spans each; other columns are ignored; an empty table gives no rows.
+    """
     bounded_arrow(docs.sparkSession)
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_spans(model), "doc_id long, start long, end long, lang string")
 
 
 def keep_identified(docs: DataFrame, model: WordModel, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows whose text has a language that covers at least this part of its letters; columns as in docs."""
+    """The rows whose text has a language that covers at least this part of its letters; columns as in docs, whatever
+    their names.
+
+    A null or empty text, or one without letters, goes; a very long one is labelled whole. Null ids and repeated rows are
+    judged by their text alone. Where no label could be learned nothing can be told, and every row stays. An empty table
+    gives no rows.
+    """
+    if not model.languages:
+        return docs
     bounded_arrow(docs.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
