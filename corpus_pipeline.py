@@ -9,28 +9,36 @@ from terrane.llm.common import saved, table
 from terrane.llm.queries import tokenizer_path
 
 
+# What all stages share: columns stay as they are, whatever their names; an empty table stays empty; null ids and repeated
+# rows are rows like others; very long texts are read whole.
+
+
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the best grade is at least one half stay."""
+    """Documents whose probability of the best grade reaches the model's bar stay. Null texts, and texts without words
+    or punctuation, go; without any label nothing can be graded and the bar is one half."""
     return quality.keep_selected(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with one language for at least half of their letters stay."""
+    """Documents with one language for at least half of their letters stay; all stay where no language can be learned.
+    Null texts and texts without letters go."""
     return language.keep_identified(docs, language.learn(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One document of each class of near-duplicates stays, that with the least id; documents with a null text all stay."""
     return neardup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's target asks for."""
+    """Each document as many times as its source's target asks for. A null text has size 0, null sources are one source,
+    and equal rows share one decision."""
     return mixing.emit_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's documents as pieces in sequences of 4096 tokens."""
+    """The mix's documents as pieces in sequences of 4096 tokens, a row for each piece; a null text is an empty one, and
+    each copy of a document is packed by itself."""
     return packing.pack_documents(docs, tokenizer_path())
 
 

@@ -361,7 +361,8 @@ def q_watch_status(s, d):
 
 def q_line_diff(s, d):
     rows = _t(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("old"))
-    return W.line_diff(rows.withColumn("new", F.regexp_replace("old", "\nThe ", "\nA ")))
+    found = W.line_diff(rows.withColumn("new", F.regexp_replace("old", "\nThe ", "\nA ")))
+    return found.withColumns({c: F.array_join(c, "\n") for c in ("sample_added", "sample_removed")})
 
 
 def q_extract_json(s, d):

@@ -188,6 +188,10 @@ _QUERIES = {
     "html_to_text": "SELECT page_id, text FROM page_texts",
     "guess_title": f"SELECT page_id, {_title('text', _string('page'))} AS title FROM page_texts",
     "chunk_text": "SELECT doc, CAST(n - 1 AS INT) AS chunk_ord, '' AS section, trim(piece, chr(32) || chr(10)) AS text FROM cut WHERE n > 0",
+    # only lines that begin with "The " change, and each at its place
+    "line_diff": """WITH l AS (SELECT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nth FROM documents),
+        c AS (SELECT id, count(*) AS n, list('A ' || substr(line, 5) ORDER BY nth)[:5] AS added, list(line ORDER BY nth)[:5] AS removed FROM l WHERE nth > 1 AND line LIKE 'The %' GROUP BY 1)
+        SELECT doc_id AS id, CAST(coalesce(n, 0) AS INT) AS lines_added, CAST(coalesce(n, 0) AS INT) AS lines_removed, coalesce(array_to_string(added, chr(10)), '') AS sample_added, coalesce(array_to_string(removed, chr(10)), '') AS sample_removed FROM documents LEFT JOIN c ON c.id = doc_id""",
     "load_questions": "SELECT text AS question, CAST(item_id AS VARCHAR) AS expect FROM benchmark",
     "humanize": r"SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(trim(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[-_]+', ' ', 'g'))), '\pL+|\PL+'), lambda w: upper(left(w, 1)) || substr(w, 2)), '') AS label FROM pages",
     "authority_rules": f"SELECT query_id, string_agg('- ' || label || ': ' || CASE WHEN state = 'parked' THEN {_string(RULES['parked'])} WHEN authority = 'ask' THEN {_string(RULES['ask'])} ELSE {_string(RULES['project'])} END, chr(10) ORDER BY state, nth) AS rules FROM activated GROUP BY 1",
