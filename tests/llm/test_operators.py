@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrane.llm import ann, language, lm, matroska, mixing, neardup, packing, quality, sharding, warc
 from terrane.llm.queries import tokenizer_path
@@ -56,6 +57,16 @@ def test_language(docs, none):
     mixed = prose(EN, 60) + " " + prose(DE, 60)
     assert [x for _, _, x in language.Labeller(model).spans(mixed)] == ["en", "de"]
     assert language.keep_identified(docs, model).count() == len(ROWS) - 3
+    assert language.keep_identified(docs, language.learn(none)).count() == len(ROWS)
+
+
+def test_letters(spark, docs):
+    """Numbers of any kind are no letters, and marks do not part a word."""
+    texts = ["½ ² Ⅷ ३४", "_ 12", "x²y", "हिन्दी में", "e\u0301te\u0301"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(rows, language.learn(docs)).collect()}
+    assert got[0] == got[1] == ("und", 0.0) and all(got[i][0] != "und" for i in (2, 3, 4))
+    assert [language.WORD.findall(t) for t in texts] == [[], [], ["x", "y"], ["हिन्दी", "में"], ["e\u0301te\u0301"]]
 
 
 def test_viterbi_is_optimal():
@@ -114,15 +125,21 @@ def test_warc_round_trip(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
     assert {i: got[i].refers_to for i in got} == {1: 3, 2: 3, 3: None, 4: None, 5: None, 6: None, None: 3, 7: None}
     whole = {r.bundle_id: r.bundle for r in bundles.collect()}
-    for r in warc.read_bundles(bundles).collect():
-        assert warc.read_record(whole[r.bundle_id], r.frame, r.offset)[0]["WARC-Record-ID"] == r.record_id
+    records = warc.read_bundles(bundles).collect()
+    responses = {r.record_id: r.page_id for r in records if r.record_type == "response"}
+    for r in records:
+        headers = warc.read_record(whole[r.bundle_id], r.frame, r.offset)[0]
+        assert headers["WARC-Record-ID"] == r.record_id
+        assert r.record_type == "response" or responses[headers["WARC-Refers-To"]] == r.refers_to
     writer = warc.BundleWriter(frame_bytes=100)
-    records = [warc.record_bytes(i, "u", b"p" * i, hashlib.sha1(b"p" * i).digest(), None, i, "0") for i in range(50)]
+    records = [warc.record_bytes(i, "u", b"p" * i, hashlib.sha1(b"p" * i).digest(), None, i) for i in range(50)]
     for x in records:
         writer.add(x)
     assert len(warc.seek_table(bundle := writer.finish())) > 10
     assert b"".join(warc.read_frame(bundle, f) for f in range(len(warc.seek_table(bundle)))) == b"".join(records)
     assert warc.warc_table(table.limit(0)).count() == 0
+    clashing = table.selectExpr("*", "'k' as digest", "1 as last", "2 as size", "'p' as payload", "3 as refers_to")
+    assert sorted(map(str, warc.warc_table(clashing.union(clashing)).collect())) == sorted(str(r) for r in got.values() for _ in range(2))
 
 
 def test_shards(docs, none):
@@ -206,6 +223,19 @@ def test_nearest_vectors(spark):
     assert ann.search(ann.valid_vectors(table.limit(0))).count() == 0
 
 
+def test_repeated_vectors_and_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4 if i % 2 else 3).tolist(), "x", 7, 8) for i in range(1, 40)]
+    rows += [(20, [9.0, 9.0, 9.0], "x", 7, 8)] * 2 + [(40, [1.0] * 5, "x", 7, 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string, uid int, list int")
+    got = defaultdict(list)
+    for r in ann.search(ann.valid_vectors(table)).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == {20}  # 40 has no other row of its length
+    assert Counter(g for g in got[20] if g[0] <= 2)[(1, 20, 243.0)] == 2 and Counter(r for r, *_ in got[20])[1] == 3
+    assert all(i % 2 == 0 and i != 40 for _, i, _ in got[20])
+
+
 def test_matroska(docs, none):
     rows = matroska.media_features(matroska.store_media(docs)).collect()
     text = {r[0]: r[1] for r in ROWS}
@@ -475,10 +505,21 @@ def test_word_ids_equal_the_tokenizer():
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
-    docs.drop("size", "rank").write.parquet(f"{tmp_path}/documents.parquet")
+    clashing = {c: F.lit("own") for c in ("row", "node", "lead", "nth", "key", "base", "seed", "rate", "id", "label", "copies", "tokens", "__node", "__mix_key")}
+    docs.withColumns(clashing).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(100 + i, 1, 0) for i in range(30)] + [(3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     table = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, table, str(tmp_path)).columns == table.columns
+        kept = stage(spark, table, str(tmp_path))
+        assert kept.columns == table.columns
+        assert all(kept.where(f"`{c}` <> 'own'").count() == 0 for c in ("node", "key", "__node"))
     ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert ids and not ids & {1, 2, 5, 6}
+
+
+def test_empty_pipeline(spark, none, tmp_path):
+    import corpus_pipeline
+
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
