@@ -29,8 +29,9 @@ LEVELS = ((4, 16), (16, 16), (40, 6))
 SURELY, HARDLY = 0.92, 0.68
 #: Sets to be compared exactly are found by a broadcast of at most this many keys; beyond it by a shuffle.
 BROADCAST_NODES = 500_000
-#: Members of a bucket that are compared with as many others at a time; bounds a task's memory, not what is compared.
-BLOCK = 512
+#: Members of a bucket, and shingles in them, that are compared with as many others at a time; bounds a task's memory, not
+#: what is compared.
+BLOCK, BLOCK_PIECES = 512, 1 << 20
 
 U = np.uint64
 
@@ -172,27 +173,41 @@ def _agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(bands: int, width: int):
-    """Pairs of a block pair's rows that may be links; rows come sorted by (bucket, i, j), and k is the row's own block."""
+    """Links among the rows of two blocks that join different classes; rows come sorted by (bucket, i, j), and k is the row's
+    own block. What one link joins is one class from there on, so a group yields fewer links than it has rows."""
 
-    def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
         i, j, k, band, node, label, cells = (rows.column(c).to_numpy() for c in ("i", "j", "k", "band", "node", "label", "cells"))
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(len(k), -1)
+        ends = np.concatenate([[0], np.cumsum(cells)])
+        piece = np.unique(np.frombuffer(b"".join(rows.column("pieces").to_pylist()), U), return_inverse=True)[1]
+        own = np.zeros(piece.max() + 1, bool)  # pieces of the text at hand
+        root = np.unique(label, return_inverse=True)[1]
         one = i[0] == j[0]
         right = np.arange(len(k)) if one else np.flatnonzero(k == j[0])
-        right = right[np.argsort(node[right], kind="stable")]
+        found = []
         for x in right if one else np.flatnonzero(k == i[0]):
-            near = right[(label[right] != label[x]) & (np.minimum(cells[right], cells[x]) >= SIMILAR * np.maximum(cells[right], cells[x]))]
+            near = right[(root[right] != root[x]) & (np.minimum(cells[right], cells[x]) >= SIMILAR * np.maximum(cells[right], cells[x]))]
             if one:
                 near = near[node[near] > node[x]]
             same = sig[near] == sig[x]
             agree = np.count_nonzero(same, 1) / sig.shape[1]
             fine = agree >= HARDLY
-            # only the first bucket that two texts share yields the pair
+            # two texts are compared in the first bucket that they share only
             fine[fine] = same[fine, : bands * width].reshape(-1, bands, width).all(2).argmax(1) == band[x]
-            if fine.any():
-                b = node[near[fine]]
-                yield pa.record_batch([pa.array(np.minimum(node[x], b)), pa.array(np.maximum(node[x], b)), pa.array(agree[fine])], ["a", "b", "agree"])
+            near, agree = near[fine], agree[fine]
+            if not len(near):
+                continue
+            own[piece[ends[x] : ends[x + 1]]] = True
+            both = np.add.reduceat(own[piece], ends[:-1], dtype=np.int64)[near]  # shingles shared with every text at once
+            own[piece[ends[x] : ends[x + 1]]] = False
+            for y in near[(agree >= SURELY) | (both >= SIMILAR * (cells[near] + cells[x] - both))]:
+                if root[x] != root[y]:
+                    root[root == root[y]] = root[x]
+                    found.append((min(node[x], node[y]), max(node[x], node[y])))
+        if found:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -203,41 +218,52 @@ def _compared(bands: int, width: int):
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for at, stop in zip(cuts, cuts[1:], strict=False):
                 if held and tuple(key[at]) != last:
-                    yield from pairs(held)
+                    yield from links(held)
                     held = []
                 last = tuple(key[at])
                 held.append(batch.slice(at, stop - at))
         if held:
-            yield from pairs(held)
+            yield from links(held)
 
     return run
 
 
-def _all_pairs(nodes: DataFrame, bands: int, width: int, labels: DataFrame) -> DataFrame:
-    """(a, b, agree) of all pairs of different classes that share a bucket, but those whose signatures leave no doubt.
+def _all_pairs(docs: DataFrame, text: str, nodes: DataFrame, bands: int, width: int, labels: DataFrame) -> DataFrame:
+    """(a, b): links that join what is still of different classes, from all pairs that share a bucket.
 
-    A bucket is dealt into blocks of about BLOCK members, and each two blocks are compared by one group of rows, except
-    two blocks of the bucket's commonest class. So no task takes a whole bucket; the pairs compared grow with the square
-    of a bucket's members outside that class, which is what telling them all apart takes.
+    A bucket is dealt into blocks of about BLOCK members or BLOCK_PIECES shingles, and each two blocks are compared by
+    one group of rows, except two blocks of the bucket's commonest class. So no task takes a whole bucket. Rows carry
+    their shingles, so doubtful pairs are settled where they meet: comparisons grow with the square of a bucket's members
+    outside that class, which is what telling them all apart takes, but what is written and moved grows with its members.
     """
     keys = _keys(nodes, bands, width, labels)
     shared = keys.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    members = saved(keys.join(shared, "bucket"), "members")
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"))
-    blocks = sizes.select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("own"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("rest"))
+    members = saved(keys.join(shared, "bucket").join(nodes.select("node", "cells"), "node"), "members")
+    sets = _pieces(docs, text, members.select("node").distinct())
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("cells").alias("c"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.max(F.struct("n", "label", "c")).alias("top"))
+    blocks = lambda n, c: F.ceil(F.greatest(n / BLOCK, c / BLOCK_PIECES)).cast("int")
+    dealt = sizes.select("bucket", F.col("top.label").alias("top"), blocks(F.col("top.n"), F.col("top.c")).alias("own"), blocks(F.col("n") - F.col("top.n"), F.col("c") - F.col("top.c")).alias("rest"))
     common, drawn = F.col("label") == F.col("top"), F.xxhash64("bucket", "node")
     k = F.when(common, F.pmod(drawn, F.col("own"))).otherwise(F.col("own") + F.pmod(drawn, F.col("rest"))).cast("int")
     others = F.sequence(F.when(common, F.col("own")).otherwise(0), F.col("own") + F.col("rest") - 1)
-    dealt = members.join(blocks, "bucket").select("bucket", "band", "node", "label", k.alias("k"), F.explode(others).alias("o"))
-    dealt = dealt.select("bucket", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "band", "node", "label")
-    rows = dealt.join(nodes, "node").select("bucket", "i", "j", "k", "band", "node", "label", "cells", "sig")
+    rows = members.join(dealt, "bucket").select("bucket", "band", "node", "label", "cells", k.alias("k"), F.explode(others).alias("o"))
+    rows = rows.select("bucket", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "band", "node", "label", "cells")
+    rows = rows.join(nodes.select("node", "sig"), "node").join(sets, "node")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return rows.mapInArrow(_compared(bands, width), "a long, b long, agree double")
+    return rows.select("bucket", "i", "j", "k", "band", "node", "label", "cells", "sig", "pieces").mapInArrow(_compared(bands, width), "a long, b long").distinct()
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([cells(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], ["node", "cells"])
+        yield pa.record_batch([batch.column(0), pa.array([cells(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], ["node", "pieces"])
+
+
+def _pieces(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(node, pieces): the shingles of the wanted nodes' texts, computed once for each text."""
+    wanted = saved(wanted, "wanted")
+    texts = docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("text")).join(small_side(wanted, wanted.count(), BROADCAST_NODES), "node", "left_semi")
+    return saved(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_sets, "node long, pieces binary"), "sets")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -263,14 +289,8 @@ def _links(docs: DataFrame, judged: DataFrame, text: str) -> DataFrame:
     """The judged pairs that are links."""
     judged = saved(judged, "agreement")
     sure, unsure = judged.where(f"agree >= {SURELY}").select("a", "b"), judged.where(f"agree < {SURELY}").select("a", "b")
-    wanted = saved(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "unsure")
-    n = wanted.count()
-    if not n:
-        return sure
-    texts = docs.select(_node(F.col(text)).alias("node"), F.col(text).alias("text")).join(small_side(wanted, n, BROADCAST_NODES), "node", "left_semi")
-    sets = texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_sets, "node long, cells binary")
-    sets = saved(sets, "sets")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("cells").alias(f"c{x}"))
+    sets = _pieces(docs, text, unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("pieces").alias(f"c{x}"))
     exact = unsure.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb").mapInArrow(_exact, "a long, b long, similarity double")
     return sure.unionByName(exact.where(f"similarity >= {SIMILAR}").select("a", "b"))
 
@@ -311,10 +331,9 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> tuple
     labels = None
     for bands, width in (*LEVELS, (0, 0)):
         if bands:
-            judged = _judged(nodes, saved(_candidates(nodes, bands, width, labels), "pairs"))
+            links = _links(docs, _judged(nodes, saved(_candidates(nodes, bands, width, labels), "pairs")), text)
         else:  # most copies are of one class now; all pairs that still are not
-            judged = _all_pairs(nodes, *LEVELS[-1], labels)
-        links = _links(docs, judged, text)
+            links = _all_pairs(docs, text, nodes, *LEVELS[-1], labels)
         if labels is None:
             labels = components(links)
             continue
@@ -338,7 +357,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     """doc_id and class_id of every row: the least id among the documents it is linked to, directly or through others.
 
     Equal texts are one class. Texts without words are linked to equal ones only; a null text to nothing, its class is
-    its own id. Null ids never name a class unless all of its ids are null. Repeated rows keep a row each; other
+    its own id. A very long text is compared whole. Null ids never name a class unless all of its ids are null. Repeated rows keep a row each; other
     columns are ignored; no documents, no rows.
     """
     signed, labels = classes(docs, ident, text)
@@ -347,11 +366,15 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
 
 
 def drop_near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, that with the least id; rows with a null text all stay; columns as in docs."""
+    """One row of each class, that with the least id; rows with a null text all stay; columns as in docs, whatever their names.
+
+    Empty texts are one class; a very long text is compared whole; of repeated rows one stays; a null id is the least of
+    its class only if all are null; no documents, no rows.
+    """
     signed, labels = classes(docs, ident, text)
-    leads = saved(_class_ids(signed, labels).where("leads").select(F.col("node").alias("__node"), F.col("doc").alias("__lead")), "leads")
-    rows = docs.withColumn("__node", _node(F.col(text)))
-    firsts = rows.join(leads, "__node").where(F.col(ident).eqNullSafe(F.col("__lead")))  # more than one only of repeated rows
-    firsts = firsts.withColumn("__nth", F.row_number().over(Window.partitionBy("__node").orderBy(F.col(ident)))).where("__nth = 1")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return firsts.select(*names).unionByName(rows.where("__node is null").select(*names))
+    leads = saved(_class_ids(signed, labels).where("leads").select("node", F.col("doc").alias("lead")), "leads")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(whole, _node(F.col(text)).alias("node"), F.col(ident).cast("long").alias("id"))
+    firsts = rows.join(leads, "node").where(F.col("id").eqNullSafe(F.col("lead")))  # more than one only of repeated rows
+    firsts = firsts.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where("nth = 1")
+    return firsts.select("row.*").unionByName(rows.where("node is null").select("row.*"))
