@@ -33,6 +33,17 @@ UND = "und"
 _KINDS = [(chr(i), unicodedata.category(chr(i))[0]) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000]
 _NUMBERS, _MARKS = ("".join(re.escape(c) for c, kind in _KINDS if kind == wanted) for wanted in "NM")
 WORD = re.compile(f"(?:[^\\W\\d_{_NUMBERS}][{_MARKS}]*)+")
+# The same where a text has no such number and no mark, which is told in two steps: by ranges, then exactly.
+_PLAIN, _MAYBE, _SURELY = re.compile(r"[^\W\d_]+"), re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0300-\U0010ffff]"), re.compile(f"[{_NUMBERS}{_MARKS}]")
+
+
+def pattern_of(text: str) -> re.Pattern:
+    """The pattern of the text's words: the plain one wherever it finds the same."""
+    return WORD if _MAYBE.search(text) and _SURELY.search(text) else _PLAIN
+
+
+def words_of(text: str) -> list[str]:
+    return pattern_of(text).findall(text)
 # Starts of script ranges (code points), each up to the next start, with a name for each.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -146,7 +157,7 @@ class Labeller:
         return viterbi(self.rows[ids], np.array([len(t) for t in texts], np.int64))
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        words = [WORD.findall(t.lower()) for t in texts]
+        words = [words_of(t.lower()) for t in texts]
         if not self.model.languages:
             return [(UND, 0.0)] * len(texts)
         labels, sizes, at = self.labels(words), np.fromiter((len(w) for t in words for w in t), np.int64), 0
@@ -163,7 +174,7 @@ class Labeller:
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, language) of maximal runs of words of one language, as character offsets."""
-        found = list(WORD.finditer(text))
+        found = list(pattern_of(text).finditer(text))
         if not found or not self.model.languages:
             return []
         labels, out = self.labels([[m[0].lower() for m in found]]), []
@@ -181,7 +192,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scripts: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = WORD.findall(text.as_py().lower())
+            words = words_of(text.as_py().lower())
             if words:
                 _, bucket, script = grams(words)
                 counts[lang] = counts.get(lang, 0) + np.bincount(bucket, minlength=BUCKETS)

@@ -66,7 +66,8 @@ def test_letters(spark, docs):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(rows, language.learn(docs)).collect()}
     assert got[0] == got[1] == ("und", 0.0) and all(got[i][0] != "und" for i in (2, 3, 4))
-    assert [language.WORD.findall(t) for t in texts] == [[], [], ["x", "y"], ["हिन्दी", "में"], ["e\u0301te\u0301"]]
+    assert all(language.words_of(t) == language.WORD.findall(t) for t in [*texts, "Straße, l\u2019été — 東京 12", "a_b", ""])
+    assert [language.words_of(t) for t in texts] == [[], [], ["x", "y"], ["हिन्दी", "में"], ["e\u0301te\u0301"]]
 
 
 def test_viterbi_is_optimal():
