@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.storage import stored
 from .index import Index, passage_text, ranked, score_chunks
 
 # Fixed values of the model.
@@ -184,6 +185,18 @@ def pack_passages(plain: DataFrame, focused: DataFrame, fallback: DataFrame, act
     return found.join(index.chunks.select("chunk_id", "doc", "section", passage_text(F.col("text")).alias("text")), "chunk_id").select("query_id", "n", "doc", "section", "text", "domain_id", "via")
 
 
+def resolve(queries: DataFrame, areas: DataFrame, aliases: DataFrame, surfaces: DataFrame, index: Index, k: int = PASSAGES, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
+    """Activations and passages of every query (query_id, term, weight, pos); what several steps read is written once.
+
+    areas: (ord, id, label, authority, signals); aliases: (id, term, weight); surfaces: (term, surface).
+    """
+    phrases, scores = signal_phrases(areas), stored(score_chunks(queries, index), "scores")
+    scored = area_scores(queries, areas, signal_scores(signal_hits(queries, phrases)), alias_scores(queries, aliases), relevance(scores))
+    active = stored(with_reasons(activated(scored), surfaces), "active")
+    focused = stored(focused_hits(focused_terms(queries, active, phrases), index, k + SPARE), "focused")
+    return active, pack_passages(ranked(scores, k=k), focused, representatives(aliases, index), active, index, k, budget)
+
+
 def authority_rules(active: DataFrame) -> DataFrame:
     """(query_id, rules): how the reader must treat each area, active areas first."""
     rule = F.when(F.col("state") == "parked", RULES["parked"]).when(F.col("authority") == "ask", RULES["ask"]).otherwise(RULES["project"])

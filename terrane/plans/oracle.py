@@ -219,22 +219,23 @@ _QUERIES = {
 }
 
 
-def _composed(select: str) -> str:
-    """The select with those parts it draws on, directly or through others."""
+def composed(select: str, **parts: str) -> str:
+    """The select with those parts it draws on, directly or through others; own parts come first and replace others."""
     import re
 
+    known = parts | {n: sql for n, sql in PARTS.items() if n not in parts}
     needed: set[str] = set()
     todo = [select]
     while todo:
         sql = todo.pop()
-        for name in PARTS:
+        for name in known:
             if name not in needed and re.search(rf"\b(FROM|JOIN|,)\s+\(?{name}\b|, {name}\b", sql):
                 needed.add(name)
-                todo.append(PARTS[name])
-    own = [f"{n} AS ({PARTS[n]})" for n in PARTS if n in needed]
+                todo.append(known[name])
+    own = [f"{n} AS ({known[n]})" for n in known if n in needed]
     if select.startswith("WITH ") or not own:
         return select
     return f"WITH RECURSIVE {', '.join(own)} {select}"
 
 
-ORACLES = {name: _composed(sql) for name, sql in _QUERIES.items()}
+ORACLES = {name: composed(sql) for name, sql in _QUERIES.items()}
