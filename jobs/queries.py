@@ -3,26 +3,20 @@
 from __future__ import annotations
 
 import json
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from jobs import context_packs, index_feed
-from terrane.operators.segments import CHUNKS_A_DOC
 from terrane.plans import oracle
-from terrane.sources.storage import shared_dir
+from terrane.sources.storage import scratch
 
 CONFIG = json.loads(Path(__file__).with_name("context_packs.json").read_text(encoding="utf-8"))
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/terrane-{label}-{uuid.uuid4().hex}"
-
-
 def job1_context_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second run finds the first one's tables and replaces them."""
-    out = _folder(spark, "packs")
+    out = scratch(spark, "packs")
     for _ in range(2):
         packs = context_packs.pack(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/conversations.parquet", out, CONFIG)
     return packs
@@ -30,7 +24,7 @@ def job1_context_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job2_index_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second run finds nothing new. A stream reads a folder or a pattern; this one also finds a single file."""
-    out = _folder(spark, "feed")
+    out = scratch(spark, "feed")
     for _ in range(2):
         index = index_feed.feed(spark, f"{sf_dir}/documents.parque[t]", f"{out}/index", f"{out}/checkpoint")
     return index
@@ -38,12 +32,6 @@ def job2_index_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"job1_context_packs": job1_context_packs, "job2_index_feed": job2_index_feed}
 
-#: Chunks of whole texts: paragraphs have single line ends and no headings in these tables.
-_CHUNKS = {
-    "texts": "SELECT doc_id, source || '/' || doc_id || '.txt' AS doc, CAST(doc_id AS VARCHAR) AS title, source AS folder, text FROM documents WHERE doc_id IS NOT NULL AND trim(text) <> ''",
-    "cut": oracle.PARTS["cut"].replace("SELECT doc, ", "SELECT doc_id, ").replace("FROM chunks", "FROM texts"),
-    "chunks": f"SELECT doc_id * {CHUNKS_A_DOC} + n - 1 AS chunk_id, doc, title, folder, '' AS section, trim(piece, chr(32) || chr(10)) AS text FROM cut JOIN texts USING (doc_id) WHERE n > 0",
-}
 _TURNS = {
     "kept": "SELECT conv_id AS query_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE text <> ''",
     "heard": "SELECT query_id, turn, back, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS place FROM kept WHERE back <= 6",
@@ -54,8 +42,8 @@ _TURNS = {
 }
 
 ORACLES = {
-    "job1_context_packs": oracle.composed("SELECT query_id, n, doc, section, " + oracle._PASSAGE + f", via, CASE WHEN domain_id = '' THEN '{context_packs.NONE}' ELSE domain_id END AS area FROM packed JOIN chunks USING (chunk_id)", **_CHUNKS, **_TURNS),
+    "job1_context_packs": oracle.composed("SELECT query_id, n, doc, section, " + oracle._PASSAGE + f", via, CASE WHEN domain_id = '' THEN '{context_packs.NONE}' ELSE domain_id END AS area FROM packed JOIN chunks USING (chunk_id)", **oracle.CUT, **_TURNS),
     "job2_index_feed": oracle.composed(
-        "SELECT doc, chunk_id, term, f, dl, df, round(idf * f * 2.4e0 / (f + 1.4e0 * (0.25e0 + 0.75e0 * dl / avgdl)), 6) AS weight FROM postings JOIN lengths USING (chunk_id) JOIN terms USING (term) JOIN chunks USING (chunk_id), corpus", **_CHUNKS
+        "SELECT doc, chunk_id, term, f, dl, df, round(idf * f * 2.4e0 / (f + 1.4e0 * (0.25e0 + 0.75e0 * dl / avgdl)), 6) AS weight FROM postings JOIN lengths USING (chunk_id) JOIN terms USING (term) JOIN chunks USING (chunk_id), corpus", **oracle.CUT
     ),
 }

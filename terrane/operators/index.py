@@ -84,15 +84,16 @@ def surface_forms(chunks: DataFrame) -> DataFrame:
 def term_weights(postings: DataFrame, lengths: DataFrame, terms: DataFrame, corpus: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """(term, chunk_id, w, id): what one use of a term in a query adds to a chunk's score, and the chunk's area.
 
-    Dealt by range of (term, chunk_id) and sorted: a term of many chunks is many tasks, and a question that names few
-    terms reads only the row groups that hold them. members: (id, chunk_id), at most one area a chunk.
+    Dealt by ranges of chunks and sorted by term within: a search adds up most of a chunk's score where it lies, a term
+    of many chunks is many tasks, and a question that names few terms reads only the row groups that hold them.
+    members: (id, chunk_id), at most one area a chunk.
     """
     dl, avgdl, f = F.col("dl"), F.col("avgdl"), F.col("f")
     w = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
     sized = lengths.select("chunk_id", "dl")
     sized = sized.withColumn("id", F.lit(None).cast("string")) if members is None else sized.join(members.select("chunk_id", "id"), "chunk_id", "left")
     joined = postings.join(sized, "chunk_id").join(terms.select("term", "idf"), "term").crossJoin(F.broadcast(corpus))  # corpus is one row
-    return joined.select("term", "chunk_id", w.alias("w"), "id").repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    return joined.select("term", "chunk_id", w.alias("w"), "id").repartitionByRange("chunk_id").sortWithinPartitions("term", "chunk_id")
 
 
 def build_index(chunks: DataFrame, members: DataFrame | None = None) -> Index:
@@ -124,8 +125,27 @@ def sought(queries: DataFrame, index: Index) -> DataFrame:
     return index.weights.where(reduce(or_, (F.col("term").isin(terms[i : i + LISTED]) for i in range(0, len(terms), LISTED)), F.lit(False)))
 
 
-def score_chunks(queries: DataFrame, index: Index, keys: tuple[str, ...] = ("query_id",), within: bool = False) -> DataFrame:
+def chunk_sets(sets: DataFrame) -> DataFrame:
+    """(set_id, bucket, bits) of sets (set_id, chunk_id): a bitmap for each 32,768 ids that a set reaches into."""
+    at = F.bitmap_construct_agg(F.bitmap_bit_position("chunk_id")).alias("bits")
+    return sets.where("chunk_id is not null").groupBy("set_id", F.bitmap_bucket_number("chunk_id").alias("bucket")).agg(at)
+
+
+def _in_sets(hits: DataFrame, sets: DataFrame) -> DataFrame:
+    """Hits (.., set_id, chunk_id) that lie in their set; those without a set stay.
+
+    A bitmap is 4 KB for up to 32,768 chunks and belongs to all questions that share the set, so it is the small side:
+    hits are sifted before they are added up and dealt.
+    """
+    known = hits.withColumn("bucket", F.bitmap_bucket_number("chunk_id")).join(chunk_sets(sets), ["set_id", "bucket"], "left")
+    at = F.bitmap_bit_position("chunk_id")
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(bitmap_bit_position(chunk_id) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    return known.where(F.col("set_id").isNull() | F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+
+
+def score_chunks(queries: DataFrame, index: Index, keys: tuple[str, ...] = ("query_id",), within: bool = False, sets: DataFrame | None = None) -> DataFrame:
     """BM25 sums: (*keys, chunk_id, score, id) of queries (*keys, term, weight). within: only chunks of the area domain_id.
+    sets: (set_id, chunk_id); a query with a set_id finds only chunks of that set, none if it is empty, and one with null all.
 
     One join and one exchange behind it. The queries are the small side of the join: Spark broadcasts them while their
     size on disk allows, and otherwise deals both sides by term, splitting hot terms as they run.
@@ -133,9 +153,20 @@ def score_chunks(queries: DataFrame, index: Index, keys: tuple[str, ...] = ("que
     asked = queries.where("weight > 0")
     weights = sought(queries, index)
     hits = asked.join(weights, [F.col("domain_id") == F.col("id"), asked["term"] == weights["term"]]) if within else asked.join(weights, "term")
+    if sets is not None:
+        hits = _in_sets(hits, sets)
     return hits.groupBy(*keys, "chunk_id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"), F.first("id").alias("id"))
 
 
+def best_chunks(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """(query_id, id, chunk_id, score): the k best chunks of every query within each area, and outside any.
+
+    All that rankings of up to k chunks and the relevance of areas draw on. Scores of other chunks are dropped by each
+    task before they are dealt by area, so neither the exchange nor what is written of it grows with the corpus.
+    """
+    return ranked(score_chunks(queries, index), ("query_id", "id"), k).select("query_id", "id", "chunk_id", "score")
+
+
 def ranked(scores: DataFrame, keys: tuple[str, ...] = ("query_id",), k: int | None = None) -> DataFrame:
     """Adds rank within the keys: higher score first, ties by chunk_id; scores count to nine places."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "chunk_id"))
@@ -143,5 +174,6 @@ def ranked(scores: DataFrame, keys: tuple[str, ...] = ("query_id",), k: int | No
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, index: Index, k: int = 8) -> DataFrame:
-    return ranked(score_chunks(queries, index), k=k)
+def search(queries: DataFrame, index: Index, k: int = 8, sets: DataFrame | None = None) -> DataFrame:
+    """The k best chunks of every query; with sets, queries have a set_id: see `score_chunks`."""
+    return ranked(score_chunks(queries, index, sets=sets), k=k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.storage import stored
-from .index import Index, passage_text, ranked, score_chunks
+from .index import Index, best_chunks, passage_text, ranked, score_chunks
 
 # Fixed values of the model.
 ACTIVE_FROM, MAX_ACTIVE, PASSAGES, BUDGET = 0.40, 4, 8, 9000
@@ -190,7 +190,7 @@ def resolve(queries: DataFrame, areas: DataFrame, aliases: DataFrame, surfaces:
 
     areas: (ord, id, label, authority, signals); aliases: (id, term, weight); surfaces: (term, surface).
     """
-    phrases, scores = signal_phrases(areas), stored(score_chunks(queries, index), "scores")
+    phrases, scores = signal_phrases(areas), stored(best_chunks(queries, index, k), "best")
     scored = area_scores(queries, areas, signal_scores(signal_hits(queries, phrases)), alias_scores(queries, aliases), relevance(scores))
     active = stored(with_reasons(activated(scored), surfaces), "active")
     focused = stored(focused_hits(focused_terms(queries, active, phrases), index, k + SPARE), "focused")

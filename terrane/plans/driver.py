@@ -13,9 +13,10 @@ from ..functions import text as T
 from ..operators import areas as A
 from ..operators import index as I
 from ..operators import resolve as R
+from ..operators import segments as S
 from ..operators import watch as W
 from ..sources import documents as D
-from ..sources.storage import stored
+from ..sources.storage import scratch, stored
 
 SIGNALS = [("src0", 0, "elle tion"), ("src0", 1, "thre"), ("src1", 0, "der ein und"), ("src1", 1, "hein"), ("src2", 0, "ment eau par"), ("src2", 1, "thon rest"), ("src3", 0, "sich"), ("src3", 1, "tre elle ment")]
 AUTHORITY = [("src1", "training"), ("src2", "ask"), ("src3", "watch")]
@@ -134,7 +135,7 @@ def _sig(spark, d):
 
 @once
 def _scores(spark, d):
-    return I.score_chunks(questions(spark, d), index(spark, d))
+    return I.best_chunks(questions(spark, d), index(spark, d), K)
 
 
 @once
@@ -305,6 +306,28 @@ def q_search_in_area(s, d):
     return _r6(I.ranked(I.score_chunks(q, index(s, d), ("query_id", "domain_id"), True).drop("id"), ("query_id", "domain_id"), K), "score")
 
 
+def q_restricted_search(s, d):
+    """Every question three times: among all chunks, among those of documents rated sound, and among none."""
+    asked = questions(s, d).withColumn("way", F.explode(F.array(*map(F.lit, ("all", "none", "sound")))))
+    asked = asked.select(F.concat_ws(":", "query_id", "way").alias("query_id"), "term", "weight", F.when(F.col("way") != "all", F.col("way")).alias("set_id"))
+    sound = _t(s, d, "labels").where("quality = 1 and toxic = 0").select(F.lit("sound").alias("set_id"), F.col("doc_id").alias("chunk_id"))
+    return _r6(I.search(asked, index(s, d), K, sound), "score").drop("id")
+
+
+def q_incremental_index(s, d):
+    """The documents in three parts, as they might come: first in an earlier form, then some withdrawn, then as they are."""
+    rows = _t(s, d, "documents").where("doc_id is not null")
+    docs = rows.select(F.col("doc_id").alias("doc_ord"), F.concat_ws("", "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("doc"), F.col("doc_id").cast("string").alias("title"), F.col("source").alias("folder"), "text")
+    path = scratch(s, "segments")
+    english = rows.where("lang = 'en'").select(F.col("doc_id").alias("doc_ord"))
+    S.add_segment(docs.withColumn("text", F.reverse("text")), path, 0)
+    S.add_segment(docs.join(english, "doc_ord", "left_anti").withColumn("text", F.lit(None).cast("string")), path, 1)
+    S.add_segment(docs.join(english, "doc_ord", "left_semi"), path, 2)
+    S.add_segment(docs.join(english, "doc_ord", "left_anti"), path, 3)
+    i = S.open_index(s, path)
+    return i.weights.join(i.terms.select("term", "df"), "term").select("chunk_id", "term", "df", F.round("w", 6).alias("weight"))
+
+
 def q_load_questions(s, d):
     """A file of questions with a note and a blank line before each."""
     item = _t(s, d, "benchmark")
@@ -393,7 +416,8 @@ QUERIES = {
     "activation_reasons": q_activation_reasons, "ask_areas": q_ask_areas, "plain_head": q_plain_head,
     "focused_search": lambda s, d: _r6(_focused(s, d), "score"),
     "area_representatives": lambda s, d: _r6(R.representatives(aliases(s, d), index(s, d)), "score"),
-    "parked_exclusion": q_parked_exclusion, "plain_fill": q_plain_fill, "search_in_area": q_search_in_area, "pack": pack,
+    "parked_exclusion": q_parked_exclusion, "plain_fill": q_plain_fill, "search_in_area": q_search_in_area, "restricted_search": q_restricted_search, "incremental_index": q_incremental_index,
+    "pack": pack,
     "load_questions": q_load_questions, "eval_recall": entry, "eval_buckets": lambda s, d: W.outcome(evaluation(s, d)).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.size("active")).alias("active")),
     "html_to_text": lambda s, d: _pages(s, d).select("page_id", "text"), "chunk_text": lambda s, d: D.chunk_documents(chunks(s, d)), "guess_title": q_guess_title, "load_documents": q_load_documents, "scan_files": q_scan_files,
     "cluster_docs": _clusters, "cluster_label": q_cluster_label, "cluster_carryover": q_cluster_carryover,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import STOPWORDS
 from ..operators.resolve import RULES
+from ..operators.segments import CHUNKS_A_DOC
 from ..sources import documents as D
 from .driver import AUTHORITY, LISTING, SIGNALS
 
@@ -158,6 +159,12 @@ PARTS = {
             list_filter(list_transform(range(1, len(used) + 2), lambda n: CASE WHEN n > 1 THEN i.id || '-' || n ELSE i.id END), lambda x: NOT list_contains(used, x))[1] FROM given g JOIN ids i ON i.place = g.place + 1""",
     "listing": f"SELECT replace(replace(([{', '.join(_string(x) for x in LISTING)}])[doc_id % {len(LISTING)} + 1], 'S', source), 'N', CAST(doc_id AS VARCHAR)) AS path, n_chars AS size, doc_id FROM documents",
 }
+#: Instead of chunks that are documents: those of whole texts, whose paragraphs have single line ends and no headings.
+CUT = {
+    "texts": "SELECT doc_id, source || '/' || doc_id || '.txt' AS doc, CAST(doc_id AS VARCHAR) AS title, source AS folder, text FROM documents WHERE doc_id IS NOT NULL AND trim(text) <> ''",
+    "cut": PARTS["cut"].replace("SELECT doc, ", "SELECT doc_id, ").replace("FROM chunks", "FROM texts"),
+    "chunks": f"SELECT doc_id * {CHUNKS_A_DOC} + n - 1 AS chunk_id, doc, title, folder, '' AS section, trim(piece, chr(32) || chr(10)) AS text FROM cut JOIN texts USING (doc_id) WHERE n > 0",
+}
 _RANK = "CAST(rank AS INT) AS rank"
 _PASSAGE = "CASE WHEN length(text) <= 1200 THEN text ELSE substr(text, 1, 1200) || ' ...' END AS text"
 
@@ -207,6 +214,8 @@ _QUERIES = {
     "parked_exclusion": f"SELECT query_id, m.id, chunk_id, {_RANK} FROM plain LEFT JOIN members m USING (chunk_id) WHERE NOT EXISTS (SELECT 1 FROM activated a WHERE a.state = 'parked' AND a.query_id = plain.query_id AND a.id = m.id)",
     "plain_fill": f"SELECT query_id, chunk_id, {_RANK} FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM plain) WHERE round(score - 0.35e0 * best, 9) >= 0",
     "search_in_area": "SELECT query_id, 'src2' AS domain_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scores JOIN members USING (chunk_id) WHERE id = 'src2') WHERE rank <= 8",
+    "restricted_search": f"""SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT query_id || ':all' AS query_id, chunk_id, score, rank FROM ranked UNION ALL
+        SELECT query_id || ':sound', chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) FROM scores WHERE chunk_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)) WHERE rank <= 8""",
     "area_representatives": f"""SELECT domain_id, chunk_id, round(score, 6) AS score, {_RANK} FROM (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (
         SELECT id AS domain_id, chunk_id, {_BM25} AS score FROM (SELECT id, term, 1e0 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS nth FROM aliases) WHERE nth <= 6)
         JOIN postings USING (term) JOIN members USING (id, chunk_id) JOIN terms USING (term) JOIN lengths USING (chunk_id), corpus GROUP BY 1, 2)) WHERE rank <= 2""",
@@ -238,4 +247,6 @@ def composed(select: str, **parts: str) -> str:
     return f"WITH RECURSIVE {', '.join(own)} {select}"
 
 
-ORACLES = {name: composed(sql) for name, sql in _QUERIES.items()}
+ORACLES = {name: composed(sql) for name, sql in _QUERIES.items()} | {
+    "incremental_index": composed(f"SELECT chunk_id, term, df, round({_BM25.replace('sum(weight * ', '(')}, 6) AS weight FROM postings JOIN lengths USING (chunk_id) JOIN terms USING (term), corpus", **CUT),
+}

@@ -23,9 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path there."""
+    return f"{shared_dir(spark)}/terrane-{label}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df there as a Parquet table and read it back, so that it is computed once and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/terrane-{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
