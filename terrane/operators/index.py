@@ -84,16 +84,17 @@ def surface_forms(chunks: DataFrame) -> DataFrame:
 def term_weights(postings: DataFrame, lengths: DataFrame, terms: DataFrame, corpus: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """(term, chunk_id, w, id): what one use of a term in a query adds to a chunk's score, and the chunk's area.
 
-    Dealt by ranges of chunks and sorted by term within: a search adds up most of a chunk's score where it lies, a term
-    of many chunks is many tasks, and a question that names few terms reads only the row groups that hold them.
+    Postings of a chunk lie together, as the last exchange is by chunk, and are sorted by term: a search adds up a chunk's
+    score where it lies, a term of many chunks is many tasks, and a question that names few terms reads only the row
+    groups that hold them.
     members: (id, chunk_id), at most one area a chunk.
     """
     dl, avgdl, f = F.col("dl"), F.col("avgdl"), F.col("f")
     w = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
     sized = lengths.select("chunk_id", "dl")
     sized = sized.withColumn("id", F.lit(None).cast("string")) if members is None else sized.join(members.select("chunk_id", "id"), "chunk_id", "left")
-    joined = postings.join(sized, "chunk_id").join(terms.select("term", "idf"), "term").crossJoin(F.broadcast(corpus))  # corpus is one row
-    return joined.select("term", "chunk_id", w.alias("w"), "id").repartitionByRange("chunk_id").sortWithinPartitions("term", "chunk_id")
+    joined = postings.join(terms.select("term", "idf"), "term").crossJoin(F.broadcast(corpus)).join(sized, "chunk_id")  # corpus is one row
+    return joined.select("term", "chunk_id", w.alias("w"), "id").sortWithinPartitions("term", "chunk_id")
 
 
 def build_index(chunks: DataFrame, members: DataFrame | None = None) -> Index:
