@@ -36,9 +36,10 @@ OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
 INPUTS = len(OFFSETS) * (LEAVES + 1)
 #: Rows of parameters: context words, the hidden bias, classes, leaves. The last column is the bias of a class or leaf.
 ROWS = INPUTS + 1 + CLASSES + LEAVES
-#: Every document trains; of its tokens one in so many is masked and predicted. Tokens of one task; tasks of the first round.
-MASKED, TASK_TOKENS, FIRST_TASKS = 8, 2_000_000, 4
-STEP, RATE, BLOCKS = 2048, 0.08, 32
+#: Every token of every document is masked once and predicted. Tokens of one task; tasks of the first round.
+TASK_TOKENS, FIRST_TASKS = 2_000_000, 4
+#: Tokens of one step, its length, and the parts that a task's changes are sent in.
+STEP, RATE, BLOCKS = 8192, 0.1, 32
 #: Tokens encoded or scored at a time, and distinct words counted before a task passes them on.
 TOKENS, CHUNK, PENDING = 200_000, 16_384, 400_000
 #: Symbols of the spelling model: code points below 256, one for all others (each of 2 ** 20), the word's start.
@@ -221,14 +222,6 @@ class Network:
         return np.concatenate(names), np.concatenate([np.pad(inputs, ((0, 0), (0, 1))), class_rows, *leaf_rows])
 
 
-def masked(lengths: np.ndarray, seeds: np.ndarray, every: int = MASKED) -> np.ndarray:
-    """Places of the masked tokens of several documents: hash-drawn by place and document."""
-    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    x = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(seeds.astype(np.uint64), lengths)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.flatnonzero((x >> np.uint64(40)) % np.uint64(every) == 0)
-
-
 def ascend(network: Network, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float = RATE) -> Network:
     """Steps of Adagrad by rows over the tokens in order; squares holds the rows' summed squares and is changed."""
     for i in range(0, len(target), STEP):
@@ -415,10 +408,8 @@ def _train(rows: np.ndarray, rate: float) -> Callable:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                ids, lengths = _leaves(part.column(1))
-                places = masked(lengths, part.column(0).to_numpy())
-                if len(places):
-                    network = ascend(network, window(ids, lengths)[places], ids[places], squares, rate)
+                ids, lengths = _leaves(part.column(0))
+                network = ascend(network, window(ids, lengths), ids, squares, rate)
         touched = np.flatnonzero(squares)
         for block in np.array_split(touched, BLOCKS):
             if len(block):
@@ -441,14 +432,14 @@ def _mean(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(encoded: DataFrame, vocab: Vocabulary, rate: float = RATE) -> Network:
-    """Train on all documents, each in one round. Tasks start from the same parameters; what a row of parameters
+    """Train on every token of all documents, each document in one round. Tasks start from the same parameters; what a row of parameters
     gains is averaged over the tasks that touched it. Rounds grow in number with the corpus, and each doubles the tasks,
     so the parameters move further on a larger corpus and rare words learn from wherever they occur.
     """
     bounded_arrow(encoded.sparkSession)
     network = Network.start(vocab.leaf_counts())
     for r in range(schedule(int(vocab.leaf_counts().sum()))):
-        docs = encoded.where((F.col("round") == r) & (F.col("tokens") > 0)).select("rid", "ids").coalesce(FIRST_TASKS << r)
+        docs = encoded.where((F.col("round") == r) & (F.col("tokens") > 0)).select("ids").coalesce(FIRST_TASKS << r)
         deltas = docs.mapInArrow(_train(network.rows, rate / (1 + r / 4)), "block int, rows binary, delta binary")
         found = deltas.groupBy("block").applyInArrow(_mean, "rows binary, delta binary").toArrow()
         rows = network.rows.copy()

@@ -313,6 +313,15 @@ def test_network_gradient_by_differences():
         assert grad[i, j] == pytest.approx((moved[0] - moved[1]) / 2e-5, abs=1e-6)
 
 
+def test_every_token_is_a_target(monkeypatch):
+    rng, seen = np.random.default_rng(4), []
+    ids = [rng.integers(0, lm.LEAVES, n).astype("<u2") for n in (1, 300, 7, 12_000)]
+    monkeypatch.setattr(lm, "ascend", lambda net, context, target, squares, rate: seen.extend(target.tolist()) or net)
+    batch = lm.pa.record_batch([lm.pa.array([x.tobytes() for x in ids], lm.pa.binary())], ["ids"])
+    assert list(lm._train(lm.Network.start(np.ones(lm.LEAVES)).rows, 0.1)(iter([batch]))) == []  # nothing moved
+    assert seen == np.concatenate(ids).tolist()
+
+
 def test_training_learns_from_both_sides(spark):
     """Words that only their neighbours tell: training must raise the score of whole texts above that of shuffled ones."""
     rng = random.Random(2)
