@@ -5,8 +5,12 @@ from __future__ import annotations
 import difflib
 import json
 import urllib.request
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -15,8 +19,8 @@ from ..sources.documents import html_to_text
 
 # The most that is read of a source, and how long an answer may take.
 FETCH_BYTES, FETCH_SECONDS = 10 << 20, 60
-#: Words of an item that are looked up.
-QUOTED = 4
+#: Words of an item that are looked up, and characters of shorter items that one automaton seeks.
+QUOTED, BLOCK_CHARS = 4, 4_000_000
 _DECODER = json.JSONDecoder()
 
 
@@ -95,10 +99,11 @@ def line_diff(pairs: DataFrame) -> DataFrame:
 
 
 def quotations(items: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, doc) of the chunks that hold an item's whole text; items (query_id, item) of six words or more.
+    """(query_id, chunk_id, doc) of the chunks that hold an item's whole text, whatever its length; an empty item is held by none.
 
-    Four words inside an item stand between spaces in any text that holds it, so their hash is looked up among the
-    text's runs of four words; what is found is compared in full. Only ids and hashes meet in that join.
+    Four words inside an item of six or more stand between spaces in any text that holds it, so their hash is looked up
+    among the text's runs of four words; what is found is compared in full. Only ids and hashes meet in that join.
+    Shorter items are sought in every text: see `short_quotations`.
     """
     hashed = lambda words, i: F.xxhash64(*(F.get(words, i + j) for j in range(QUOTED)))
     said = F.split("item", r"\s+")
@@ -108,7 +113,43 @@ def quotations(items: DataFrame, chunks: DataFrame) -> DataFrame:
     runs = chunks.select("chunk_id", F.explode(hashes[0]).alias("key"))
     found = runs.join(keys.select("query_id", "key"), "key").select("query_id", "chunk_id").distinct()
     held = chunks.select("chunk_id", "doc", "text").join(found, "chunk_id").join(items.select("query_id", "item"), "query_id")
-    return held.where(F.expr("contains(text, item)")).select("query_id", "chunk_id", "doc")
+    return held.where(F.expr("contains(text, item)")).select("query_id", "chunk_id", "doc").unionByName(short_quotations(items.where(F.size(said) < QUOTED + 2), chunks))
+
+
+def short_quotations(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The same for items that words cannot be looked up for: one automaton of many items runs over every text.
+
+    Items are dealt into blocks of about BLOCK_CHARS characters, which are counted while the plan is built; the texts
+    are read once for each block, and a task holds the automaton of one block. Texts do not move.
+    """
+    short = items.where("item <> ''")
+    total = short.select("item").distinct().agg(F.coalesce(F.sum(F.length("item") + 1), F.lit(0))).first()[0]
+    blocks = -(-total // BLOCK_CHARS)
+    ids = chunks.schema["chunk_id"].dataType.simpleString()
+    block = F.pmod(F.xxhash64("item"), F.lit(max(blocks, 1)))
+    groups = ([r["item"] for r in short.where(block == b).select("item").distinct().collect()] for b in range(blocks))
+    found = [chunks.select("chunk_id", "doc", "text").mapInArrow(_holding(group), f"chunk_id {ids}, doc string, item string") for group in groups if group]
+    if not found:
+        return items.join(chunks.select("chunk_id", "doc").limit(0), F.lit(False)).select("query_id", "chunk_id", "doc")
+    return reduce(DataFrame.unionByName, found).join(short, "item").select("query_id", "chunk_id", "doc")
+
+
+def _holding(patterns: list[str]) -> Callable:
+    """(chunk_id, doc, item) of texts (chunk_id, doc, text): a row for each pattern that a text holds."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for p in patterns:
+            machine.add_word(p, p)
+        machine.make_automaton()
+        for batch in batches:
+            for i, text in enumerate(batch.column(2)):
+                held = sorted({p for _, p in machine.iter(text.as_py() or "")})
+                if held:
+                    row = pa.array([i] * len(held))
+                    yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(held, pa.string())], ["chunk_id", "doc", "item"])
+
+    return run
 
 
 def evaluation_rows(questions: DataFrame, plain: DataFrame, packed: DataFrame, active: DataFrame | None = None) -> DataFrame:

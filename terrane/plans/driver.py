@@ -175,6 +175,14 @@ def expected(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("query_id").agg(F.min(F.struct("chunk_id", "doc"))["doc"].alias("expect"))
 
 
+def q_quoted_items(s, d):
+    """The chunks that hold a benchmark text, its first two words, or its first word."""
+    text = _t(s, d, "benchmark").select("item_id", "text")
+    parts = F.array(*(F.struct(F.lit(n).alias("part"), F.regexp_extract("text", p, 0).alias("item")) for n, p in (("text", r"^[\s\S]*"), ("two", r"^\S+\s+\S+"), ("word", r"^\S+"))))
+    items = text.select("item_id", F.explode(parts).alias("p")).select(F.concat_ws(":", "item_id", "p.part").alias("query_id"), "p.item")
+    return W.quotations(items, chunks(s, d)).select("query_id", "chunk_id")
+
+
 def evaluation(spark: SparkSession, d: str) -> DataFrame:
     plain = _plain(spark, d).join(chunks(spark, d).select("chunk_id", "doc"), "chunk_id").select("query_id", "doc")
     return W.evaluation_rows(expected(spark, d), plain, pack(spark, d).select("query_id", "doc"), _active(spark, d))
@@ -418,7 +426,7 @@ QUERIES = {
     "area_representatives": lambda s, d: _r6(R.representatives(aliases(s, d), index(s, d)), "score"),
     "parked_exclusion": q_parked_exclusion, "plain_fill": q_plain_fill, "search_in_area": q_search_in_area, "restricted_search": q_restricted_search, "incremental_index": q_incremental_index,
     "pack": pack,
-    "load_questions": q_load_questions, "eval_recall": entry, "eval_buckets": lambda s, d: W.outcome(evaluation(s, d)).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.size("active")).alias("active")),
+    "load_questions": q_load_questions, "quoted_items": q_quoted_items, "eval_recall": entry, "eval_buckets": lambda s, d: W.outcome(evaluation(s, d)).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.size("active")).alias("active")),
     "html_to_text": lambda s, d: _pages(s, d).select("page_id", "text"), "chunk_text": lambda s, d: D.chunk_documents(chunks(s, d)), "guess_title": q_guess_title, "load_documents": q_load_documents, "scan_files": q_scan_files,
     "cluster_docs": _clusters, "cluster_label": q_cluster_label, "cluster_carryover": q_cluster_carryover,
     "snapshot_diff": q_snapshot_diff, "watch_status": q_watch_status, "line_diff": q_line_diff,

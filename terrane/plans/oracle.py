@@ -216,6 +216,8 @@ _QUERIES = {
     "search_in_area": "SELECT query_id, 'src2' AS domain_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scores JOIN members USING (chunk_id) WHERE id = 'src2') WHERE rank <= 8",
     "restricted_search": f"""SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT query_id || ':all' AS query_id, chunk_id, score, rank FROM ranked UNION ALL
         SELECT query_id || ':sound', chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) FROM scores WHERE chunk_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)) WHERE rank <= 8""",
+    "quoted_items": r"""SELECT query_id, chunk_id FROM chunks JOIN (SELECT item_id || ':' || part AS query_id, regexp_extract(text, pattern, 0) AS item
+        FROM benchmark, (VALUES ('text', '^[\s\S]*'), ('two', '^\S+\s+\S+'), ('word', '^\S+')) AS p(part, pattern)) i ON item <> '' AND contains(text, item)""",
     "area_representatives": f"""SELECT domain_id, chunk_id, round(score, 6) AS score, {_RANK} FROM (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (
         SELECT id AS domain_id, chunk_id, {_BM25} AS score FROM (SELECT id, term, 1e0 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS nth FROM aliases) WHERE nth <= 6)
         JOIN postings USING (term) JOIN members USING (id, chunk_id) JOIN terms USING (term) JOIN lengths USING (chunk_id), corpus GROUP BY 1, 2)) WHERE rank <= 2""",

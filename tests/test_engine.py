@@ -205,10 +205,46 @@ def test_passages_against_the_rules(spark):
         assert got[q] == fold([r for r in rows if r["query_id"] == q], 8, 4000)
 
 
-def test_quotations(spark):
-    items = spark.createDataFrame([(1, "xa b c d e f"), (2, "b c d e f  g"), (3, "b c d e f g")], "query_id int, item string")
-    chunks = spark.createDataFrame([(1, "a", "0 xa b c d e fg h"), (2, "b", "a b c d e f  g h"), (3, "c", "b c"), (4, "d", None)], "chunk_id int, doc string, text string")
-    assert {(r.query_id, r.doc) for r in W.quotations(items, chunks).collect()} == {(1, "a"), (2, "b")}
+def test_quotations(spark, monkeypatch):
+    said = {1: "xa b c d e f", 2: "b c d e f  g", 3: "b c d e f g", 4: "b c", 5: "b c", 6: "f", 7: "", 8: " ", 9: "zz", 10: "a b c d e", 11: None}
+    texts = {1: "0 xa b c d e fg h", 2: "a b c d e f  g h", 3: "b c", 4: None, 5: "", 6: "f"}
+    items = spark.createDataFrame(list(said.items()), "query_id int, item string")
+    chunks = spark.createDataFrame([(i, f"d{i}", t) for i, t in texts.items()], "chunk_id int, doc string, text string")
+    want = sorted((q, c, f"d{c}") for q, item in said.items() for c, text in texts.items() if item and text and item in text)
+    assert sorted(map(tuple, W.quotations(items, chunks).collect())) == want
+    monkeypatch.setattr(W, "BLOCK_CHARS", 3)  # many automata
+    assert sorted(map(tuple, W.quotations(items, chunks).collect())) == want
+    assert W.quotations(items.where("query_id = 1"), chunks).count() == 1 and W.quotations(items, chunks.limit(0)).count() == 0
+
+
+def test_search_within_sets(spark):
+    texts = ["cold snap", "cold", "cold cold snap", "snap", "warm"]
+    ids = [0, 5, 32_768, 70_001, 1 << 40]
+    chunks = spark.createDataFrame([(i, f"{i}", "", "", t) for i, t in zip(ids, texts, strict=True)], "chunk_id long, doc string, title string, section string, text string")
+    sets = {"a": [5, 32_768], "b": [70_001, 1 << 40, 999], "empty": []}
+    rows = spark.createDataFrame([(k, i) for k, v in sets.items() for i in v or [None]], "set_id string, chunk_id long")
+    asked = [("all", None), ("in a", "a"), ("in b", "b"), ("in empty", "empty"), ("in unknown", "other")]
+    queries = spark.createDataFrame([(q, t, 1.0, s) for q, s in asked for t in ("cold", "snap")], "query_id string, term string, weight double, set_id string")
+    index = I.build_index(chunks)
+    whole = {r.chunk_id: r.score for r in I.search(queries.where("query_id = 'all'"), index).collect()}
+    assert set(whole) == {0, 5, 32_768, 70_001}
+    got = {(r.query_id, r.chunk_id): r.score for r in I.search(queries, index, sets=rows).collect()}
+    assert got == {(q, c): v for q, s in asked for c, v in whole.items() if s is None or c in sets.get(s, [])}
+
+
+def test_best_chunks_are_those_of_all_scores(spark):
+    rng = random.Random(8)
+    chunks = spark.createDataFrame([(i, f"{i}", "", "", " ".join(rng.choice(["cold", "snap", "tire", "roof"]) for _ in range(rng.randint(1, 9)))) for i in range(200)], "chunk_id long, doc string, title string, section string, text string")
+    members = spark.createDataFrame([(f"a{i % 3}", i) for i in range(200) if i % 4], "id string, chunk_id long")
+    index = I.build_index(chunks, members)
+    queries = spark.createDataFrame([(q, t, w) for q in "xyz" for t, w in (("cold", 1.0), ("snap", 0.4), ("roof", 1.4))], "query_id string, term string, weight double")
+    scores = I.score_chunks(queries, index)
+    best = I.best_chunks(queries, index, 5)
+    assert best.count() == 3 * 4 * 5 < scores.count()
+    key = lambda df: sorted((r.query_id, r.chunk_id, r.rank, round(r.score, 9)) for r in df.collect())
+    assert key(I.ranked(best, k=5)) == key(I.ranked(scores, k=5))
+    rel = lambda df: sorted((r.query_id, r.id, round(r.rel, 9)) for r in R.relevance(df).collect())
+    assert rel(best) == rel(scores)
 
 
 def test_membership_counts(spark):

@@ -18,7 +18,7 @@ from terrane.operators import assist as S
 from terrane.operators import watch as W
 from terrane.project import Project
 from terrane.streaming.conversations import keep_fresh, recent_turns, resolve_stream, windows_as_turns
-from terrane.tools import Tools, http_server, serve_lines
+from terrane.tools import Tools, http_server, paragraphs, serve_lines
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need the fake model
 
@@ -179,7 +179,11 @@ def test_tools(project):
     assert hidden["error"]["code"] == -32602 and unknown["error"]["code"] == -32601 and broken["error"]["code"] == -32700
     assert "the same" not in hello and json.loads(Tools(project).list_areas())[0]["id"] == "car"
     conflict = Tools(project, Fake('{"conflicts": [{"draft_says": "900", "documents_say": "500", "passage": 1}]}')).check_draft("the deductible is 900")
-    assert "Documents (insurance/policy.md): 500" in conflict
+    assert "| insurance/policy.md | 500 | 900 |" in conflict and Tools(project, Fake('{"conflicts": []}')).check_draft("the deductible is 900").endswith("agree")
+
+
+def test_turns_of_a_conversation():
+    assert paragraphs("a\nb\n \n\nc") == ["a\nb", "c"] and paragraphs(" \n\n ") == [""]
 
 
 def test_tools_over_http(project):
