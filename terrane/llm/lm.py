@@ -39,7 +39,7 @@ ROWS = INPUTS + 1 + CLASSES + LEAVES
 #: Every token of every document is masked once and predicted. Tokens of one task; tasks of the first round.
 TASK_TOKENS, FIRST_TASKS = 2_000_000, 4
 #: Tokens of one step, its length, and the parts that a task's changes are sent in.
-STEP, RATE, BLOCKS = 8192, 0.1, 32
+STEP, RATE, BLOCKS = 16_384, 0.2, 32
 #: Tokens encoded or scored at a time, and distinct words counted before a task passes them on.
 TOKENS, CHUNK, PENDING = 200_000, 16_384, 400_000
 #: Symbols of the spelling model: code points below 256, one for all others (each of 2 ** 20), the word's start.
@@ -171,17 +171,19 @@ class Network:
         return out
 
     def _parts(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
-        own = target // PER
+        own = (target // PER).astype(np.uint16)
         logits = hidden @ self.classes
         logits += self.class_bias
         out = self._picked(logits, own)
         order = np.argsort(own, kind="stable")
         cuts = np.searchsorted(own[order], np.arange(CLASSES + 1))
+        dealt, at, more = hidden[order], target[order] % PER, np.empty(len(target))
         for c in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[c] : cuts[c + 1]]
-            within = hidden[rows] @ self.leaves[c]
+            part = slice(cuts[c], cuts[c + 1])
+            within = dealt[part] @ self.leaves[c]
             within += self.leaf_bias[c]
-            out[rows] += self._picked(within, target[rows] % PER)
+            more[part] = self._picked(within, at[part])
+        out[order] += more
         return out
 
     def _picked(self, logits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -191,35 +193,49 @@ class Network:
         found = logits[np.arange(len(at)), at]
         return found - np.log(np.exp(logits, out=logits).sum(1))
 
+    def _misses(self, logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """One column of each row is the target: 1 there and 0 elsewhere, less the probabilities of logits, in their place."""
+        if self.steep:
+            logits -= logits.max(1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= -logits.sum(1, keepdims=True)
+        logits[np.arange(len(at)), at] += 1
+        return logits
+
     def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that the tokens touch, ascending, and the gradient of their summed log-probability there."""
         hidden = self.hidden(context)
-        own = target // PER
-        prob = np.exp(self._log_softmax(hidden @ self.classes + self.class_bias))
-        prob *= -1
-        prob[np.arange(len(own)), own] += 1
-        back = prob @ self.classes.T
-        class_rows = np.concatenate([prob.T @ hidden, prob.sum(0)[:, None]], 1)
-        order = np.argsort(own, kind="stable")
+        own = (target // PER).astype(np.uint16)
+        missed = hidden @ self.classes
+        missed += self.class_bias
+        missed = self._misses(missed, own)
+        back = missed @ self.classes.T
+        class_rows = np.concatenate([missed.T @ hidden, missed.sum(0)[:, None]], 1)
+        order = np.argsort(own, kind="stable")  # by class, so that each takes a slice
         cuts = np.searchsorted(own[order], np.arange(CLASSES + 1))
-        touched, leaf_rows = np.flatnonzero(np.diff(cuts)), []
-        for c in touched:
-            rows = order[cuts[c] : cuts[c + 1]]
-            prob = -np.exp(self._log_softmax(hidden[rows] @ self.leaves[c] + self.leaf_bias[c]))
-            prob[np.arange(len(rows)), target[rows] % PER] += 1
-            back[rows] += prob @ self.leaves[c].T
-            leaf_rows.append(np.concatenate([prob.T @ hidden[rows], prob.sum(0)[:, None]], 1))
+        dealt, at, moved = hidden[order], target[order] % PER, np.empty_like(hidden)
+        touched = np.flatnonzero(np.diff(cuts))
+        leaf_rows = np.empty((len(touched), PER, HIDDEN + 1), hidden.dtype)
+        for rows, c in zip(leaf_rows, touched, strict=True):
+            part = slice(cuts[c], cuts[c + 1])
+            missed = dealt[part] @ self.leaves[c]
+            missed += self.leaf_bias[c]
+            missed = self._misses(missed, at[part])
+            np.matmul(missed, self.leaves[c].T, out=moved[part])
+            np.matmul(missed.T, dealt[part], out=rows[:, :HIDDEN])
+            missed.sum(0, out=rows[:, HIDDEN])
+        back[order] += moved
         back *= 1 - hidden**2
         names, sums = [], []
-        for k in range(len(OFFSETS)):
-            order = np.argsort(context[:, k], kind="stable")
-            seen = context[order, k]
+        for k, column in enumerate(context.astype(np.uint16).T):
+            order = np.argsort(column, kind="stable")
+            seen = column[order].astype(np.int64)
             first = np.flatnonzero(np.diff(seen, prepend=-1))
             names.append(k * (LEAVES + 1) + seen[first])
             sums.append(np.add.reduceat(back[order], first, 0))
-        names += [[INPUTS], INPUTS + 1 + np.arange(CLASSES), *(INPUTS + 1 + CLASSES + c * PER + np.arange(PER) for c in touched)]
+        names += [[INPUTS], INPUTS + 1 + np.arange(CLASSES), (INPUTS + 1 + CLASSES + touched[:, None] * PER + np.arange(PER)).ravel()]
         inputs = np.concatenate([*sums, back.sum(0, keepdims=True)])
-        return np.concatenate(names), np.concatenate([np.pad(inputs, ((0, 0), (0, 1))), class_rows, *leaf_rows])
+        return np.concatenate(names), np.concatenate([np.pad(inputs, ((0, 0), (0, 1))), class_rows, leaf_rows.reshape(-1, HIDDEN + 1)])
 
 
 def ascend(network: Network, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float = RATE) -> Network:
