@@ -290,7 +290,7 @@ def language_spans(docs: DataFrame, model: WordModel, ident: str = "doc_id", tex
     """doc_id, start, end, lang of the labelled spans of every text (character offsets).
 
     A null or empty text, or one without letters, has no span; a very long one is labelled whole. Null ids and repeated
-    rows give spans each; other columns are ignored; an empty table gives no rows.
+    rows give spans each; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     bounded_arrow(docs.sparkSession)
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -260,14 +260,22 @@ def _packets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_media(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Table (doc_id, n_bytes, media) with one Matroska file per row of docs, in the shared folder."""
+    """Table (doc_id, n_bytes, media) with one Matroska file per row of docs, in the shared folder.
+
+    A null text is stored as an empty one; a very long text is one file like any other; null ids and repeated rows keep
+    a file each; other columns are ignored, whatever their names; no documents, no rows.
+    """
     bounded_arrow(docs.sparkSession)
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), utf8(F.col(text)).alias("text"))
     return saved(rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media", "zstd")
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """One row per packet: track, timestamp, cluster and byte range within the stored file."""
+    """One row per packet: track, timestamp, cluster and byte range within the stored file.
+
+    Each row of media is parsed whole and gives its own packets, so repeated rows repeat theirs and a null id stays null;
+    no media, no rows.
+    """
     bounded_arrow(media.sparkSession)
     return media.mapInArrow(_packets, PACKET_SCHEMA)
 
@@ -276,7 +284,7 @@ def media_features(media: DataFrame) -> DataFrame:
     """Digests and features of each stored file, computed from what the parser reads back.
 
     A null text is stored as an empty one; an empty text as one unit of spaces; equal texts give equal values; null
-    ids and repeated rows keep a row each; no documents, no rows.
+    ids and repeated rows keep a row each; a very long text is read whole; no documents, no rows.
     """
     bounded_arrow(media.sparkSession)
     return media.mapInArrow(_features, READ_SCHEMA)

@@ -82,7 +82,7 @@ def source_rates(narrow: DataFrame, share: float = 1.5, cap: float = 2.0, weight
 def mix_table(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", **options) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, rate, copies, taken.
 
-    Null text has size 0; null sources are one source, last in order; null ids and repeated rows are rows of their own
+    Null text has size 0, and a very long one is measured whole; null sources are one source, last in order; null ids and repeated rows are rows of their own
     (equal rows share one decision); an empty table gives no rows; a corpus without words gives targets of 0. Other
     columns are ignored, whatever their names.
     """

@@ -151,7 +151,7 @@ def _fit(level: int, capacity: int):
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, levels: int = LEVELS, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row.
 
-    A null or empty text is the single end id. Rows with equal or null ids stay documents of their own; other columns
+    A null or empty text is the single end id; a very long one is read whole and cut into full pieces and a last one. Rows with equal or null ids stay documents of their own; other columns
     are ignored; an empty table gives no rows.
     """
     bounded_arrow(docs.sparkSession)

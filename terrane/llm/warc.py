@@ -176,7 +176,9 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_bundles(pages: DataFrame) -> DataFrame:
     """Table (bundle_id, bundle) of the archives, written to the shared folder by Spark's own writer.
 
-    Bundles are binary rows, so any store that Spark can write holds them; each is a whole seekable file.
+    Bundles are binary rows, so any store that Spark can write holds them; each is a whole seekable file. Null html is an
+    empty payload and very long html one record; null ids and repeated rows give a record each; other columns are
+    ignored, whatever their names; no pages, no records.
     """
     bounded_arrow(pages.sparkSession)
     html = F.coalesce(utf8(F.col("html")), F.lit(b""))
@@ -191,7 +193,7 @@ def write_bundles(pages: DataFrame) -> DataFrame:
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
-    """The index of all records, read back from the stored archives."""
+    """The index of all records, read back from the stored archives, a row for each; no bundles, no rows."""
     bounded_arrow(bundles.sparkSession, 4)
     return bundles.mapInArrow(_read, f"bundle_id string, {INDEX_SCHEMA}")
 
