@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,14 +26,17 @@ LABELLED = (1500, 1500, 5000)
 BUCKETS = 1 << 22
 #: Strength of association (mean square contingency with the grade) at which a bucket's evidence counts for a half: weaker
 #: buckets are shrunk, none is left out. A text's buckets weigh UNIT times its number of them to the power of minus LENGTH.
-HALF, UNIT, LENGTH = 0.18, 5.0, 1 / 3
+HALF, UNIT, LENGTH = 0.06, 5.0, 1 / 3
 RIDGE, STEPS, RATE = 3e-3, 120, 0.1
 #: Selection starts at the tail probability where, of the rated documents fitted on, the part of the sound ones lost (so
 #: many times) and the part of the others let through are least together.
 LOST = 5.0
 GRADES = 3
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{1,3}")
-MEMORY = 1_000_000
+#: A beginning that so many different tokens of a text share, as inflected and compound forms of one word do, is a mark of its own.
+SHARED = (2, 3)
+#: Tokens and marks whose weights one worker remembers before it starts anew.
+MEMORY = 200_000
 
 
 def bucket(word: str) -> int:
@@ -40,11 +44,15 @@ def bucket(word: str) -> int:
 
 
 def marks_of(text: str) -> tuple[set[str], set[str]]:
-    """Distinct tokens, and their distinct first four characters behind a ^; where a tenth of the tokens or more repeat
-    the two before, that and the share in tenths are marks too."""
+    """Distinct tokens, and their distinct first four characters behind a ^, again with each number of SHARED that is
+    reached by the different tokens that begin so; where a tenth of the tokens or more repeat the two before,
+    that and the share in tenths are marks too."""
     found = TOKEN.findall(text.lower())
     tokens = set(found)
-    marks = {"^" + t[:4] for t in tokens}
+    begun = Counter("^" + t[:4] for t in tokens)
+    marks = set(begun)
+    for least in SHARED:
+        marks |= {f"{b} {least}" for b, n in begun.items() if n >= least}
     share = sum(a == b == c for a, b, c in zip(found, found[1:], found[2:])) * 10 // max(len(found), 1)
     if share:
         marks |= {"repeated", f"repeated {share}"}
@@ -144,25 +152,30 @@ def scale_of(lengths):
 
 class Scorer:
     def __init__(self, model: OrdinalModel):
-        self.weights = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
         self.model = model
         self.known: dict[str, float] = {}
 
+    def weights_of(self, words: list[str]) -> np.ndarray:
+        """The weights of the words' buckets; 0 where the labelled documents do not show the bucket."""
+        buckets, weights = self.model.buckets, self.model.weights
+        if not len(buckets):
+            return np.zeros(len(words))
+        wanted = np.array([bucket(w) for w in words], buckets.dtype)
+        at = np.minimum(np.searchsorted(buckets, wanted), len(buckets) - 1)
+        return np.where(buckets[at] == wanted, weights[at], 0.0)
+
     def score(self, text: str) -> float | None:
         """Summed weight of the buckets, scaled by their number; None without any token."""
         tokens, marks = marks_of(text)
         if not tokens:
             return None
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        total = []
-        for words in (tokens, marks):
-            for w in words:
-                if w not in known:
-                    known[w] = self.weights.get(bucket(w), 0.0)
-            total += map(known.__getitem__, words)
-        return math.fsum(total) * float(scale_of(len(total)))
+        words = [*tokens, *marks]
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        if new:
+            self.known.update(zip(new, self.weights_of(new).tolist(), strict=True))
+        return math.fsum(map(self.known.__getitem__, words)) * float(scale_of(len(words)))
 
     def grade(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade and probability of the best grade; 0 and 0 without any token."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -455,6 +456,26 @@ def test_quality_likelihood_by_brute_force():
     assert quality.least_cost(tails, sound) == pytest.approx(0.4)
 
 
+def test_quality_marks_of_shared_beginnings():
+    tokens, marks = quality.marks_of("Stormed storms, stork. A storm a Storms")
+    assert tokens == {"stormed", "storms", "storm", "stork", "a", ",", "."}
+    assert marks == {"^stor", "^stor 2", "^stor 3", "^a", "^,", "^."}
+    scorer = quality.Scorer(quality.OrdinalModel(np.sort(np.array([quality.bucket("storm"), quality.bucket("^a")], np.int32)), np.array([1.0, 1.0]), np.arange(2.0)))
+    assert scorer.weights_of(["storm", "^a", "stork"]).tolist() == [1.0, 1.0, 0.0]
+    assert scorer.score("storm a") == scorer.score("storm a") == pytest.approx(2 * quality.scale_of(4)) and scorer.score(" ") is None
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the given tables")
+def test_quality_held_out_rates_by_grade(spark):
+    """Fitted on one half of the rated documents, of the other half nearly all sound ones stay and few others do."""
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    model = quality.learn(documents, labels.where(half))
+    rates = quality.grade_documents(documents, model).join(quality.graded(labels.where(~half)), "doc_id").groupBy("grade").agg(F.avg(F.col("selected").cast("int")).alias("kept"))
+    kept = {r.grade: r.kept for r in rates.collect()}
+    assert kept[2] > 0.99 and kept[1] < 0.05 and kept[0] < 0.02
+
+
 def test_quality_gives_rare_grades_and_weak_evidence_a_say(spark):
     rows, labels = [], []
     for i in range(3000):
