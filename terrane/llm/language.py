@@ -232,15 +232,15 @@ def learn(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str
     return fit(counts, scripts)
 
 
-def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about CHARS bytes, cut where a batch holds more."""
+def _grouped(batches: Iterable[pa.RecordBatch], column: int = 1, most: int = CHARS) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts, in the numbered column, have about so many bytes, cut where a batch holds more."""
     kept: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        at, lengths = 0, np.array([len(x.as_buffer() or b"") if x.is_valid else 0 for x in batch.column(1)])
+        at, lengths = 0, np.array([len(x.as_buffer() or b"") if x.is_valid else 0 for x in batch.column(column)])
         for i, n in enumerate(lengths):
             size += n
-            if size > CHARS:
+            if size > most:
                 kept.append(batch.slice(at, i + 1 - at))
                 yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
                 kept, size, at = [], 0, i + 1
@@ -309,13 +309,12 @@ def keep_identified(docs: DataFrame, model: WordModel, least: float = 0.5, text:
         return docs
     bounded_arrow(docs.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    column = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                found = labeller.predict([x or "" for x in part.column(text).to_pylist()])
-                yield part.filter(pa.array([x != UND and s >= least for x, s in found]))
+        for part in _grouped(batches, column, CHARS // 3):
+            found = labeller.predict([x or "" for x in part.column(column).to_pylist()])
+            yield part.filter(pa.array([x != UND and s >= least for x, s in found]))
 
     return docs.mapInArrow(run, kinds)

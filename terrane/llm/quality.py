@@ -177,7 +177,7 @@ class Scorer:
             self.known.update(zip(new, self.weights_of(new).tolist(), strict=True))
         return math.fsum(map(self.known.__getitem__, words)) * float(scale_of(len(words)))
 
-    def grade(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def grade(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade and probability of the best grade; 0 and 0 without any token."""
         scores = [self.score(t or "") for t in texts]
         tails = self.model.tails(np.array([s or 0.0 for s in scores]))
@@ -219,7 +219,7 @@ def _grade(model: OrdinalModel) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            expected, tail = scorer.grade(batch.column(1).to_pylist())
+            expected, tail = scorer.grade(x.as_py() for x in batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= model.bar)], ["doc_id", "expected_grade", "tail_probability", "selected"])
 
     return run
@@ -246,6 +246,6 @@ def keep_selected(docs: DataFrame, model: OrdinalModel, text: str = "text") -> D
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array(scorer.grade(batch.column(text).to_pylist())[1] >= model.bar))
+            yield batch.filter(pa.array(scorer.grade(x.as_py() for x in batch.column(text))[1] >= model.bar))
 
     return docs.mapInArrow(run, kinds)
