@@ -8,6 +8,7 @@ import sys
 import threading
 import time
 import urllib.request
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark import cloudpickle
@@ -86,6 +87,67 @@ def test_request_shapes(monkeypatch):
         models.HttpModel("openai", "m", "http://x").complete("s", ask)
 
 
+def test_patiently_tries_again_only_what_passes():
+    pauses, answers = [], [models.ModelError("busy", True), models.ModelError("busy", True, 7.0), "yes"]
+
+    def call():
+        answer = answers.pop(0)
+        if isinstance(answer, models.ModelError):
+            raise answer
+        return answer
+
+    assert models.patiently(call, sleep=pauses.append) == "yes" and 0.5 <= pauses[0] <= 1 and pauses[1] == 7
+    answers = [models.ModelError("wrong key")]
+    with pytest.raises(models.ModelError, match="wrong key"):
+        models.patiently(call, sleep=pauses.append)
+    answers = [models.ModelError("busy", True)] * 3
+    with pytest.raises(models.ModelError, match="busy"):
+        models.patiently(call, tries=3, sleep=pauses.append)
+    assert not answers and len(pauses) == 4
+
+
+def test_ask_missing_asks_only_what_has_no_reply(spark, tmp_path):
+    """A stand-in service counts what it is asked: it is busy at first, refuses one prompt, and is never asked twice for a reply."""
+    asked, lock = [], threading.Lock()
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["content-length"])))
+            prompt = body["messages"][-1]["content"]
+            with lock:
+                asked.append(prompt)
+                status = 503 if asked.count(prompt) == 1 and prompt == "p1" else 400 if prompt == "bad" and not mended else 200
+            answer = json.dumps({"choices": [{"message": {"content": f"re {prompt}"}}]}).encode()
+            self.send_response(status)
+            self.send_header("retry-after", "0")
+            self.send_header("content-length", str(len(answer)))
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *_):
+            pass
+
+    mended = False
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        model, kept = models.HttpModel("own", "m", f"http://127.0.0.1:{server.server_port}"), f"file://{tmp_path}/kept"
+        prompts = spark.createDataFrame([(i, f"p{i % 5}") for i in range(8)] + [(8, "bad"), (9, None)], "id int, prompt string")
+        got = {r.id: (r.reply, r.error) for r in S.ask_missing(prompts, model, "s", 5, kept, wave=2).collect()}
+        assert len(got) == 10 and all(got[str(i)] == (f"re p{i % 5}", None) for i in range(8)) and got["9"] == (None, None)
+        assert got["8"][0] is None and "answered 400" in got["8"][1]
+        assert sorted(asked) == ["bad", "p0", "p1", "p1", "p2", "p3", "p4"]
+        asked.clear()
+        mended = True
+        more = prompts.union(spark.createDataFrame([(10, "new")], prompts.schema))
+        again = {r.id: r.reply for r in S.ask_missing(more, model, "s", 5, kept).collect()}
+        assert sorted(asked) == ["bad", "new"] and again["8"] == "re bad" and again["10"] == "re new" and again["3"] == "re p3"
+        asked.clear()
+        assert S.ask_missing(prompts.limit(0), model, "s", 5, kept).count() == 0 and not asked
+    finally:
+        server.shutdown()
+
+
 def test_ask_model_keeps_the_batch(spark):
     prompts = spark.createDataFrame([("a", "fine"), ("b", "bad one")], "id string, prompt string")
     got = {r.id: r for r in S.ask_model(prompts, Fake("hi", fails="bad"), "s", 5).collect()}
