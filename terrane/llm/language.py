@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow
+from .common import bounded_arrow, release
 
 #: About so many labelled documents of each language are used to fit the word model.
 DOCS_PER_LANGUAGE = 1500
@@ -188,6 +188,7 @@ class Labeller:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     counts: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -252,6 +253,7 @@ def _grouped(batches: Iterable[pa.RecordBatch], column: int = 1, most: int = CHA
 
 def _predict(model: WordModel) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         labeller = Labeller(model)
         for batch in _grouped(batches):
             found = labeller.predict([x or "" for x in batch.column(1).to_pylist()])
@@ -275,6 +277,7 @@ def identify(docs: DataFrame, model: WordModel, ident: str = "doc_id", text: str
 
 def _spans(model: WordModel) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         labeller = Labeller(model)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -312,6 +315,7 @@ def keep_identified(docs: DataFrame, model: WordModel, least: float = 0.5, text:
     column = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         labeller = Labeller(model)
         for part in _grouped(batches, column, CHARS // 3):
             found = labeller.predict([x or "" for x in part.column(column).to_pylist()])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import bounded_arrow, saved, small_side
+from .common import bounded_arrow, release, saved, small_side
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Coordinates of a signature, two bytes each.
@@ -118,6 +118,7 @@ def signature(cell: np.ndarray, k: int = COORDINATES) -> np.ndarray:
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         sizes, signs = [], []
         for text in batch.column(2):
@@ -163,6 +164,7 @@ def _candidates(nodes: DataFrame, bands: int, width: int, labels: DataFrame | No
 
 
 def _agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in batch.columns[2:4])
         small, large = (np.minimum, np.maximum)
@@ -210,6 +212,7 @@ def _compared(bands: int, width: int):
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, last = [], None
         for batch in batches:
             if not batch.num_rows:
@@ -255,6 +258,7 @@ def _all_pairs(docs: DataFrame, text: str, nodes: DataFrame, bands: int, width:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         yield pa.record_batch([batch.column(0), pa.array([cells(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], ["node", "pieces"])
 
@@ -273,6 +277,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         found = [similarity(np.frombuffer(a.as_py(), U), np.frombuffer(b.as_py(), U)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])

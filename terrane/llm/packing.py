@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow, saved
+from .common import bounded_arrow, kept, saved
 
 CAPACITY, END = 4096, 1
 #: Items that one task packs at a time; bounds its memory whatever the input.
@@ -78,14 +78,9 @@ class WordIds:
             return b"".join(map(self.known.__getitem__, words))
 
 
-_tokenizers: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """One per worker, kept from task to task."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
-    return _tokenizers[path]
+    """One per worker, kept from task to task until the worker turns to another operator."""
+    return kept(("tokenizer", path), lambda: WordIds(path))
 
 
 def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:

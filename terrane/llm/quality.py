@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow
+from .common import bounded_arrow, release
 
 #: About so many labelled documents of each grade are used to fit the model.
 LABELLED = (1500, 1500, 5000)
@@ -192,6 +192,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         yield pa.record_batch([batch.column(0), pa.array([features(x.as_py() or "").tobytes() for x in batch.column(1)], pa.binary())], ["grade", "buckets"])
 
@@ -217,6 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: tuple[int, ...] = LABELL
 
 def _grade(model: OrdinalModel) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(model)
         for batch in batches:
             expected, tail = scorer.grade(x.as_py() for x in batch.column(1))
@@ -244,6 +246,7 @@ def keep_selected(docs: DataFrame, model: OrdinalModel, text: str = "text") -> D
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(model)
         for batch in batches:
             yield batch.filter(pa.array(scorer.grade(x.as_py() for x in batch.column(text))[1] >= model.bar))

@@ -143,3 +143,14 @@ def test_precedence_and_broken_expressions():
     assert say("mit and") == say("( mit") == say("mit and (") == say("mit )") == say("mit bsd") == say("mit or ( (") == "mit"
     assert say("( mit or isc") == "mit isc or" and say("bsd and ( mit or isc") == "bsd mit isc or and" and say("( mit or isc ) with x-1") == "mit isc or"
     assert say("") == say("and mit") == say("( )") == say(") mit") == say("or") == "" and say("mit and it is") == "mit"
+
+
+def test_a_worker_keeps_one_thing_at_a_time():
+    from terrane.llm import common
+
+    made = []
+    make = lambda x: lambda: made.append(x) or x
+    assert [common.kept(k, make(k)) for k in "aabb"] == list("aabb") and made == ["a", "b"]
+    common.release()
+    assert common.kept("b", make("b")) == "b" and made == ["a", "b", "b"]
+    common.release()
