@@ -1,8 +1,10 @@
-"""Approximate nearest neighbours by inner product: an inverted file with product-quantised residuals.
+"""Nearest neighbours by inner product: an inverted file with product-quantised residuals, and bounds that lose none.
 
-Coarse centroids route rows to lists, residuals are product-quantised, asymmetric distance tables rank a list's rows
-for a query, and the best are reranked with the original vectors. Lists are cut into blocks of bounded size by row and
-by query, so a list that holds most rows is many tasks.
+Coarse centroids route rows to lists, and residuals are product-quantised; with each row goes the length of what its
+code leaves out. The most promising lists of a query give it a threshold, its k-th best score there. Of all other lists only
+those are opened whose farthest row might reach it, and of their rows only those are scored whose code and error might.
+So every neighbour is found, whatever the rows; what their shape decides is the work. Lists lie together in cells of
+bounded size, by row and by query, so a list that holds most rows is many tasks.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from pyspark.sql import functions as F
 from .common import bounded_arrow, saved
 
 NEAREST = 20
-#: Vectors the index is fitted on; queries the probes are set by; the recall the probes alone must reach.
-SAMPLE, PROBED, ROUTED = 65_536, 200, 0.95
+#: Vectors the index is fitted on.
+SAMPLE = 65_536
 #: Coarse lists are so many times the square root of the rows, and at most a quarter of the sample's vectors; components per
 #: quantised part; codes per part; rounds of k-means.
 SPREAD, PART, CODES, ROUNDS = 3, 4, 256, 8
-#: Candidates of a block that are reranked exactly for each query; rows and queries of one block.
-RERANK, BLOCK_ROWS, BLOCK_QUERIES = 96, 4096, 2048
+#: A query's threshold comes from lists of so many times k rows together, and of so many lists at most; rows and queries of
+#: one block, and queries that are scored at a time.
+FIRST, OPENED, BLOCK_ROWS, BLOCK_QUERIES, SLICE = 8, 64, 4096, 2048, 256
 RESULT = "own long, uid long, vec_id long, score double"
 
 
@@ -56,24 +59,10 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest scores, ties to smaller ids, best first."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        above = np.flatnonzero(scores > least)
-        ties = np.flatnonzero(scores == least)
-        ties = ties[np.argsort(ids[ties], kind="stable")[: k - len(above)]]
-        chosen = np.concatenate([above, ties])
-    else:
-        chosen = np.arange(len(scores))
-    return chosen[np.lexsort((ids[chosen], -scores[chosen]))]
-
-
 @dataclass
 class Index:
     centres: np.ndarray
     books: np.ndarray  # parts x codes x components
-    probes: int
 
     def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = nearest(vectors, self.centres)
@@ -82,15 +71,9 @@ class Index:
         rest = np.pad(rest, ((0, 0), (0, len(self.books) * width - rest.shape[1])))
         return at, np.stack([nearest(rest[:, p * width : (p + 1) * width], book) for p, book in enumerate(self.books)], 1).astype(np.uint8)
 
-    def route(self, queries: np.ndarray) -> np.ndarray:
-        """The lists of each query, most promising first."""
-        return np.argsort(-(queries @ self.centres.T), 1, kind="stable")
-
-    def tables(self, queries: np.ndarray) -> np.ndarray:
-        """Asymmetric tables: queries x parts x codes, the inner products with every code."""
-        width = self.books.shape[2]
-        padded = np.pad(queries, ((0, 0), (0, len(self.books) * width - queries.shape[1])))
-        return np.einsum("qpw,pcw->qpc", padded.reshape(len(queries), len(self.books), width), self.books)
+    def decode(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the codes keep of the vectors."""
+        return self.centres[at] + np.concatenate([book[codes[:, p]] for p, book in enumerate(self.books)], 1)[:, : self.centres.shape[1]]
 
 
 def fit(sample: np.ndarray, rows: int) -> Index:
@@ -101,7 +84,7 @@ def fit(sample: np.ndarray, rows: int) -> Index:
     rest = np.pad(rest, ((0, 0), (0, parts * PART - rest.shape[1])))
     books = [kmeans(rest[:20_000, p * PART : (p + 1) * PART], CODES, seed=p) for p in range(parts)]
     size = max(len(b) for b in books)
-    return Index(centres, np.stack([np.pad(b, ((0, size - len(b)), (0, 0)), mode="edge") for b in books]), k)
+    return Index(centres, np.stack([np.pad(b, ((0, size - len(b)), (0, 0)), mode="edge") for b in books]))
 
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
@@ -119,130 +102,180 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def _truth(own: np.ndarray, queries: np.ndarray, k: int) -> Callable:
-    """The exact best k of a partition for a stated set of queries (by their rows' numbers), in blocks."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, ...]] = [(np.zeros(0), *(np.zeros(0, np.int64) for _ in range(3))) for _ in own]
-        for batch in batches:
-            uid, vec, lists = (batch.column(c).to_numpy() for c in ("uid", "vec_id", "list"))
-            scores = queries @ _matrix(batch.column("v")).T
-            for q, row in enumerate(own):
-                fine = uid != row
-                held = [np.concatenate([a, b]) for a, b in zip(best[q], (scores[q][fine], vec[fine], lists[fine], uid[fine]), strict=True)]
-                kept = top(held[0], held[1], k)
-                best[q] = tuple(h[kept] for h in held)
-        yield pa.record_batch([pa.array(np.repeat(own, [len(b[0]) for b in best]), pa.int64()), *(pa.array(np.concatenate([b[j] for b in best])) for j in range(4))], ["own", "score", "vec_id", "list", "uid"])
-
-    return run
+def _rounding(lengths: np.ndarray, most: float, components: int) -> np.ndarray:
+    """More than the rounding of the inner products of vectors of these lengths with others of at most that length."""
+    return 1e-15 * (components + 8) * lengths * most
 
 
 def _encode(index: Index) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, codes = index.encode(_matrix(batch.column("v")))
-            yield pa.record_batch([*batch.columns, pa.array(at.astype(np.int64)), pa.array([c.tobytes() for c in codes], pa.binary())], [*batch.schema.names, "list", "codes"])
+            v = _matrix(batch.column("v"))
+            at, codes = index.encode(v)
+            error, far = np.linalg.norm(v - index.decode(at, codes), axis=1), np.linalg.norm(v - index.centres[at], axis=1)
+            yield pa.record_batch([*batch.columns, pa.array(at.astype(np.int64)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(far)], [*batch.schema.names, "list", "codes", "error", "far"])
 
     return run
 
 
-def exact_neighbours(rows: DataFrame, own: np.ndarray, queries: np.ndarray, k: int = NEAREST) -> DataFrame:
-    """Brute force for a stated query set: (own, score, vec_id, list, uid) of the k nearest rows."""
-    found = rows.select("uid", "vec_id", "v", "list").mapInArrow(_truth(own, queries, k), "own long, score double, vec_id long, list long, uid long")
-    nth = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "uid"))
-    return found.withColumn("nth", nth).where(f"nth <= {k}").drop("nth")
-
-
-def build_index(vectors: DataFrame, every: int, k: int = NEAREST) -> tuple[Index, DataFrame]:
-    """The fitted index and every row with its list and codes; probes are set by brute force on a sample of queries."""
+def build_index(vectors: DataFrame) -> tuple[Index, DataFrame]:
+    """The index fitted on a sample, and every row with its list, its codes, their error and its distance from the list's centre."""
     bounded_arrow(vectors.sparkSession, 4096)
     n = vectors.count()
     part = min(1.0, SAMPLE / max(n, 1))
     drawn = vectors.where(F.shiftrightunsigned(F.xxhash64(F.lit("ann"), "vec_id"), 11) * F.lit(2.0**-53) < part).orderBy("vec_id", "uid").limit(2 * SAMPLE).toArrow()
     sample = _matrix(drawn["v"].combine_chunks()) if drawn.num_rows else np.zeros((1, 1))
     index = fit(sample, n)
-    rows = saved(vectors.mapInArrow(_encode(index), "uid long, vec_id long, v array<double>, list long, codes binary"), "index")
-    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
-    share = min(1.0, PROBED / max(1, queries.count()))
-    probe = queries.where(F.shiftrightunsigned(F.xxhash64(F.lit("probe"), "vec_id"), 11) * F.lit(2.0**-53) < share).orderBy("uid").limit(4 * PROBED).toArrow()
-    if probe.num_rows:
-        own, points = probe["uid"].to_numpy(), _matrix(probe["v"].combine_chunks())
-        truth = exact_neighbours(rows, own, points, k).toArrow()
-        place = np.argsort(index.route(points), 1, kind="stable")  # rank of each list for each query
-        ranks = place[np.searchsorted(own, truth["own"].to_numpy()), truth["list"].to_numpy()]
-        index.probes = int(np.quantile(ranks, ROUTED, method="higher")) + 1 if len(ranks) else len(index.centres)
-    return index, rows
-
-
-def _route(index: Index) -> Callable:
+    return index, saved(vectors.mapInArrow(_encode(index), "uid long, vec_id long, v array<double>, list long, codes binary, error double, far double"), "index")
+
+
+@dataclass
+class Lists:
+    """By list: rows, distance of the farthest from the centre, and cell. A list of many rows is a cell of several blocks."""
+
+    sizes: np.ndarray
+    far: np.ndarray
+    cells: np.ndarray
+
+
+def measure_lists(index: Index, rows: DataFrame) -> Lists:
+    found = rows.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).toArrow()  # one row a list: at most a quarter of SAMPLE
+    sizes, far = np.zeros(len(index.centres), np.int64), np.zeros(len(index.centres))
+    sizes[found["list"].to_numpy()], far[found["list"].to_numpy()] = found["n"].to_numpy(), found["far"].to_numpy()
+    cells, cell, held = np.zeros(len(sizes), np.int64), 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > BLOCK_ROWS:
+            cell, held = cell + 1, 0
+        cells[i], held = cell, held + n
+    return Lists(sizes, far, cells)
+
+
+def _cells(lists: Lists, chosen: np.ndarray) -> pa.Array:
+    """The cells of each query's lists (queries x lists)."""
+    return pa.array([np.unique(lists.cells[row]) for row in chosen], pa.list_(pa.int64()))
+
+
+def _first(index: Index, lists: Lists, k: int) -> Callable:
+    """Adds each query's most promising lists, and their cells."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order = np.argsort(-(_matrix(batch.column("v")) @ index.centres.T), 1, kind="stable")[:, :OPENED]
+            before = np.cumsum(lists.sizes[order], 1) - lists.sizes[order]
+            opened = [o[b < FIRST * k] for o, b in zip(order, before, strict=True)]
+            chosen = np.zeros((len(opened), len(lists.sizes)), bool)
+            for row, o in zip(chosen, opened, strict=True):
+                row[o] = True
+            yield pa.record_batch([*batch.columns, pa.array([-np.inf] * len(opened)), pa.array(opened, pa.list_(pa.int64())), _cells(lists, chosen & (lists.sizes > 0))], [*batch.schema.names, "bar", "lists", "cells"])
+
+    return run
+
+
+def _others(index: Index, lists: Lists) -> Callable:
+    """The cells of the lists that were not opened and whose farthest row might reach the query's threshold."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.linalg.norm(index.centres, axis=1) + lists.far
         for batch in batches:
-            lists = index.route(_matrix(batch.column("v")))[:, : index.probes]
-            yield pa.record_batch([*batch.columns, pa.array(list(lists.astype(np.int64)), pa.list_(pa.int64()))], [*batch.schema.names, "lists"])
+            v = _matrix(batch.column("v"))
+            lengths = np.linalg.norm(v, axis=1)
+            reach = v @ index.centres.T + lengths[:, None] * lists.far + _rounding(lengths, most.max(), v.shape[1])[:, None]
+            chosen = ~(reach < batch.column("bar").to_numpy()[:, None]) & (lists.sizes > 0)
+            for row, o in zip(chosen, batch.column("lists").to_pylist(), strict=True):
+                row[o] = False
+            names = ["uid", "v", "bar", "lists"]
+            yield pa.record_batch([*(batch.column(n) for n in names), _cells(lists, chosen)], [*names, "cells"])
 
     return run
 
 
-def _search(index: Index, k: int, depth: int) -> Callable:
-    """The best k of one block of rows for one block of queries: tables rank the rows, the best are scored exactly."""
+def _search(index: Index, k: int, opened: bool) -> Callable:
+    """The best k of one block of rows for one block of queries, within the queries' lists or outside them.
+
+    Codes and their errors say which rows might reach a query's threshold; those are scored. The scores that count are
+    summed in component order, so that equal vectors score equal whatever their block.
+    """
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if rows.num_rows and queries.num_rows:
-            rows = rows.sort_by([("vec_id", "ascending"), ("uid", "ascending")])  # so that ties go to smaller ids
-            uids, ids, vectors = rows["uid"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["v"].combine_chunks())
-            codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
-            own, points = queries["uid"].to_numpy(), _matrix(queries["v"].combine_chunks())
-            centre = index.centres[rows["list"][0].as_py()]
-            flat = (codes + np.arange(codes.shape[1]) * index.books.shape[1]).T
-            for i in range(0, len(own), 64):
-                part, names = points[i : i + 64], own[i : i + 64]
-                tables = index.tables(part).reshape(len(part), -1)
-                near = (part @ centre)[:, None] + sum(tables[:, c] for c in flat)
-                near[uids == names[:, None]] = -np.inf
-                picked = np.sort(np.argsort(-near, 1, kind="stable")[:, :depth], 1)
-                width = picked.shape[1]
-                exact = dots(vectors[picked.ravel()], np.repeat(part, width, 0)).reshape(-1, width)
-                exact[np.isneginf(np.take_along_axis(near, picked, 1))] = -np.inf
-                best = np.argsort(-exact, 1, kind="stable")[:, :k]
-                score, at = np.take_along_axis(exact, best, 1), np.take_along_axis(picked, best, 1)
-                q, r = np.nonzero(~np.isneginf(score))
-                found.append((names[q], uids[at[q, r]], ids[at[q, r]], score[q, r]))
+            uids, ids, at, error = (rows[c].to_numpy() for c in ("uid", "vec_id", "list", "error"))
+            vectors = _matrix(rows["v"].combine_chunks())
+            codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            kept, most = index.decode(at, codes), np.linalg.norm(vectors, axis=1).max() + error.max()
+            own, bars, points = queries["uid"].to_numpy(), queries["bar"].to_numpy(), _matrix(queries["v"].combine_chunks())
+            lists = queries["lists"].to_pylist()
+            for i in range(0, len(own), SLICE):
+                part, names, bar = points[i : i + SLICE], own[i : i + SLICE], bars[i : i + SLICE, None]
+                within = np.zeros((len(part), len(index.centres)), bool)
+                for row, o in zip(within, lists[i : i + SLICE], strict=True):
+                    row[o] = True
+                lengths = np.linalg.norm(part, axis=1)
+                slack = _rounding(lengths, most, part.shape[1])[:, None]
+                may = (within[:, at] == opened) & ~(part @ kept.T + lengths[:, None] * error + slack < bar) & (uids != names[:, None])
+                some = np.flatnonzero(may.any(0))
+                if not len(some):
+                    continue
+                near = np.where(may[:, some], part @ vectors[some].T, -np.inf)
+                if len(some) > k:
+                    bar = np.maximum(bar, np.partition(near, len(some) - k, 1)[:, len(some) - k, None])
+                q, r = np.nonzero(may[:, some] & ~(near + 2 * slack < bar))
+                r = some[r]
+                score = np.concatenate([dots(vectors[r[j : j + (1 << 16)]], part[q[j : j + (1 << 16)]]) for j in range(0, len(q), 1 << 16)] or [np.zeros(0)])
+                order = np.lexsort((uids[r], ids[r], -score, q))
+                q, r, score = q[order], r[order], score[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                found.append((names[q[best]], uids[r[best]], ids[r[best]], score[best]))
         return pa.table({n: pa.array(np.concatenate([f[j] for f in found])) for j, n in enumerate(("own", "uid", "vec_id", "score"))})
 
     return run
 
 
-def _searched(vectors: DataFrame, every: int, k: int, depth: int) -> DataFrame:
-    """The neighbours within vectors of one length."""
-    index, rows = build_index(vectors, every, k)
-    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
-    routed = saved(queries.mapInArrow(_route(index), "uid long, vec_id long, v array<double>, lists array<bigint>"), "routed")
-    asked = routed.select("uid", "v", F.explode("lists").alias("list"))
-    sizes = {r["list"]: r["n"] for r in rows.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list: at most a quarter of SAMPLE
-    asks = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    lists = range(len(index.centres))
-    cuts = F.array(*(F.lit(max(1, -(-sizes.get(i, 0) // BLOCK_ROWS))) for i in lists))
-    shares = F.array(*(F.lit(max(1, -(-asks.get(i, 0) // BLOCK_QUERIES))) for i in lists))
-    nth_list = F.col("list").cast("int") + 1
-    cut, share = F.element_at(cuts, nth_list), F.element_at(shares, nth_list)
+def _hits(index: Index, lists: Lists, rows: DataFrame, queries: DataFrame, k: int, opened: bool) -> DataFrame:
+    """(own, uid, vec_id, score) of queries (uid, v, bar, lists, cells): their best rows within the cells they ask."""
+    spark = rows.sparkSession
+    asked = queries.select("uid", "v", "bar", "lists", F.explode("cells").alias("cell"))
+    asks = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a cell
+    cells = np.bincount(lists.cells, lists.sizes).astype(int)
+    plan = spark.createDataFrame([(c, max(1, -(-int(n) // BLOCK_ROWS)), max(1, -(-asks.get(c, 0) // BLOCK_QUERIES))) for c, n in enumerate(cells)], "cell long, cuts int, shares int")
+    place = spark.createDataFrame([(i, int(c)) for i, c in enumerate(lists.cells)], "list long, cell long")
     draw = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
-    left = rows.withColumn("block", draw(cut)).withColumn("turn", F.explode(F.sequence(F.lit(0), share - 1)))
-    right = asked.withColumn("turn", draw(share)).withColumn("block", F.explode(F.sequence(F.lit(0), cut - 1)))
-    keys = ["list", "block", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(index, k, depth), RESULT)
+    left = rows.join(F.broadcast(place), "list").join(F.broadcast(plan), "cell")
+    left = left.withColumn("block", draw(F.col("cuts"))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    right = asked.join(F.broadcast(plan), "cell").withColumn("turn", draw(F.col("shares"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    keys = ["cell", "block", "turn"]
+    left = left.select(*keys, "uid", "vec_id", "v", "list", "codes", "error")
+    right = right.select(*keys, "uid", "v", "bar", "lists")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(index, k, opened), RESULT)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "uid"))
-    best = found.withColumn("rank", nth).where(f"rank <= {k}")
+    return found.withColumn("rank", nth).where(F.col("rank") <= k)
+
+
+def _searched(vectors: DataFrame, every: int, k: int) -> DataFrame:
+    """The neighbours within vectors of one length."""
+    index, rows = build_index(vectors)
+    lists = measure_lists(index, rows)
+    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
+    asked = "uid long, v array<double>, bar double, lists array<bigint>, cells array<bigint>"
+    routed = saved(queries.select("uid", "v").mapInArrow(_first(index, lists, k), asked), "routed")
+    first = saved(_best(_hits(index, lists, rows, routed, k, True), k), "first")
+    bars = first.where(F.col("rank") == k).select(F.col("own").alias("uid"), F.col("score").alias("reached"))
+    barred = routed.join(bars, "uid", "left").select("uid", "v", F.coalesce("reached", "bar").alias("bar"), "lists")
+    others = saved(barred.mapInArrow(_others(index, lists), asked), "barred")
+    best = _best(first.drop("rank").unionByName(_hits(index, lists, rows, others, k, False)), k)
     return best.join(queries.select(F.col("uid").alias("own"), F.col("vec_id").alias("query_id")), "own").select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = NEAREST, depth: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its k nearest other rows found.
+def search(vectors: DataFrame, every: int = 20, k: int = NEAREST) -> DataFrame:
+    """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its k nearest other rows, all of them.
 
     vectors: valid_vectors, which says what takes no part. A vector is compared with those of its length; each length has
     an index of its own. Repeated rows are candidates and queries of their own. Ties go to the smaller id. Fewer than k
     rows give fewer neighbours; no vectors, no rows. Vectors of many components are bounded by blocks of rows.
     """
     lengths = sorted(r["d"] for r in vectors.select(F.size("v").alias("d")).distinct().collect())  # the few lengths in use
-    parts = [_searched(vectors.where(F.size("v") == d), every, k, depth) for d in lengths or [0]]
+    parts = [_searched(vectors.where(F.size("v") == d), every, k) for d in lengths or [0]]
     return reduce(DataFrame.unionByName, parts)

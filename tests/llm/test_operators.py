@@ -225,6 +225,22 @@ def test_nearest_vectors(spark):
     assert ann.search(ann.valid_vectors(table.limit(0))).count() == 0
 
 
+def test_nearest_vectors_of_uneven_rows(spark):
+    """Nine rows in ten are near copies of one; the queries among the others find their neighbours as well."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 16))
+    some = rng.random(1200) < 0.9
+    x[some] = x[0] + 1e-3 * x[some]
+    x = x.astype(np.float32)
+    got = defaultdict(list)
+    for r in ann.search(ann.valid_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    x = x.astype(float)
+    for q in range(0, 1200, 20):
+        order = np.lexsort((np.arange(1200), -ann.dots(x, np.broadcast_to(x[q], x.shape))))
+        assert [i for _, i in sorted(got[q])] == [int(i) for i in order if i != q][:20]
+
+
 def test_repeated_vectors_and_lengths(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=4 if i % 2 else 3).tolist(), "x", 7, 8) for i in range(1, 40)]
