@@ -129,6 +129,25 @@ def test_greedy_clusters():
     assert dict(A.greedy_clusters(vectors)) == {"a": 0, "b": 0, "c": 1, "d": 2, "e": 3}
 
 
+def test_centroid_lists_move_and_keep_their_sums():
+    """Lists that fill up are summed up by cluster; the clusters are those of a plain walk over dense means."""
+    rng = np.random.default_rng(4)
+    found, centroids = A.Centroids(), []
+    for _ in range(600):
+        terms = np.sort(rng.choice(60, 12, replace=False))
+        x = rng.random(12)
+        x /= np.linalg.norm(x)
+        dense = np.zeros(60)
+        dense[terms] = x
+        sims = [dense @ c for c, _ in centroids]
+        want = int(np.argmax(sims)) if sims and max(sims) >= A.SIMILAR else len(centroids)
+        c, k = centroids[want] if want < len(centroids) else (np.zeros(60), 0)
+        mean = c * k + dense
+        centroids[want : want + 1] = [(mean / np.linalg.norm(mean), k + 1)]
+        assert found.place(terms.astype(np.int64), x) == want
+    assert found.end < 60 * 64 and found.used.sum() <= 4 * 60 * len(centroids)
+
+
 def test_clusters_against_running_means(spark):
     rng = np.random.default_rng(3)
     rows, centroids, want = [], [], {}
