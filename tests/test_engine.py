@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
 import zipfile
 from collections import defaultdict
 
@@ -47,6 +48,28 @@ def test_bm25_value(spark):
     assert hit.chunk_id == 0 and hit.score == pytest.approx(0.847670, abs=1e-6)
 
 
+def test_search_adds_up_where_the_weights_lie(spark, capsys):
+    """Of each bucket only the best chunks are dealt; they are those of a search that deals every pair."""
+    rows = [(i, "a", "", "", "cold snap " * (i % 7 + 1) + f"word{i} " * (i % 3)) for i in range(200)]
+    index = I.build_index(spark.createDataFrame(rows, "chunk_id long, doc string, title string, section string, text string"))
+    q = I.query_terms(spark.createDataFrame([("a", 0, "cold snap"), ("b", 0, "word4 snap")], "query_id string, turn int, text string"))
+    want = sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in I.search(q, index, 3).collect())
+    index.weights = I.stored_weights(index.weights, 4 * I.BUCKET_ROWS)
+    found = I.search(q, index, 3)
+    assert sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in found.collect()) == want
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Bucketed: true" in plan and "Exchange hashpartitioning(query_id" in plan and "Exchange hashpartitioning(query_id#, chunk_id" not in re.sub(r"#[0-9]+L?", "#", plan)
+
+
+def test_word_counts_are_dealt_by_size(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, "", "", f"cold snaps w{i}") for i in range(40)], "chunk_id long, title string, section string, text string")
+    monkeypatch.setattr(I, "TASK_CHARS", 50)
+    found = I.term_frequencies(chunks)
+    assert found.rdd.getNumPartitions() == 1 + sum(len(f"cold snaps w{i}") for i in range(40)) // 50
+    assert {(r.term, r.f) for r in found.where("chunk_id = 11").collect()} == {("cold", 1), ("snap", 1), ("w11", 1)}
+
+
 def test_query_weights_and_window(spark):
     turns = [("a", 0, "dog"), ("a", 1, "dog cat"), ("b", 0, "")] + [("c", i, f"word{i}") for i in range(9)]
     rows = I.query_terms(spark.createDataFrame(turns, "query_id string, turn int, text string")).collect()
