@@ -35,6 +35,8 @@ GRADES = 3
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{1,3}")
 #: A beginning that so many different tokens of a text share, as inflected and compound forms of one word do, is a mark of its own.
 SHARED = (2, 3)
+#: Entries of documents that one block of the fit takes.
+ENTRIES = 250_000
 #: Tokens and marks whose weights one worker remembers before it starts anew.
 MEMORY = 200_000
 
@@ -111,27 +113,43 @@ def loss(scores: np.ndarray, free: np.ndarray, grades: np.ndarray) -> tuple[floa
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE) -> OrdinalModel:
-    """Full-batch Adam on the loss and a ridge on how far each bucket uses its evidence; documents of equal content count each."""
+    """Full-batch Adam on the loss and a ridge on how far each bucket uses its evidence; documents of equal content count each.
+
+    The entries lie in two narrow arrays and are gone through in blocks, so that the driver holds little more than the rows."""
     if not rows:
         return OrdinalModel(np.zeros(0, np.int32), np.zeros(0), np.arange(GRADES - 1.0))
     lengths = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    used, column = np.unique(np.concatenate(rows), return_inverse=True)
-    k, n = len(used), len(rows)
+    ends = np.cumsum(lengths)
+    used, n = np.unique(np.concatenate(rows)), len(rows)
+    k = len(used)
+    column, value = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32)
+    cuts = [*np.unique([0, *np.searchsorted(ends, np.arange(0, ends[-1], ENTRIES))]).tolist(), n]
+    blocks = [(slice(a, b), slice(int(ends[a] - lengths[a]), int(ends[b - 1]))) for a, b in zip(cuts, cuts[1:]) if a < b]
     sizes = np.bincount(grades, minlength=GRADES).astype(float)
-    shown = np.stack([np.bincount(column[grades[owner] == j], minlength=k) for j in range(GRADES)])
+    shown = np.zeros((GRADES, k), np.int64)
+    for docs, entries in blocks:
+        column[entries] = np.searchsorted(used, np.concatenate(rows[docs]))
+        np.add.at(shown, (np.repeat(grades[docs], lengths[docs]), column[entries]), 1)
     reach = evidence(shown, sizes)
-    value = (reach[column] * scale_of(lengths)[owner]).astype(np.float32)
+    for docs, entries in blocks:
+        value[entries] = reach[column[entries]] * np.repeat(scale_of(lengths[docs]), lengths[docs])
+
+    def scores_of(weights: np.ndarray) -> np.ndarray:
+        parts = (np.bincount(np.repeat(np.arange(d.stop - d.start), lengths[d]), weights[column[e]] * value[e], d.stop - d.start) for d, e in blocks)
+        return np.concatenate([*parts])
+
     at = np.concatenate([np.zeros(k), [-1.0], np.zeros(GRADES - 2)])
     first, second = np.zeros_like(at), np.zeros_like(at)
     for step in range(1, steps + 1):
-        scores = np.bincount(owner, at[:k][column] * value, n)
-        _, by_score, by_free = loss(scores, at[k:], grades)
-        grad = np.concatenate([np.bincount(column, by_score[owner] * value, k) + ridge * at[:k], by_free])
+        _, by_score, by_free = loss(scores_of(at[:k]), at[k:], grades)
+        pulled = np.zeros(k)
+        for docs, entries in blocks:
+            np.add.at(pulled, column[entries], np.repeat(by_score[docs], lengths[docs]) * value[entries])
+        grad = np.concatenate([pulled + ridge * at[:k], by_free])
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         at -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     model = OrdinalModel(used, at[:k] * reach, thresholds_of(at[k:]))
-    model.bar = least_cost(model.tails(np.bincount(owner, at[:k][column] * value, n))[:, -1], grades == GRADES - 1)
+    model.bar = least_cost(model.tails(scores_of(at[:k]))[:, -1], grades == GRADES - 1)
     return model
 
 
@@ -213,7 +231,11 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: tuple[int, ...] = LABELL
     grades_, rows_ = found["grade"].to_numpy().astype(np.int64), [np.frombuffer(b, np.int32) for b in found["buckets"].to_pylist()]
     del found
     order = sorted(range(len(rows_)), key=lambda i: (grades_[i], rows_[i].tobytes()))  # rows come in any order
-    return fit([rows_[i] for i in order], grades_[order])
+    rows_, grades_ = [rows_[i] for i in order], grades_[order]
+    model = fit(rows_, grades_)
+    del rows_
+    release()  # the driver, too
+    return model
 
 
 def _grade(model: OrdinalModel) -> Callable:

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -472,6 +473,17 @@ def test_quality_likelihood_by_brute_force():
     assert quality.least_cost(tails, sound) == pytest.approx(0.4)
 
 
+def test_quality_fit_holds_little_more_than_the_rows():
+    draw = np.random.default_rng(5)
+    rows = [np.unique(draw.integers(0, 20_000, 2000)).astype(np.int32) for _ in range(600)]
+    tracemalloc.start()
+    model = quality.fit(rows, draw.integers(0, 3, 600), steps=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.buckets) == 20_000 and most < 30 * sum(map(len, rows))
+    assert len(quality.fit([np.zeros(0, np.int32)] * 3, np.arange(3), steps=2).buckets) == 0
+
+
 def test_quality_marks_of_shared_beginnings():
     tokens, marks = quality.marks_of("Stormed storms, stork. A storm a Storms")
     assert tokens == {"stormed", "storms", "storm", "stork", "a", ",", "."}
