@@ -112,9 +112,12 @@ def term_statistics(postings: DataFrame, corpus: DataFrame) -> DataFrame:
     return counted.crossJoin(F.broadcast(corpus)).select("term", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))  # corpus is one row
 
 
-def surface_forms(chunks: DataFrame) -> DataFrame:
-    """The most frequent spelling of each stem; ties go to the first in alphabetical order."""
-    counted = chunk_words(chunks).groupBy(stem(F.col("word")).alias("term"), F.col("word").alias("surface")).agg(F.count("*").alias("n"))
+def surface_forms(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """The most frequent spelling of each stem; ties go to the first in alphabetical order. terms: only the stems in it."""
+    spelt = chunk_words(chunks).select(stem(F.col("word")).alias("term"), F.col("word").alias("surface"))
+    if terms is not None:
+        spelt = spelt.join(terms.select("term").distinct(), "term", "left_semi")
+    counted = spelt.groupBy("term", "surface").agg(F.count("*").alias("n"))
     best = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("n"), "surface"))
     return counted.withColumn("nth", best).where("nth = 1").select("term", "surface")
 

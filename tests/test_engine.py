@@ -134,6 +134,13 @@ def test_distinctive_terms_deal_counts_only(spark, worded, capsys):
     assert len(re.findall(r"FileScan .*terrane_postings", plan)) == 1 and not re.search(r"FileScan .*terrane_postings.*Bucketed: false", plan)
 
 
+def test_surface_forms_of_some_stems(spark, worded):
+    _, chunks, _ = worded
+    odd = spark.createDataFrame([(0, "", "", "runs runs running ran storms storm"), (1, "", "", "storm running")], "chunk_id long, title string, section string, text string")
+    assert {tuple(r) for r in I.surface_forms(odd, spark.createDataFrame([("run",), ("run",), ("none",)], "term string")).collect()} == {("run", "running")}
+    assert I.surface_forms(chunks, I.surface_forms(chunks)).exceptAll(I.surface_forms(chunks)).count() == 0
+
+
 def test_query_weights_and_window(spark):
     turns = [("a", 0, "dog"), ("a", 1, "dog cat"), ("b", 0, "")] + [("c", i, f"word{i}") for i in range(9)]
     rows = I.query_terms(spark.createDataFrame(turns, "query_id string, turn int, text string")).collect()
