@@ -55,8 +55,8 @@ def feed(spark: SparkSession, documents: str, output: str, checkpoint: str, conf
 def contents(spark: SparkSession, output: str) -> DataFrame:
     """(doc, chunk_id, term, f, dl, df, weight): the live postings with the statistics and weights that searches use."""
     index = S.open_index(spark, output)
-    rows = index.weights.select("chunk_id", "term", F.round("w", 6).alias("weight")).join(index.postings, ["chunk_id", "term"]).join(index.lengths.select("chunk_id", "dl"), "chunk_id")
-    return rows.join(index.terms.select("term", "df"), "term").join(index.chunks.select("chunk_id", "doc"), "chunk_id").select("doc", "chunk_id", "term", "f", "dl", "df", "weight")
+    rows = S.live_postings(index).join(index.chunks.select("chunk_id", "doc"), "chunk_id")
+    return rows.select("doc", "chunk_id", "term", "f", "dl", "df", F.round("w", 6).alias("weight"))
 
 
 def main(arguments: list[str] | None = None) -> None:
