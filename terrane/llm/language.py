@@ -30,8 +30,8 @@ CHARS, MEMORY = 6_000_000, 400_000
 UND = "und"
 # Words: letters by their Unicode category, each with the combining marks behind it. Word characters of Python's that are
 # numbers (as fractions and superscripts) are no letters.
-_KINDS = [(chr(i), unicodedata.category(chr(i))[0]) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000]
-_NUMBERS, _MARKS = ("".join(re.escape(c) for c, kind in _KINDS if kind == wanted) for wanted in "NM")
+# Nothing but the two strings is held: a list of all characters would take 147 MB of the driver and of each Python worker.
+_NUMBERS, _MARKS = ("".join(re.escape(c) for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c)[0] == wanted) for wanted in "NM")
 WORD = re.compile(f"(?:[^\\W\\d_{_NUMBERS}][{_MARKS}]*)+")
 # The same where a text has no such number and no mark, which is told in two steps: by ranges, then exactly.
 _PLAIN, _MAYBE, _SURELY = re.compile(r"[^\W\d_]+"), re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0300-\U0010ffff]"), re.compile(f"[{_NUMBERS}{_MARKS}]")

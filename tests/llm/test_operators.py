@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 import itertools
 import os
 import random
@@ -47,6 +48,18 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_importing_language_holds_little():
+    """The driver and every Python worker import it, so what the module holds counts in each of them."""
+    spec = importlib.util.find_spec("terrane.llm.language")
+    tracemalloc.start()
+    fresh = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(fresh)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 5_000_000
+    assert fresh.words_of("a\u0301b x\u00b2y \u0e01\u0e34\u0e01 \u00bd") == ["a\u0301b", "x", "y", "\u0e01\u0e34\u0e01"]
+
+
 def test_language(docs, none):
     model = language.learn(docs)
     got = language.identify(docs, model).collect()
