@@ -242,6 +242,20 @@ def test_centroid_lists_move_and_keep_their_sums():
     assert found.end < 60 * 64 and found.used.sum() <= 4 * 60 * len(centroids)
 
 
+def test_frequent_terms_have_no_lists():
+    """The clusters stay as they are, and documents meet frequent terms only in clusters that may be similar enough."""
+    rng = np.random.default_rng(6)
+    plain, bounded, met = A.Centroids(), A.Centroids(40), []
+    over = bounded._over_frequent
+    bounded._over_frequent = lambda some, *a: met.append(len(some)) or over(some, *a)
+    for _ in range(1500):
+        terms = np.unique(np.concatenate([rng.choice(40, 10, replace=False), 40 + rng.choice(4000, 30, replace=False)])).astype(np.int64)
+        x = np.where(terms < 40, 0.3, 1) * rng.random(len(terms))
+        x /= np.linalg.norm(x)
+        assert bounded.place(terms, x) == plain.place(terms, x)
+    assert not bounded.used[:40].any() and bounded.larger and sum(met) < 0.5 * 1500 * plain.clusters / 2
+
+
 def test_clusters_against_running_means(spark):
     rng = np.random.default_rng(3)
     rows, centroids, want = [], [], {}
