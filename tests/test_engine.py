@@ -267,6 +267,13 @@ def test_clusters_against_running_means(spark):
         sims = [x @ c for c, _ in centroids]
         best = int(np.argmax(sims)) if sims else -1
         if best < 0 or sims[best] < A.SIMILAR:
+def test_entities_without_their_semicolon(spark):
+    pages = spark.createDataFrame([(0, "<h1>a &amp</h1><p>&copy;&lt;b&#33; &nosuch; x&ampy; &amp;lt;</p>")], "page_id long, html string")
+    assert D.html_to_text(pages).first()["text"] == "# a &\n\n\u00a9<b! &nosuch; x&y; &lt;"
+    assert D.html_to_text(pages, closed=True).first()["text"] == "# a &amp\n\n\u00a9<b! &nosuch; x&ampy; &lt;"
+    assert D.parse_documents(spark.createDataFrame([(0, "p.html", 0.0, 0, "<h1>a &amp</h1><p>b</p>")], D.RAW), closed=True).first()["title"] == "a &amp"
+
+
             centroids.append((x, 1))
             want[doc] = len(centroids) - 1
         else:
