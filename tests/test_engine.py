@@ -10,15 +10,18 @@ import zipfile
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import text as T
 from terrane.operators import areas as A
+from terrane.operators import batch
 from terrane.operators import index as I
 from terrane.operators import resolve as R
 from terrane.operators import watch as W
 from terrane.sources import documents as D
+from terrane.sources.storage import stored
 
 STEMS = {"policies": "policy", "running": "run", "falling": "fal", "stopped": "stop", "agreed": "agreed", "tires": "tire", "boxes": "boxe", "bus": "bus", "glass": "glass", "axis": "axis", "sing": "sing", "string": "str"}
 
@@ -141,6 +144,52 @@ def test_surface_forms_of_some_stems(spark, worded):
     assert I.surface_forms(chunks, I.surface_forms(chunks)).exceptAll(I.surface_forms(chunks)).count() == 0
 
 
+def test_blocks_of_queries_and_chunks_against_a_plain_walk(monkeypatch):
+    """Frequent and rare terms, many small blocks, ties of equal chunks, and bests that are sifted on the way."""
+    for name, value in {"BLOCK_CHUNKS": 16, "BLOCK_QUERIES": 3, "PIECE": 50, "HELD": 60, "DENSE": 0.2, "BARRED": 2}.items():
+        monkeypatch.setattr(batch, name, value)
+    rng, k, avgdl = np.random.default_rng(2), 3, 9.0
+    kinds = [{int(t): int(rng.integers(1, 4)) for t in rng.zipf(1.4, 12) if t < 40} for _ in range(30)]
+    chunks = [(i, [None, "a", "b", "c"][i % 4], kinds[int(rng.integers(30))]) for i in rng.permutation(90).tolist()]
+    rows = pa.RecordBatch.from_pylist([{"chunk_id": c, "dl": sum(f.values()), "id": a, "terms": [f"t{t}" for t in f], "fs": list(f.values())} for c, a, f in chunks], pa.schema([("chunk_id", pa.int64()), ("dl", pa.int64()), ("id", pa.string()), ("terms", pa.list_(pa.string())), ("fs", pa.list_(pa.int32()))]))
+    asked = [{int(t): float(rng.random()) for t in rng.integers(1, 40, 8)} | {1: 0.5} for _ in range(7)]
+    for areas in ([None] * 7, ["a", "a", "a", "a", "b", "b", "zz"]):
+        q, t, w = (np.array(x) for x in zip(*((i, t - 1, w) for i, words in enumerate(asked) for t, w in words.items()), strict=True))
+        blocks = list(batch.blocks_of(q, t, w, areas))
+        (found,) = batch.scored([rows.slice(0, 40), rows.slice(40)], blocks, pa.array([f"t{t}" for t in range(1, 40)]), 7, avgdl, k)
+        got = {(int(a), b, int(c)): round(float(d), 9) for a, b, c, d in zip(*found, strict=True)}
+        want = {}
+        for i, words in enumerate(asked):
+            for area in {a for _, a, _ in chunks} if areas[i] is None else {areas[i]}:
+                add = lambda f: sum(words[t] * f[t] * 2.4 / (f[t] + 1.4 * (0.25 + 0.75 * sum(f.values()) / avgdl)) for t in f if t in words)  # noqa: B023, E731
+                scores = sorted((-round(add(f), 9), c) for c, a, f in chunks if a == area and add(f) > 0)
+                want |= {(i, area, c): -s for s, c in scores[:k]}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-9 for x in want)
+
+
+def test_searches_over_rows_of_chunks(spark, worded, monkeypatch, capsys):
+    """The same hits as over weights, in several passes too, and no pair of query and chunk is dealt before it is among the best."""
+    rows, chunks, index = worded
+    members = spark.createDataFrame([(f"a{i % 3}", i) for i, *_ in rows if i % 5], "id string, chunk_id long")
+    index = I.build_index(chunks, members)
+    other = I.Index(index.chunks, index.postings, index.lengths, index.terms, index.corpus, None, batch.packed_postings(index.postings, members))
+    words = [r["term"] for r in index.terms.orderBy("term").limit(40).collect()]
+    q = spark.createDataFrame([(i, words[(7 * i + j * j) % len(words)], 1.0 + j / 10) for i in range(9) for j in range(6)], "query_id long, term string, weight double").groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
+    seen = lambda df, *c: sorted((*(str(r[x]) for x in c), round(r["score"], 8)) for r in df.collect())
+    within = q.withColumn("domain_id", F.concat(F.lit("a"), F.pmod("query_id", F.lit(4))))
+    for most in (batch.PASS_WORDS, 10):
+        monkeypatch.setattr(batch, "PASS_WORDS", most)
+        found = I.best_chunks(q, other, 3)
+        assert seen(found, "query_id", "id", "chunk_id") == seen(I.best_chunks(q, index, 3), "query_id", "id", "chunk_id")
+        a, b = (I.best_within(within, i, ("query_id", "domain_id"), 2) for i in (other, index))
+        assert seen(a, "query_id", "domain_id", "chunk_id", "rank") == seen(b, "query_id", "domain_id", "chunk_id", "rank") != []
+    monkeypatch.undo()
+    other.packed = stored(other.packed, "packed")
+    capsys.readouterr()
+    I.best_chunks(q, other, 3).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+
+
 def test_query_weights_and_window(spark):
     turns = [("a", 0, "dog"), ("a", 1, "dog cat"), ("b", 0, "")] + [("c", i, f"word{i}") for i in range(9)]
     rows = I.query_terms(spark.createDataFrame(turns, "query_id string, turn int, text string")).collect()
@@ -218,6 +267,13 @@ def test_load_folder(spark, tmp_path):
     assert rows["car/tires.md"].folder == "car" and rows["car/tires.md"].title == "Tires" and rows["d.docx"].text == "one\n\nt&o"
 
 
+def test_entities_without_their_semicolon(spark):
+    pages = spark.createDataFrame([(0, "<h1>a &amp</h1><p>&copy;&lt;b&#33; &nosuch; x&ampy; &amp;lt;</p>")], "page_id long, html string")
+    assert D.html_to_text(pages).first()["text"] == "# a &\n\n\u00a9<b! &nosuch; x&y; &lt;"
+    assert D.html_to_text(pages, closed=True).first()["text"] == "# a &amp\n\n\u00a9<b! &nosuch; x&ampy; &lt;"
+    assert D.parse_documents(spark.createDataFrame([(0, "p.html", 0.0, 0, "<h1>a &amp</h1><p>b</p>")], D.RAW), closed=True).first()["title"] == "a &amp"
+
+
 def test_greedy_clusters():
     vectors = [("a", [("x", 1.0)]), ("b", [("x", 0.8), ("y", 0.6)]), ("c", [("z", 1.0)]), ("d", []), ("e", [])]
     assert dict(A.greedy_clusters(vectors)) == {"a": 0, "b": 0, "c": 1, "d": 2, "e": 3}
@@ -267,13 +323,6 @@ def test_clusters_against_running_means(spark):
         sims = [x @ c for c, _ in centroids]
         best = int(np.argmax(sims)) if sims else -1
         if best < 0 or sims[best] < A.SIMILAR:
-def test_entities_without_their_semicolon(spark):
-    pages = spark.createDataFrame([(0, "<h1>a &amp</h1><p>&copy;&lt;b&#33; &nosuch; x&ampy; &amp;lt;</p>")], "page_id long, html string")
-    assert D.html_to_text(pages).first()["text"] == "# a &\n\n\u00a9<b! &nosuch; x&y; &lt;"
-    assert D.html_to_text(pages, closed=True).first()["text"] == "# a &amp\n\n\u00a9<b! &nosuch; x&ampy; &lt;"
-    assert D.parse_documents(spark.createDataFrame([(0, "p.html", 0.0, 0, "<h1>a &amp</h1><p>b</p>")], D.RAW), closed=True).first()["title"] == "a &amp"
-
-
             centroids.append((x, 1))
             want[doc] = len(centroids) - 1
         else:
