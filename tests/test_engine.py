@@ -184,6 +184,9 @@ def test_searches_over_rows_of_chunks(spark, worded, monkeypatch, capsys):
         a, b = (I.best_within(within, i, ("query_id", "domain_id"), 2) for i in (other, index))
         assert seen(a, "query_id", "domain_id", "chunk_id", "rank") == seen(b, "query_id", "domain_id", "chunk_id", "rank") != []
     monkeypatch.undo()
+    assert not I.best_chunks(q.limit(0), other, 3).collect() and not I.best_within(within.withColumn("domain_id", F.lit(None).cast("string")), other, ("query_id", "domain_id"), 2).collect()
+    nameless = q.where("query_id = 1").withColumn("query_id", F.lit(None).cast("long"))
+    assert seen(I.best_chunks(nameless, other, 3), "query_id", "id", "chunk_id") == seen(I.best_chunks(nameless, index, 3), "query_id", "id", "chunk_id") != []
     other.packed = stored(other.packed, "packed")
     capsys.readouterr()
     I.best_chunks(q, other, 3).explain()
